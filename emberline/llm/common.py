@@ -115,7 +115,7 @@ def open_output(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # else a name on .zst would compress again
 
 
 def open_input(uri: str):

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.common import table
+from emberline.llm.mixing import mix
+from emberline.llm.urls import Rule, judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,12 +19,37 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources at shares in proportion to the square root of their documents, by blocks of 8."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), power=0.5, block_rows=8)
+
+
+#: Fixed values of the task.
+RULES = [Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.quality import classify_quality
 
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.token_files import read_token_files, write_token_files
 
@@ -30,8 +57,23 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op4_urls": op4_urls,
+    "op5_warc": op5_warc,
     "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+             s AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+             g AS (SELECT payload_digest, max(page_id) AS lead FROM s WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM lead THEN lead END AS refers_to,
+               regexp_replace(regexp_replace(url, chr(13), '%0D', 'g'), chr(10), '%0A', 'g') AS url
+        FROM s LEFT JOIN g USING (payload_digest)
+    """,
+}
