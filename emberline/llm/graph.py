@@ -35,3 +35,57 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("v", "label")
         if step.where("label <> old").isEmpty():
             return labels
+
+
+def link_buckets(buckets: DataFrame, check, percent: int | None = None) -> DataFrame | None:
+    """(v, label) of the components that check() makes of the members of common buckets; None without any link.
+
+    buckets: key, v, n (a size), members and centre (the bucket's count and smallest v), a written table. check(pairs(a, b))
+    gives pairs with a boolean `linked`. First every bucket's smallest member is paired with the others: a star, not all
+    pairs. Members of a bucket that are not connected after that are paired with 8, 64, ... of the bucket's members, until
+    each is connected or has been compared with all. No bucket is cut, no pair compared twice, and a bucket of one component
+    costs its star only. percent: sizes further apart than that can't be linked.
+    """
+    labels = compared = None
+    centres = 1
+    open_rows = buckets.withColumn("label", F.col("v"))
+    while True:
+        if centres == 1:
+            hub = open_rows.where("v = centre")
+        else:
+            chance = F.pmod(F.xxhash64("key", "v"), F.lit(1_000_003)) / 1_000_003.0
+            hub = open_rows.where((chance * F.col("members") < centres) | (F.col("members") <= centres))
+        hub = hub.select("key", F.col("v").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl"))
+        pairs = open_rows.join(hub, "key").where((F.col("label") != F.col("hl")) & (F.col("v") != F.col("h")))
+        if percent is not None:
+            pairs = pairs.where(F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
+        pairs = pairs.select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        checked = written(check(pairs), "checked")
+        compared = checked.select("a", "b") if compared is None else compared.union(checked.select("a", "b"))
+        links = checked.where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = components(links) if labels is None else relabelled(labels, links)
+        rest = buckets.where(F.col("members") > max(2, centres))
+        if labels is not None:
+            rest = rest.join(labels, "v", "left").select("key", "v", "n", "members", "centre", F.coalesce("label", "v").alias("label"))
+        else:
+            rest = rest.withColumn("label", F.col("v"))
+        apart = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        open_rows = written(rest.join(apart, "key", "left_semi"), "open")
+        if open_rows.isEmpty():
+            return labels
+        centres *= 8
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the components that these touch are joined."""
+
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("v").alias(side), F.col("label").alias(f"{side}l"))
+
+    over = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b"))
+    merged = components(over).select(F.col("v").alias("old"), F.col("label").alias("new"))
+    known = labels.select("v", F.col("label").alias("old")).union(merged.select(F.col("old").alias("v"), "old")).distinct()
+    return written(known.join(merged, "old", "left").select("v", F.coalesce("new", "old").alias("label")), "labels")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import text_slices, written
-from emberline.llm.graph import components, small
+from emberline.llm.graph import link_buckets, small
 from emberline.llm.shingles import mix, shingle_sets
 
 SLICE_BYTES = 2 << 20
@@ -120,10 +120,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
 
     Documents are linked if their shingle sets have 100 * intersection >= percent * union; component_id is the smallest
     doc_id reachable, and kept marks the rows that have it. Documents with equal sets form one class, and the class goes on
-    as its smallest doc_id. Classes that share a band key are candidates. First every bucket's smallest class is paired with
-    the others: a star, not all pairs. Members of a bucket that are not connected after that are paired with 8, 64, ... of
-    the bucket's classes, until each is connected or has been compared with all: no bucket is cut, and none with one
-    component costs more than its star. All pairs are confirmed on full sets.
+    as its smallest doc_id. Classes that share a band key are candidates; link_buckets() pairs them, stars first, and every pair is
+    confirmed on full sets.
 
     A null or wordless text has an empty set and is linked with nothing. A row without doc_id is linked with nothing, has no
     component_id and is kept. Repeated rows give repeated results.
@@ -142,45 +140,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     ids = buckets.select(F.col("v").alias("doc_id")).distinct()
     sets = written(full_sets(docs.select("doc_id", "text").join(small(written(ids, "members")), "doc_id", "left_semi"), words), "sets")
 
-    labels = None
-    compared = None
-    centres = 1
-    open_rows = buckets.withColumn("label", F.col("v"))
-    while True:
-        if centres == 1:
-            hub = open_rows.where("v = centre")
-        else:
-            chance = F.pmod(F.xxhash64("key", "v"), F.lit(1_000_003)) / 1_000_003.0
-            hub = open_rows.where((chance * F.col("members") < centres) | (F.col("members") <= centres))
-        hub = hub.select("key", F.col("v").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-        fits = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
-        pairs = open_rows.join(hub, "key").where((F.col("label") != F.col("hl")) & (F.col("v") != F.col("h")) & fits)
-        pairs = pairs.select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        checked = written(confirm(pairs, sets, percent), "checked")
-        compared = checked.select("a", "b") if compared is None else compared.union(checked.select("a", "b"))
-        links = checked.where("linked").select("a", "b")
-        if not links.isEmpty():
-            if labels is None:
-                labels = components(links)
-            else:  # join the components that the new links touch
-                name = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))
-                over = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b"))
-                merged = components(over).select(F.col("v").alias("old"), F.col("label").alias("new"))
-                known = labels.select("v", F.col("label").alias("old")).union(merged.select(F.col("old").alias("v"), "old")).distinct()
-                labels = written(known.join(merged, "old", "left").select("v", F.coalesce("new", "old").alias("label")), "labels")
-        rest = buckets.where(F.col("members") > max(2, centres))
-        if labels is not None:
-            rest = rest.join(labels, "v", "left").select("key", "v", "n", "members", "centre", F.coalesce("label", "v").alias("label"))
-        else:
-            rest = rest.withColumn("label", F.col("v"))
-        apart = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_rows = written(rest.join(apart, "key", "left_semi"), "open")
-        if open_rows.isEmpty():
-            break
-        centres *= 8
-
+    labels = link_buckets(buckets, lambda pairs: confirm(pairs, sets, percent), percent)
     out = assigned.select("doc_id", "n_shingles", "class_id")
     if labels is not None:
         out = out.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))

@@ -24,6 +24,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), power=0.5, block_rows=8)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With component_id: the smallest doc_id reachable by fingerprints that are alike by 0.8 or more."""
+    from pyspark.sql import functions as F
+
+    from emberline.llm.common import written
+    from emberline.llm.fingerprints import compare_edited, near_by_edits
+
+    prints = written(compare_edited(table(spark, sf_dir, "documents")), "compared")
+    linked = near_by_edits(prints.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return prints.join(linked, "doc_id", "left")
+
+
 #: Fixed values of the task.
 RULES = [Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/")]
 
@@ -58,6 +70,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_fingerprints": op2_fingerprints,
     "op4_urls": op4_urls,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
