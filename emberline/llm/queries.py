@@ -36,6 +36,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(linked, "doc_id", "left")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.language import classify_languages
+
+    return classify_languages(table(spark, sf_dir, "documents"))
+
+
 #: Fixed values of the task.
 RULES = [Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/")]
 
@@ -71,6 +77,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
+    "op3_language": op3_language,
     "op4_urls": op4_urls,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
