@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +233,23 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
+@dataclass(frozen=True)
+class WalkLikeness:
+    """likeness() of whole fingerprints of at least `least`."""
+
+    least: float
+
+    @staticmethod
+    def prepare(payload: bytes) -> tuple[int, bytes]:
+        walked, _, bits = payload.decode().partition("-")
+        return int(walked, 16), bytes.fromhex(bits)
+
+    def alike(self, x: tuple[int, bytes], y: tuple[int, bytes]) -> bool:
+        width = max(len(x[1]), len(y[1]), 1)
+        bits = np.unpackbits(np.frombuffer(x[1].ljust(width, b"\0") + y[1].ljust(width, b"\0"), np.uint8).reshape(2, width), axis=1)
+        return bool(likeness(np.array([x[0]]), bits[:1], np.array([y[0]]), bits[1:])[0] >= self.least)
+
+
 def near_by_edits(prints: DataFrame, *, least: float = 0.8, bands: int = 12, bits: int = 32) -> DataFrame:
     """doc_id, component_id of rows of prints(doc_id, fingerprint): the smallest doc_id reachable by likeness of least or more.
 
@@ -242,44 +261,31 @@ def near_by_edits(prints: DataFrame, *, least: float = 0.8, bands: int = 12, bit
     classes_ = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     classes_ = written(classes_, "print-classes")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.argsort(mix(np.arange(bands * SAMPLES, dtype=np.uint64) + np.uint64(31)).reshape(bands, SAMPLES), axis=1)[:, :bits]
         powers = mix(np.arange(1, bits + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             walked, all_bits = from_texts(batch.column(0).to_pylist())
-            ids, out_ids, out_keys, out_n = batch.column(1).to_pylist(), [], [], []
-            for i, (w, b) in enumerate(zip(walked.tolist(), all_bits, strict=True)):
-                full = w // SAMPLES
-                level = full.bit_length() if full else 0  # doublings filled, the first 128 steps counting as one
-                for at in {level - 1, level - 2} & set(range(level)):
-                    own = b[at * SAMPLES : (at + 1) * SAMPLES]
-                    picked = (own[chosen].astype(np.uint64) * powers).sum(1, dtype=np.uint64)
-                    keyed = mix(picked + np.uint64(at * 1000) + np.arange(bands, dtype=np.uint64))
-                    out_keys.append(keyed.view(np.int64))
-                    out_ids += [ids[i]] * bands
-                    out_n += [w] * bands
-            if out_keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(out_ids, pa.int64()), pa.array(out_n, pa.int64())], ["key", "v", "n"])
-
-    keyed = classes_.select("fingerprint", "class_id").mapInArrow(keys, "key long, v long, n long").repartition("key").groupBy("key", "v").agg(F.min("n").alias("n"))
+            found = []
+            for w, b in zip(walked.tolist(), all_bits, strict=True):
+                level = (w // SAMPLES).bit_length()  # doublings filled, the first 128 steps counting as one
+                own = np.zeros(2 * bands, np.int64)
+                for slot, at in enumerate((level - 1, level - 2)):
+                    if at < 0:  # nothing that other walks could share: a key of its own
+                        own[slot * bands : (slot + 1) * bands] = xxhash.xxh3_64_intdigest(b.tobytes(), w) // 2 + np.arange(bands)
+                    else:
+                        picked = (b[at * SAMPLES : (at + 1) * SAMPLES][chosen].astype(np.uint64) * powers).sum(1, dtype=np.uint64)
+                        own[slot * bands : (slot + 1) * bands] = mix(picked + np.uint64(at * 1000) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+                found.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(walked), batch.column(0).cast(pa.binary())], ["v", "keys", "n", "payload"])
+
+    lists = written(classes_.select("fingerprint", "class_id").mapInArrow(key_lists, "v long, keys array<long>, n long, payload binary"), "print-keys")
+    keyed = lists.select(F.explode("keys").alias("key"), "v", "n").repartition("key").groupBy("key", "v").agg(F.min("n").alias("n"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("centre")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "print-buckets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                walked, b = from_texts([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()])
-                n = batch.num_rows
-                alike = likeness(walked[:n], b[:n], walked[n:], b[n:]) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], ["a", "b", "linked"])
-
-    def check(pairs: DataFrame) -> DataFrame:
-        left, right = (classes_.select(F.col("class_id").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
-
-    labels = link_buckets(buckets, check)
+    labels = link_buckets(buckets, lists.select("v", "keys", "payload"), WalkLikeness(least))
     out = prints.select("doc_id", "fingerprint").join(classes_, "fingerprint", "left")
     if labels is not None:
         out = out.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))

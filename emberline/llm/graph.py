@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import written
+from emberline.llm.common import shuffle_partitions, written
 
 #: Rows of ids and numbers up to which a side is broadcast: a few MB.
 SMALL_ROWS = 200_000
@@ -37,46 +41,99 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_buckets(buckets: DataFrame, check, percent: int | None = None) -> DataFrame | None:
-    """(v, label) of the components that check() makes of the members of common buckets; None without any link.
+def link_buckets(buckets: DataFrame, members: DataFrame, likeness, percent: int | None = None, block_rows: int = 2000) -> DataFrame | None:
+    """(v, label) of the components of all alike members of common buckets; None without any link.
+
+    buckets: key, v, n (a size), members and centre (the bucket's count and smallest v). members: v, keys (all bucket keys of
+    v), payload (binary). likeness is a picklable object with prepare(payload) and alike(x, y) of prepared ones. percent: sizes
+    further apart than that can't be alike.
 
-    buckets: key, v, n (a size), members and centre (the bucket's count and smallest v), a written table. check(pairs(a, b))
-    gives pairs with a boolean `linked`. First every bucket's smallest member is paired with the others: a star, not all
-    pairs. Members of a bucket that are not connected after that are paired with 8, 64, ... of the bucket's members, until
-    each is connected or has been compared with all. No bucket is cut, no pair compared twice, and a bucket of one component
-    costs its star only. percent: sizes further apart than that can't be linked.
+    First every bucket's smallest member is compared with the others: a star, not all pairs. What is not connected with most
+    of its bucket after that is compared with the whole bucket, in blocks of at most block_rows on either side, inside tasks:
+    rows grow with members times blocks, and only links leave. A pair is compared in the first bucket that it shares. So no
+    bucket is cut and no link is lost.
     """
-    labels = compared = None
-    centres = 1
-    open_rows = buckets.withColumn("label", F.col("v"))
-    while True:
-        if centres == 1:
-            hub = open_rows.where("v = centre")
-        else:
-            chance = F.pmod(F.xxhash64("key", "v"), F.lit(1_000_003)) / 1_000_003.0
-            hub = open_rows.where((chance * F.col("members") < centres) | (F.col("members") <= centres))
-        hub = hub.select("key", F.col("v").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-        pairs = open_rows.join(hub, "key").where((F.col("label") != F.col("hl")) & (F.col("v") != F.col("h")))
-        if percent is not None:
-            pairs = pairs.where(F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
-        pairs = pairs.select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        checked = written(check(pairs), "checked")
-        compared = checked.select("a", "b") if compared is None else compared.union(checked.select("a", "b"))
-        links = checked.where("linked").select("a", "b")
-        if not links.isEmpty():
-            labels = components(links) if labels is None else relabelled(labels, links)
-        rest = buckets.where(F.col("members") > max(2, centres))
-        if labels is not None:
-            rest = rest.join(labels, "v", "left").select("key", "v", "n", "members", "centre", F.coalesce("label", "v").alias("label"))
-        else:
-            rest = rest.withColumn("label", F.col("v"))
-        apart = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_rows = written(rest.join(apart, "key", "left_semi"), "open")
-        if open_rows.isEmpty():
-            return labels
-        centres *= 8
+    pairs = buckets.where("v <> centre").join(buckets.where("v = centre").select("key", F.col("n").alias("cn")), "key")
+    if percent is not None:
+        pairs = pairs.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
+    pairs = pairs.select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct()
+    left, right = (members.select(F.col("v").alias(x), F.col("payload").alias(f"p{x}")) for x in "ab")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([likeness.prepare(p.as_py()) for p in batch.column(i)] for i in (2, 3))
+            found = pa.array([likeness.alike(s, t) for s, t in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(found)
+
+    stars = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
+    links = written(stars.distinct(), "star-links")
+    labels = None if links.isEmpty() else components(links)
+
+    rows = buckets.where("members > 2")
+    rows = rows.withColumn("label", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
+    apart = by_label.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size")).where("kinds > 1")
+    apart = apart.select("key", F.col("most.label").alias("main"), F.ceil(F.col("size") / block_rows).cast("int").alias("base_blocks"), F.ceil((F.col("size") - F.col("most.k")) / block_rows).cast("int").alias("probe_blocks"))
+    open_rows = written(rows.join(apart, "key").select("key", "v", "n", "label", "main", "base_blocks", "probe_blocks"), "open")
+    if open_rows.isEmpty():
+        return labels
+    spread = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = open_rows.withColumn("i", spread("base_blocks")).withColumn("j", each("probe_blocks")).withColumn("probe", F.lit(False))
+    probes = open_rows.where("label <> main").withColumn("j", spread("probe_blocks")).withColumn("i", each("base_blocks")).withColumn("probe", F.lit(True))
+    both = base.unionByName(probes).join(members, "v").select("key", "i", "j", "probe", "v", "n", "label", "keys", "payload")
+    dealt = both.repartition(shuffle_partitions(buckets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def block(key: int, rows: pa.Table) -> tuple[list[int], list[int]]:
+        probe = rows.column("probe").to_numpy()
+        v, n, label = (rows.column(c).to_numpy() for c in ("v", "n", "label"))
+        keys = np.array(rows.column("keys").to_pylist(), np.int64).reshape(len(v), -1)
+        payload = rows.column("payload")
+        prepared: dict[int, object] = {}
+
+        def load(i: int):
+            if i not in prepared:
+                prepared[i] = likeness.prepare(payload[i].as_py())
+            return prepared[i]
+
+        bases, out = np.flatnonzero(~probe), ([], [])
+        probes_here = set(v[probe].tolist())
+        for x in np.flatnonzero(probe).tolist():
+            shared = keys[bases] == keys[x]
+            first = keys[x][shared.argmax(axis=1)] == key
+            near = shared.any(axis=1) & first & (label[bases] != label[x])
+            if percent is not None:
+                near &= np.minimum(n[bases], n[x]) * 100 >= np.maximum(n[bases], n[x]) * percent
+            for y in bases[near].tolist():
+                if (v[y] not in probes_here or v[x] < v[y]) and likeness.alike(load(x), load(y)):
+                    out[0].append(int(v[x]))
+                    out[1].append(int(v[y]))
+        return out
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                which = tuple(group[:, lo].tolist())
+                if which != now and held:
+                    a, b = block(now[0], pa.Table.from_batches(held))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    held = []
+                now = which
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            a, b = block(now[0], pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    more = written(dealt.mapInArrow(blocks, "a long, b long").distinct(), "block-links")
+    if more.isEmpty():
+        return labels
+    return components(more) if labels is None else relabelled(labels, more)
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -91,28 +91,33 @@ def signatures(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: the whole set of every row of docs."""
+def members(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """v (doc_id), keys, payload (the whole sorted set as 64-bit numbers) of every row of docs with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(bands)
         for rows, data, offsets in text_slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(data, offsets, words)
-            ends = np.cumsum([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))], ["doc_id", "shingles"])
+            some = [i for i, s in enumerate(sets) if len(s)]
+            keys = pa.array([sign(sets[i]).view(np.int64) for i in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(some, pa.int64())), keys, pa.array([sets[i].tobytes() for i in some], pa.binary())], ["v", "keys", "payload"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "v long, keys array<long>, payload binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with linked: 100 * intersection >= percent * union of the full sets.
+@dataclass(frozen=True)
+class SetLikeness:
+    """100 * intersection >= percent * union, on whole sets."""
 
-    Where an id has several texts, one pair of them that is alike links the ids.
-    """
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    alike = F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * percent
-    return both.select("a", "b", alike.alias("linked")).groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+    percent: int
+
+    @staticmethod
+    def prepare(payload: bytes) -> frozenset[int]:
+        return frozenset(np.frombuffer(payload, np.uint64).tolist())
+
+    def alike(self, x: frozenset[int], y: frozenset[int]) -> bool:
+        common = len(x & y)
+        return common * 100 >= (len(x) + len(y) - common) * self.percent
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: Bands = Bands()) -> DataFrame:
@@ -138,9 +143,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("centre")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
     ids = buckets.select(F.col("v").alias("doc_id")).distinct()
-    sets = written(full_sets(docs.select("doc_id", "text").join(small(written(ids, "members")), "doc_id", "left_semi"), words), "sets")
-
-    labels = link_buckets(buckets, lambda pairs: confirm(pairs, sets, percent), percent)
+    chosen = docs.select("doc_id", "text").join(small(written(ids, "members")), "doc_id", "left_semi")
+    labels = link_buckets(buckets, written(members(chosen, words, bands), "sets"), SetLikeness(percent), percent)
     out = assigned.select("doc_id", "n_shingles", "class_id")
     if labels is not None:
         out = out.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))
