@@ -56,6 +56,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.suffixes import digests
+
+    return digests(table(spark, sf_dir, "documents"), 100)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.quality import classify_quality
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_urls": op4_urls,
     "op5_warc": op5_warc,
+    "op6_suffixes": op6_suffixes,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
     "op9_token_files": op9_token_files,

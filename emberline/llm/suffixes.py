@@ -72,14 +72,14 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return owner[first], first, last - first, at - first, grams[at], whole
 
 
-def segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int, slice_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row of each text, its first byte's place in it, bytes, offsets): a text longer than a slice comes in pieces.
 
     Pieces overlap by length - 1 bytes, so every string starts in exactly one.
     """
-    if len(offsets) == 2 and offsets[1] > 2 * SLICE_BYTES:
-        for base in range(0, int(offsets[1]), SLICE_BYTES):
-            piece = data[base : base + SLICE_BYTES + length - 1]
+    if len(offsets) == 2 and offsets[1] > 2 * slice_bytes:
+        for base in range(0, int(offsets[1]), slice_bytes):
+            piece = data[base : base + slice_bytes + length - 1]
             if base == 0 or len(piece) >= length:
                 yield np.zeros(1, np.int64), np.array([base]), piece, np.array([0, len(piece)])
     else:
@@ -90,17 +90,17 @@ _RUN_SCHEMA = "key long, whole long, doc long, at long, shape int"
 _RUN_NAMES = ["key", "whole", "doc", "at", "shape"]
 
 
-def runs(docs: DataFrame, length: int) -> DataFrame:
+def runs(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
     """Runs of docs(doc, nth, text): key, whole, doc, at, shape. shape is 128 * (starts less one) + anchor's distance.
 
     Of equal runs in one slice, all but the earliest have a null key: their strings start earlier in it, whatever else there is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, "text", SLICE_BYTES):
+        for rows, data, offsets in text_slices(batches, "text", slice_bytes):
             docs_ = rows.column(0).to_numpy(zero_copy_only=False)
             base = rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << NTH_SHIFT
-            for row, place, part, ends in segments(rows, data, offsets, length):
+            for row, place, part, ends in segments(rows, data, offsets, length, slice_bytes):
                 text, first, span, distance, key, whole = anchor_runs(part, ends, length)
                 if not len(first):
                     continue
@@ -163,7 +163,7 @@ def settle(sorted_runs: DataFrame) -> DataFrame:
     return sorted_runs.mapInArrow(run, "doc long, at long, shape int, later boolean")
 
 
-def contexts(docs: DataFrame, length: int) -> DataFrame:
+def contexts(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
     """The bytes of the runs in docs(doc, nth, text, wanted array<struct<at, shape>>): key, doc, at, distance, bytes.
 
     A run is cut in two: strings that reach at least half of what is not anchor to its left, and the others. Either half has
@@ -173,31 +173,36 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     half = (rest + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, "text", SLICE_BYTES):
+        for rows, data, offsets in text_slices(batches, "text", slice_bytes):
             wanted = pc.list_flatten(rows.column(3))
             counts = pc.list_value_length(rows.column(3)).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(rows.num_rows), counts)
             at = wanted.field("at").to_numpy(zero_copy_only=False)
             shape = wanted.field("shape").to_numpy(zero_copy_only=False).astype(np.int64)
             first = offsets[owner] + (at & _LOW)
-            span, distance = shape >> 7, shape & 127
-            anchor = first + distance
-            h = prefix_hash(data)
             doc = rows.column(0).to_numpy(zero_copy_only=False)[owner]
-            # starts from `first` to `anchor - half` have the left half in common, those after it the right one
-            left_last = np.minimum(first + span, anchor - half)
-            right_first = np.maximum(first, anchor - half + 1)
-            for lo, hi, begin, end, side in ((first, left_last, anchor - half, anchor + GRAM, 1), (right_first, first + span, anchor, anchor + length - half + 1, 2)):
-                i = np.flatnonzero(hi >= lo)
-                if not len(i):
-                    continue
-                key = mix(span_hash(h, begin[i], end[i]) + np.uint64(side))
-                lo_, hi_ = lo[i], hi[i] + length
-                sizes = hi_ - lo_
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                picked = data[np.arange(ends[-1]) + np.repeat(lo_ - ends[:-1], sizes)]
-                raw = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(picked)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[i]), pa.array(at[i] + lo_ - first[i]), raw], ["key", "doc", "at", "bytes"])
+            for base in range(0, max(len(data), 1), 2 * slice_bytes):  # a long text alone may fill many slices
+                i = np.flatnonzero((first >= base) & (first < base + 2 * slice_bytes))
+                if len(i):
+                    yield from halves(data[base : base + 2 * slice_bytes + 2 * length], first[i] - base, shape[i], doc[i], at[i])
+
+    def halves(data: np.ndarray, first: np.ndarray, shape: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        span, distance = shape >> 7, shape & 127
+        anchor = first + distance
+        h = prefix_hash(data)
+        # starts up to `anchor - half` have the left half in common, those after it the right one
+        left_last = np.minimum(first + span, anchor - half)
+        right_first = np.maximum(first, anchor - half + 1)
+        for lo, hi, begin, end, side in ((first, left_last, anchor - half, anchor + GRAM, 1), (right_first, first + span, anchor, anchor + length - half + 1, 2)):
+            i = np.flatnonzero(hi >= lo)
+            if not len(i):
+                continue
+            key = mix(span_hash(h, begin[i], end[i]) + np.uint64(side))
+            sizes = hi[i] + length - lo[i]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            picked = data[np.arange(ends[-1]) + np.repeat(lo[i] - ends[:-1], sizes)]
+            raw = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(picked)])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[i]), pa.array(at[i] + lo[i] - first[i]), raw], ["key", "doc", "at", "bytes"])
 
     return docs.select("doc", "nth", "text", "wanted").mapInArrow(run, "key long, doc long, at long, bytes binary")
 
@@ -318,10 +323,10 @@ def sort_groups(dealt: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _with_end(batches):
-            table = pa.Table.from_batches([x for x in (held, batch) if x is not None and x.num_rows])
-            if not table.num_rows:
+            parts = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not parts:
                 continue
-            rows = table.combine_chunks().to_batches()[0]
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             key = rows.column(0).to_numpy()
             cut = len(key) if batch is None else int(np.searchsorted(np.cumsum(np.append(False, key[1:] != key[:-1])), np.count_nonzero(key[1:] != key[:-1])))
             held = None if batch is None else rows.slice(cut)
@@ -381,7 +386,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(small(nth), ["doc", "digest"], "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
 
 
-def repeated_spans(rows: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(rows: DataFrame, length: int = 100, slice_bytes: int = SLICE_BYTES, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc, nth, spans) of the texts with repeated bytes, and (digest, lead_doc, lead_nth) of texts that occur more than once.
 
     rows is numbered()'s. spans is the sorted array of {start, end} in bytes, neither touching the next. A text that occurs
@@ -395,7 +400,7 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> tuple[DataFrame, DataF
     firsts = written(firsts.select("digest", F.col("lead.doc").alias("lead_doc"), F.col("lead.nth").alias("lead_nth")), "firsts")
     own = rows.join(small(firsts), "digest", "left").where("lead_doc IS NULL OR (doc = lead_doc AND nth = lead_nth)").select("doc", "nth", "text")
 
-    found = runs(own, length)
+    found = runs(own, length, slice_bytes)
     dealt = found.repartition(n, F.coalesce("key", F.col("doc"))).sortWithinPartitions("key", "whole", "doc", "at")
     settled = written(settle(dealt), "settled")
     later = settled.where("later")
@@ -404,14 +409,14 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> tuple[DataFrame, DataF
     look = settled.where("NOT later").select("doc", F.shiftright("at", NTH_SHIFT).cast("int").alias("nth"), "at", "shape")
     wanted = look.groupBy("doc", "nth").agg(F.collect_list(F.struct("at", "shape")).alias("wanted"))
     few = look.limit(400_001).count() <= 400_000
-    pieces = written(contexts(own.join(F.broadcast(wanted) if few else wanted, ["doc", "nth"]), length), "contexts")
+    pieces = written(contexts(own.join(F.broadcast(wanted) if few else wanted, ["doc", "nth"]), length, slice_bytes), "contexts")
     sizes = pieces.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     sizes = written(sizes, "sizes")
     groups = pieces.join(sizes, "key")
-    calm = groups.where(F.col("members") <= GROUP_ROWS).repartition(n, "key").sortWithinPartitions("key")
+    calm = groups.where(F.col("members") <= group_rows).repartition(n, "key").sortWithinPartitions("key")
     spans = spans.union(sort_groups(calm, length))
-    if not sizes.where(F.col("members") > GROUP_ROWS).isEmpty():
-        strings = by_strings(groups.where(F.col("members") > GROUP_ROWS), length)
+    if not sizes.where(F.col("members") > group_rows).isEmpty():
+        strings = by_strings(groups.where(F.col("members") > group_rows), length)
         # equal strings now have one key: all rows but the earliest repeat, whatever the size of the group
         firsts_ = strings.groupBy("bytes").agg(F.min(F.struct("doc", "at")).alias("lead"), F.count("*").alias("k")).where("k > 1")
         again = strings.join(firsts_, "bytes").where((F.col("doc") != F.col("lead.doc")) | (F.col("at") != F.col("lead.at")))
@@ -429,14 +434,14 @@ def merged(spans: DataFrame) -> DataFrame:
     return islands.groupBy("doc", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def removed(docs: DataFrame, length: int = 100) -> DataFrame:
+def removed(docs: DataFrame, length: int = 100, slice_bytes: int = SLICE_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_bytes, spans (array of {start, end} that go), kept (binary, the rest).
 
     A null text is empty; rows of one doc_id and text are one document; different texts of one doc_id come in the order of
     their digests; a null doc_id is the smallest.
     """
     rows = numbered(docs)
-    spans, firsts = repeated_spans(rows, length)
+    spans, firsts = repeated_spans(rows, length, slice_bytes, group_rows)
     spans = written(spans, "spans")
     out = rows.withColumn("raw", F.encode("text", "UTF-8")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     out = out.join(small(firsts), "digest", "left")
