@@ -6,6 +6,9 @@ import numpy as np
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
+#: Also all other ASCII bytes that are neither letters nor digits.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -57,15 +60,16 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * down[starts])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts end to end: (A-Z lower-cased bytes, word starts, word ends, index of each text's first word, one more at the end).
 
-    Words are runs without space, tab, line feed, vertical tab, form feed and carriage return; none crosses two texts.
+    Words are runs without separators, by default space, tab, line feed, vertical tab, form feed and carriage return; none
+    crosses two texts.
     """
     data = _LOWER[data]
     if not len(data):
         return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATORS[data]
+    inside = ~separators[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = False, inside[:-1]
     inner = offsets[offsets < len(data)]
@@ -78,9 +82,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEPARATORS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, index of each text's first word)"""
-    data, starts, ends, first = words(data, offsets)
+    data, starts, ends, first = words(data, offsets, separators)
     return span_hash(prefix_hash(data), starts, ends), first
 
 
