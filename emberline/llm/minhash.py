@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import text_slices, written
@@ -149,3 +149,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     if labels is not None:
         out = out.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))
     return out.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id; all columns as they are.
+
+    Where that id has several rows, the one whose text has the smallest hash stays. Rows without doc_id stay.
+    """
+    found = near_duplicates(docs, words=words, percent=percent)
+    gone = written(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(small(repeated), "doc_id", "left_semi").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    first = again.withColumn("near_rank", F.row_number().over(order)).where("near_rank = 1").drop("near_rank")
+    return kept.join(small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(first)

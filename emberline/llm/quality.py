@@ -103,6 +103,16 @@ def train_quality(labelled: DataFrame, *, prior: float | None = None, max_docs_p
     return QualityModel(good, bad, tuple(w), tuple(mean), tuple(scale), block_bytes, level)
 
 
+class Scorer:
+    def __init__(self, model: QualityModel):
+        self.measure = Measure(model.good, model.bad, model.block_bytes, model.level)
+        self.weights, self.mean, self.scale = np.array(model.weights), np.array(model.mean), np.array(model.scale)
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        x = (expand(np.array([self.measure(t) for t in texts])) - self.mean) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score in [0, 1], predicted 0/1 for every row of docs(doc_id, text); only the text is looked at.
 
@@ -111,20 +121,31 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        measure = Measure(m.good, m.bad, m.block_bytes, m.level)
-        weights, mean, scale = np.array(m.weights), np.array(m.mean), np.array(m.scale)
+        scorer = Scorer(shipped.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = (expand(np.array([measure(t) for t in batch.column(1).to_pylist()])) - mean) / scale
-            score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            score = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores least or more, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shipped.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(score([t.encode() if t else b"" for t in batch.column(at).to_pylist()]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sampled_labels(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """The first per_class usable label rows of each value in the order of a hash of doc_id: at most a few thousand rows."""
     one = labels.where(F.col(column).isNotNull() & learns()).groupBy("doc_id").agg(F.min(column).alias(column), F.max(column).alias("most")).where(F.col(column) == F.col("most")).drop("most")
@@ -132,12 +153,17 @@ def sampled_labels(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, *, max_docs_per_class: int = 3000, max_bytes_per_class: int = 8_000_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, learnt from labels.quality of the rows not held out.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_docs_per_class: int = 3000, max_bytes_per_class: int = 8_000_000) -> QualityModel:
+    """A model from labels.quality of the rows of docs that are not held out.
 
     The label rows that may be used are cut to 2 * max_docs_per_class before they are joined, so the broadcast is bounded.
     """
     chosen = sampled_labels(labels, "quality", max_docs_per_class)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int").alias("label"))), "doc_id")
-    model = train_quality(labelled, prior=labels.where(learns()).agg(F.avg("quality")).first()[0], max_docs_per_class=max_docs_per_class, max_bytes_per_class=max_bytes_per_class)
-    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    prior = labels.where(learns()).agg(F.avg("quality")).first()[0]
+    return train_quality(labelled.select("doc_id", "text", "label"), prior=prior, max_docs_per_class=max_docs_per_class, max_bytes_per_class=max_bytes_per_class)
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, learnt from labels.quality of the rows not held out."""
+    return score_quality(docs, fit_quality(docs, labels, **bounds)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
