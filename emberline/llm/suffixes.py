@@ -408,8 +408,7 @@ def repeated_spans(rows: DataFrame, length: int = 100, slice_bytes: int = SLICE_
 
     look = settled.where("NOT later").select("doc", F.shiftright("at", NTH_SHIFT).cast("int").alias("nth"), "at", "shape")
     wanted = look.groupBy("doc", "nth").agg(F.collect_list(F.struct("at", "shape")).alias("wanted"))
-    few = look.limit(400_001).count() <= 400_000
-    pieces = written(contexts(own.join(F.broadcast(wanted) if few else wanted, ["doc", "nth"]), length, slice_bytes), "contexts")
+    pieces = written(contexts(own.join(wanted, ["doc", "nth"]), length, slice_bytes), "contexts")
     sizes = pieces.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     sizes = written(sizes, "sizes")
     groups = pieces.join(sizes, "key")
@@ -445,8 +444,7 @@ def removed(docs: DataFrame, length: int = 100, slice_bytes: int = SLICE_BYTES,
     spans = written(spans, "spans")
     out = rows.withColumn("raw", F.encode("text", "UTF-8")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     out = out.join(small(firsts), "digest", "left")
-    size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    out = out.join(F.broadcast(spans) if (size[1] or 0) <= 1_000_000 else spans, ["doc", "nth"], "left")
+    out = out.join(spans, ["doc", "nth"], "left")
     copy = F.col("lead_doc").isNotNull() & ((F.col("doc") != F.col("lead_doc")) | (F.col("nth") != F.col("lead_nth")))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
