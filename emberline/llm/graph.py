@@ -26,19 +26,25 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of edges(a, b): label is the smallest vertex reachable.
 
-    Labels flow along edges and then along themselves, so a chain of n vertices takes about log n rounds. Each round is
+    In each round a vertex takes its smallest neighbour's, then that one's smallest neighbour's name; edges go on between the
+    names only, without those within one, so they become few within about log n rounds even in a chain of n. Each round is
     written to the shared folder; hot vertices meet map-side minima and joins that Spark may split.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        target = labels.select(F.col("v").alias("low"), F.col("label").alias("beyond"))
-        step = written(lower.join(target, "low").select("v", "old", F.least("low", "beyond").alias("label")), "labels")
-        labels = step.select("v", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    live = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or not live.isEmpty():
+        both = live.union(live.select("b", "a"))
+        low = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")), "low")
+        step = written(low.join(low.select(F.col("v").alias("m"), F.col("m").alias("label")), "m").select("v", "label"), "step")
+        if labels is None:
+            labels = step
+        else:
+            on = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            labels = written(labels.join(on, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
+        named = lambda c: step.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))  # noqa: B023, E731
+        over = live.join(named("a"), "a").join(named("b"), "b").where("al <> bl")
+        live = written(over.select(F.least("al", "bl").alias("a"), F.greatest("al", "bl").alias("b")).distinct(), "edges")
+    return labels
 
 
 def link_buckets(buckets: DataFrame, members: DataFrame, likeness, percent: int | None = None, block_rows: int = 2000) -> DataFrame | None:
