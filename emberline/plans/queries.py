@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import text as tx
-from emberline.operators import classify, compare, condense, curate, patches, scoring, usage
+from emberline.operators import classify, compare, condense, curate, edits, patches, scoring, usage
 from emberline.sources import views
 
 
@@ -182,6 +182,29 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.logs(spark, sf_dir).select("log_id", F.size(found["hits"]).alias("n_hits"), found["more"].alias("more"), F.get(found["hits"], F.lit(0))["n"].alias("first_line"))
 
 
+def repaired_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches whose header tells other counts than the hunk has. No SQL twin: a fold over lines."""
+    rows = views.patches(spark, sf_dir).withColumn("patch", F.replace("patch", F.lit("@@ -1,2 +1,2 @@"), F.lit("@@ -1,9 +1,7 @@")))
+    return rows.select("patch_id", edits.needs_repair(F.col("patch")).alias("needs_repair"), F.md5(edits.repair_patch(F.col("patch"))).alias("repaired_md5"))
+
+
+def edited_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit of each part's text, exact for most and with other white space for some. No SQL twin: a fold over edits."""
+    part = views.table(spark, sf_dir, "part")
+    text = F.concat(F.lit("name:\n    "), "p_name", F.lit("\n    "), "p_type", F.lit("\n"))
+    find = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("  "), "p_name", F.lit("\n  "), "p_type", F.lit("\n"))).otherwise(F.col("p_type"))
+    edit = F.struct(F.lit("b/src/p.txt").alias("path"), find.alias("find"), F.lit("changed").alias("replace"))
+    cases = part.select(F.col("p_partkey").alias("case_id"), F.array(edit).alias("edits"), F.create_map(F.lit("src/p.txt"), text).alias("contents"))
+    return edits.patches_from_edits(cases)
+
+
+def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each event type through a bucket. No SQL twin: a sequence with state."""
+    events = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_timestamp("ts").cast("double").alias("at"))
+    caps = spark.createDataFrame([("view", 1), ("click", 2), ("error", None)], "provider string, rpm int")
+    return usage.token_bucket(events, caps)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
@@ -189,6 +212,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o_localization": localization, "o_first_hits": first_hits, "f_funnel": funnel, "f_funnel_stages": funnel_stages,
     "g_gate": gate, "g_flips": flips, "m_ranking": model_ranking, "m_winners": model_winners, "t_spreads": trial_spreads,
     "d_diversified": diversified, "d_selected": selected, "d_reconciled": reconciled, "d_failed_jobs": failed_jobs, "h_content_hash": content_hash, "h_row_digests": row_digests,
-    "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
-    "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight,
+    "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "p_repaired": repaired_patches, "p_edited": edited_patches, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
+    "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }
