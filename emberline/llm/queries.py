@@ -113,4 +113,15 @@ ORACLE_SQL: dict[str, str] = {
                regexp_replace(regexp_replace(url, chr(13), '%0D', 'g'), chr(10), '%0A', 'g') AS url
         FROM s LEFT JOIN g USING (payload_digest)
     """,
+    "op8_minhash": """
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS x FROM d),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT i, j FROM c JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * k >= 80 * (a.n + b.n - k)),
+             v AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+             t AS (SELECT i, j FROM v UNION SELECT t.i, v.j FROM t JOIN v ON t.j = v.i)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(t.j)) AS component_id, d.doc_id <= coalesce(min(t.j), d.doc_id) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t ON t.i = d.doc_id GROUP BY d.doc_id, n.n
+    """,
 }
