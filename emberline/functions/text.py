@@ -103,9 +103,8 @@ def is_setup_step(name: Column) -> Column:
 
 
 def stated_retry_seconds(body: Column) -> Column:
-    """Seconds that a response body asks to wait; null if it doesn't."""
-    found = F.regexp_extract(body, r"(?i)(?:retry|try again) (?:in|after) (\d+(?:\.\d+)?) ?s", 1)
-    return F.nullif(found, F.lit("")).cast("double")
+    """Seconds that an error payload asks to wait; null if it doesn't."""
+    return F.regexp_extract(body, r'"retryDelay"\s*:\s*"?([0-9.]+)s?"?', 1).try_cast("double")
 
 
 def quote_evidence(evidence: Column, limit: int = 3, chars: int = 300) -> Column:

@@ -82,9 +82,19 @@ def signal(conclusion: Column, attempt: Column, rerun_passed: Column, failed_ste
     return F.when(rerun_passed & (attempt > 1), names[0]).when(conclusion.isin("cancelled", "timed_out"), names[1]).when(F.coalesce(F.size(failed_steps), F.lit(0)) <= 0, names[2]).when(is_setup_step(first), names[3]).otherwise(names[4])
 
 
+def _mentions(text: Column, markers: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m))
+
+
 def rate_limited(status: Column, body: Column) -> Column:
-    lowered = F.replace(F.lower(body), F.lit("_"), F.lit(""))
-    return (status == 429) & (F.contains(lowered, F.lit("ratelimit")) | F.contains(lowered, F.lit("rate limit")) | F.contains(lowered, F.lit("resourceexhausted")))
+    """A 429 that passes by itself: the body speaks of a limit a minute, and of none a day."""
+    flat = F.replace(F.lower(F.coalesce(body, F.lit(""))), F.lit("_"), F.lit(""))
+    return F.coalesce((status == 429) & ~_mentions(flat, registry.PER_DAY) & _mentions(flat, registry.PER_MINUTE), F.lit(False))
+
+
+def quota_exhausted(status: Column, body: Column) -> Column:
+    """A 429 that won't pass until the allowance is renewed."""
+    return F.coalesce((status == 429) & ~rate_limited(status, body) & _mentions(F.lower(F.coalesce(body, F.lit(""))), registry.QUOTA_EXHAUSTED), F.lit(False))
 
 
 def violations(cases: DataFrame) -> DataFrame:

@@ -80,6 +80,19 @@ MAX_PATCH_LINES = 200
 MIN_CONFIDENCE = 0.6
 
 
+#: What bodies of refused requests say.
+PER_MINUTE = ["perminute", "per minute", "requests per minute", "rpm"]
+PER_DAY = ["perday", "per day", "requests per day", "daily limit"]
+QUOTA_EXHAUSTED = ["exceeded your current quota", "quota_exceeded", "billing details"]
+
+CONCLUSIONS = ["success", "failure", "cancelled", "timed_out", "skipped", "neutral", "action_required"]
+SENSITIVE_KEYS = ["api_key", "apikey", "access_token", "auth_token", "authorization", "credential", "password", "secret"]
+
+OUTPUT_TAIL_CHARS = 800
+APPLY_OUTPUT_LINES = 20
+PREVIEW_CHARS = 200
+
+
 @dataclass(frozen=True)
 class Model:
     name: str
