@@ -147,8 +147,9 @@ def error_message(body: Column) -> Column:
 
 
 def retry_delay(status: Column, retry_after: Column, longest: float = 30.0) -> Column:
-    """Seconds until a refused request is worth another try; null if the response is final."""
-    told = F.least(F.greatest(retry_after.try_cast("double"), F.lit(0.0)), F.lit(longest))
+    """Seconds until a refused request is worth another try; null if the response is final or doesn't say when."""
+    seconds = retry_after.try_cast("double")
+    told = F.when(seconds.isNotNull(), F.least(F.greatest(seconds, F.lit(0.0)), F.lit(longest)))
     return F.when(status.isin(500, 502, 503, 504), F.lit(1.0)).when(status.isin(403, 429), told)
 
 
@@ -164,4 +165,3 @@ def updated(cases: DataFrame, decisions: DataFrame) -> DataFrame:
 def latest_manifest_differs(a: DataFrame, b: DataFrame) -> bool:
     """Whether two manifests of the same columns hold different rows."""
     return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
-
