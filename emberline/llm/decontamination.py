@@ -27,7 +27,8 @@ class Settings:
     sketch_rows: rows that the passages of the documents are summed into at random, and as many for those of the items; rank:
     dimensions of the latent space. A candidate has a cosine of at least `cosine`; a passage whose vector is shorter than
     `least_norm` of the item's counts as that long. It is a leak if the longest common subsequence has `covered` of the item's
-    words, or `paraphrased` of them together with `answered` of its answer's words in order.
+    words, or `paraphrased` of them together with `answered` of its answer's words, in order and within
+    `answer_spread` times as many words (and two more).
     """
 
     passage_blocks: int = 3
@@ -39,6 +40,7 @@ class Settings:
     covered: float = 0.7
     paraphrased: float = 0.5
     answered: float = 0.8
+    answer_spread: float = 1.5
 
 
 @dataclass
@@ -205,17 +207,24 @@ def places(words: np.ndarray) -> dict[int, int]:
     return masks
 
 
+def answer_share(masks: dict[int, int], size: int, words: list[int], spread: float) -> float:
+    """The largest share of an answer of so many words that stands in order within a few more words than it has."""
+    span = int(size * spread) + 2
+    return max((common_subsequence(masks, size, words[i : i + span]) / size for i, w in enumerate(words) if w in masks), default=0.0)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, cosine, coverage, answer_coverage: the leaks of benchmark(item_id, text[, answer]) in docs(doc_id, text).
 
     A row for each document and item of which a passage in the document is near in the latent space and passes the checks;
     figures are the best passage's. Without an answer column, or where it is null, an item's last sentence stands for it.
-    Words go without case and ASCII punctuation. Items are searched 2,000 at a time, each time in all documents; documents
+    Words go without case (of all alphabets) and ASCII punctuation. Items are searched 2,000 at a time, each time in all documents; documents
     are never shuffled. Null and empty texts leak nothing; repeated rows give repeated results; a null doc_id is kept.
     """
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    wanted = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", answer.alias("answer"))
+    wanted = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.lower("text").alias("text"), F.lower(answer).alias("answer"))
+    docs = docs.select("doc_id", F.lower("text").alias("text"))
     found = None
     last = None
     while True:
@@ -283,7 +292,7 @@ def search(docs: DataFrame, items: Items, space: Space, settings: Settings) -> D
                     coverage = common_subsequence(masks[i], size, words) / size
                     if coverage < settings.paraphrased:
                         continue
-                    told = common_subsequence(answers[i], len(known.answers[i]), words) / max(len(known.answers[i]), 1)
+                    told = answer_share(answers[i], len(known.answers[i]), words, settings.answer_spread)
                     if coverage >= settings.covered or told >= settings.answered:
                         key, value = (t, known.owner[i]), (coverage, told, float(cosine[p, i]))
                         best[key] = max(best.get(key, value), value)

@@ -1,6 +1,6 @@
 import random
 
-from emberline.llm.decontamination import Settings, common_subsequence, decontaminate, find_leaks, hashed, places
+from emberline.llm.decontamination import Settings, answer_share, common_subsequence, decontaminate, find_leaks, hashed, places
 
 RNG = random.Random(7)
 COMMON = ["the", "of", "and", "is", "to", "in"]
@@ -49,6 +49,16 @@ def test_answers_decide_paraphrases(spark, make_docs):
     assert [(r.doc_id, r.item_id, r.answer_coverage) for r in out] == [(1, 9, 1.0)]
 
 
+def test_case_of_all_alphabets_and_scattered_answers(spark, make_docs):
+    item = [f"é{w}ц" for w in words(30)]
+    docs = make_docs([(1, " ".join(item).upper()), *[(k, " ".join(words(100))) for k in range(2, 30)]])
+    assert [(r.doc_id, r.coverage) for r in find_leaks(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()] == [(1, 1.0)]
+    masks = places(hashed("a b c d"))
+    assert answer_share(masks, 4, hashed("x a b c d x").tolist(), 1.5) == 1.0
+    assert answer_share(masks, 4, hashed("a x x x x x x x b x x x x x x x c x x x x x x d").tolist(), 1.5) == 0.5
+    assert answer_share({}, 0, hashed("a b").tolist(), 1.5) == 0.0 == answer_share(masks, 4, [], 1.5)
+
+
 def test_nulls_repeats_long_and_empty(spark, make_docs):
     item = " ".join(words(30))
     docs = make_docs([(1, None), (2, ""), (3, item), (3, item), (None, item), (4, " ".join(words(50000)) + " " + item)])
