@@ -246,60 +246,104 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     return found
 
 
+class Searcher:
+    """Leaks in texts end to end.
+
+    Scores are linear in a passage's words: `pull` has each term's part of the score against each item, divided by the least
+    score that a candidate needs whatever its own length. Sums of it leave few passages, and only these get their vectors.
+    """
+
+    def __init__(self, items: Items, space: Space, settings: Settings):
+        self.items, self.space, self.settings = items, space, settings
+        self.masks, self.answers = [places(p) for p in items.passages], [places(a) for a in items.answers]
+        floor = settings.cosine * (settings.least_norm * space.lengths + 1e-9)
+        self.pull = np.ascontiguousarray((space.terms @ space.items.T) / (0.999 * floor)[None, :])
+        #: The most that one occurrence of a term can do for any item.
+        self.most = np.maximum(self.pull.max(axis=1, initial=0), 0)
+
+    def candidates(self, block: np.ndarray, term: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, items) whose score may be enough; end is the block after each passage, block and term are ascending."""
+        total, width = len(end), self.settings.passage_blocks
+        reach = np.concatenate([[0], np.cumsum(np.bincount(block, weights=self.most[term], minlength=total))])
+        hopeful = reach[end] - reach[:-1] >= 1
+        first = np.searchsorted(block, np.arange(total + 1))
+        for at in range(0, total, 1024):
+            stop = min(at + 1024, total)
+            own = at + np.flatnonzero(hopeful[at:stop])
+            if not len(own):
+                continue
+            lo, hi = first[at], first[min(stop + width - 1, total)]
+            pulled = self.by_block(block[lo:hi] - at, term[lo:hi], stop - at + width)
+            score = pulled[own - at]
+            for k in range(1, width):
+                rows = np.flatnonzero(own + k < end[own])
+                score[rows] += pulled[own[rows] + k - at]
+            p, i = np.nonzero(score >= 1)
+            yield own[p], i
+
+    def by_block(self, block: np.ndarray, term: np.ndarray, count: int) -> np.ndarray:
+        """(count, items): pull summed by block: every block's first term, then every second one, and so on."""
+        out = np.zeros((count, self.pull.shape[1]), np.float32)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        sizes = np.diff(np.append(starts, len(block)))
+        order = np.argsort(-sizes, kind="stable")
+        starts, left = starts[order], np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+        sums = np.zeros((len(starts), out.shape[1]), np.float32)
+        for r, n in enumerate(left.tolist()):
+            sums[:n] += self.pull[term[starts[:n] + r]]
+        out[block[starts]] = sums
+        return out
+
+    def cosines(self, block: np.ndarray, term: np.ndarray, end: np.ndarray, passages: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of pairs of a passage and an item."""
+        unique, place = np.unique(passages, return_inverse=True)
+        lo, hi = np.searchsorted(block, unique), np.searchsorted(block, end[unique])
+        vectors = np.array([self.space.terms[term[a:b]].sum(axis=0) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        length = np.linalg.norm(vectors, axis=1)[place]
+        least = self.settings.least_norm * self.space.lengths[which] + 1e-9
+        return np.einsum("pd,pd->p", vectors[place], self.space.items[which]) / np.maximum(length, least)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """{(text, owner): best (coverage, answer's share, cosine)}"""
+        known, settings = self.items, self.settings
+        hashes, first, first_block, block, term, _ = blocks(known, data, offsets)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        if not len(block):
+            return best
+        text = np.repeat(np.arange(len(first_block) - 1), np.diff(first_block))
+        # a passage is a block and the next ones of its text
+        end = np.minimum(np.arange(first_block[-1]) + settings.passage_blocks, first_block[text + 1])
+        for passages, which in self.candidates(block, term, end):
+            if not len(passages):
+                continue
+            cosine = self.cosines(block, term, end, passages, which)
+            for x in np.flatnonzero(cosine >= settings.cosine).tolist():
+                p, i = int(passages[x]), int(which[x])
+                t = int(text[p])
+                lo = int(first[t] + (p - first_block[t]) * BLOCK_WORDS)
+                words = hashes[max(int(first[t]), lo - BLOCK_WORDS) : min(int(first[t + 1]), lo + (settings.passage_blocks + 1) * BLOCK_WORDS)].tolist()
+                size = len(known.passages[i])
+                coverage = common_subsequence(self.masks[i], size, words) / size
+                if coverage < settings.paraphrased:
+                    continue
+                told = answer_share(self.answers[i], len(known.answers[i]), words, settings.answer_spread)
+                if coverage >= settings.covered or told >= settings.answered:
+                    key, value = (t, known.owner[i]), (coverage, told, float(cosine[x]))
+                    best[key] = max(best.get(key, value), value)
+        return best
+
+
 def search(docs: DataFrame, items: Items, space: Space, settings: Settings) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((items, space))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, latent = shipped.value
-        masks = [places(p) for p in known.passages]
-        answers = [places(a) for a in known.answers]
-        shortest = float(latent.lengths[latent.lengths > 0].min(initial=np.inf)) * settings.least_norm * settings.cosine
-        squares = latent.idf**2
+        find = Searcher(*shipped.value, settings)
         for rows, data, offsets in text_slices(batches, "text", SLICE_BYTES):
-            hashes, first, first_block, block, term, _ = blocks(known, data, offsets)
-            if not len(block):
-                continue
-            total = int(first_block[-1])
-            # a passage is a block and the next ones of its text; its vector can't be longer than its TF-IDF vector
-            text = np.repeat(np.arange(len(first_block) - 1), np.diff(first_block))
-            end = np.minimum(np.arange(total) + settings.passage_blocks, first_block[text + 1])
-            pairs, counts = np.unique(block * len(latent.idf) + term, return_counts=True)
-            mass = np.bincount(pairs // len(latent.idf), weights=counts**2 * squares[pairs % len(latent.idf)], minlength=total)
-            reach = np.concatenate([[0], np.cumsum(np.sqrt(mass))])
-            passages = np.flatnonzero(reach[end] - reach[:-1] >= shortest)
-            if not len(passages):
-                continue
-            wanted = np.zeros(total + 1, np.int64)
-            np.add.at(wanted, passages, 1)
-            np.add.at(wanted, end[passages], -1)
-            wanted = np.cumsum(wanted)[:-1] > 0
-            some = wanted[block]
-            vectors = np.zeros((total + 1, latent.terms.shape[1]), np.float32)
-            starts = np.flatnonzero(np.append(True, block[some][1:] != block[some][:-1]))
-            if len(starts):
-                vectors[block[some][starts] + 1] = np.add.reduceat(latent.terms[term[some]], starts, axis=0)
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for at in range(0, len(passages), 4096):
-                own = passages[at : at + 4096]
-                v = sum(np.where((own + k < end[own])[:, None], vectors[np.minimum(own + k, total - 1) + 1], 0) for k in range(settings.passage_blocks))
-                length = np.linalg.norm(v, axis=1)
-                cosine = (v @ latent.items.T) / np.maximum(length[:, None], settings.least_norm * latent.lengths[None, :] + 1e-9)
-                for p, i in zip(*np.nonzero(cosine >= settings.cosine), strict=True):
-                    t = int(text[own[p]])
-                    lo = int(first[t] + (own[p] - first_block[t]) * BLOCK_WORDS)
-                    words = hashes[max(int(first[t]), lo - BLOCK_WORDS) : min(int(first[t + 1]), lo + (settings.passage_blocks + 1) * BLOCK_WORDS)].tolist()
-                    size = len(known.passages[i])
-                    coverage = common_subsequence(masks[i], size, words) / size
-                    if coverage < settings.paraphrased:
-                        continue
-                    told = answer_share(answers[i], len(known.answers[i]), words, settings.answer_spread)
-                    if coverage >= settings.covered or told >= settings.answered:
-                        key, value = (t, known.owner[i]), (coverage, told, float(cosine[p, i]))
-                        best[key] = max(best.get(key, value), value)
+            best = find(data, offsets)
             if best:
                 keys = sorted(best)
                 doc_ids = rows.column(0).take(pa.array([t for t, _ in keys], pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([known.ids[i] for _, i in keys], pa.int64()), *(pa.array([best[k][c] for k in keys], pa.float64()) for c in (2, 0, 1))], ["doc_id", "item_id", "cosine", "coverage", "answer_coverage"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([find.items.ids[i] for _, i in keys], pa.int64()), *(pa.array([best[k][c] for k in keys], pa.float64()) for c in (2, 0, 1))], ["doc_id", "item_id", "cosine", "coverage", "answer_coverage"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, cosine double, coverage double, answer_coverage double")
 
