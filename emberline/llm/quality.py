@@ -12,7 +12,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded_texts, dictionary, held_out, learns
+from emberline.llm.common import bounded_texts, dictionary, held_out, learns, text_slices
+
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -112,6 +114,14 @@ class Scorer:
         x = (expand(np.array([self.measure(t) for t in texts])) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
+    def column(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
+        """Scores of a batch of texts, of which some MB at a time are copied."""
+        scores = []
+        for _, data, offsets in text_slices(iter([batch]), name, SLICE_BYTES):
+            raw = data.tobytes()
+            scores.append(self([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]))
+        return np.concatenate(scores)
+
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score in [0, 1], predicted 0/1 for every row of docs(doc_id, text); only the text is looked at.
@@ -125,23 +135,21 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            score = scorer(batch.column(1).to_pylist())
+            score = scorer.column(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores least or more, with all their columns."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shipped.value)
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(score([t.encode() if t else b"" for t in batch.column(at).to_pylist()]) >= least))
+                yield batch.filter(pa.array(score.column(batch, "text") >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
