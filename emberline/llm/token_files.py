@@ -49,10 +49,11 @@ class PieceEncoder:
     """tokenizers' encoding of whole texts, by pieces between single spaces; pieces met before are not encoded again.
 
     A byte-level pre-tokenizer never joins what stands before a space between two other characters with what follows, so
-    the pieces' ids in a row are the text's. At most max_pieces are remembered.
+    the pieces' ids in a row are the text's. At most max_pieces are remembered, some 50 MB: the worker keeps them between
+    tasks, also while it does other work.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
