@@ -272,7 +272,8 @@ def near_by_edits(prints: DataFrame, *, least: float = 0.8, bands: int = 12, bit
             for w, b in zip(walked.tolist(), all_bits, strict=True):
                 level = (w // SAMPLES).bit_length()  # doublings filled, the first 128 steps counting as one
                 own = np.zeros(2 * bands, np.int64)
-                for slot, at in enumerate((level - 1, level - 2)):
+                for at in (level - 1, level - 2):
+                    slot = at % 2  # a doubling has one slot in all walks: link_buckets() compares keys slot by slot
                     if at < 0:  # nothing that other walks could share: a key of its own
                         own[slot * bands : (slot + 1) * bands] = xxhash.xxh3_64_intdigest(b.tobytes(), w) // 2 + np.arange(bands)
                     else:

@@ -51,7 +51,7 @@ def link_buckets(buckets: DataFrame, members: DataFrame, likeness, percent: int
     """(v, label) of the components of all alike members of common buckets; None without any link.
 
     buckets: key, v, n (a size), members and centre (the bucket's count and smallest v). members: v, keys (all bucket keys of
-    v), payload (binary). likeness is a picklable object with prepare(payload) and alike(x, y) of prepared ones. percent: sizes
+    v, as many in each row, an equal key at the same place), payload (binary). likeness is a picklable object with prepare(payload) and alike(x, y) of prepared ones. percent: sizes
     further apart than that can't be alike.
 
     First every bucket's smallest member is compared with the others: a star, not all pairs. What is not connected with most

@@ -104,3 +104,13 @@ def test_copies_and_near_copies_are_one_component(spark, make_docs):
     out = {r.doc_id: r.component_id for r in fp.near_by_edits(prints).collect()}
     assert {i: out[i] for i, _ in rows} == {i: truth[i] for i, _ in rows}
     assert out[None] is None and out[900] == out[901] == 900
+
+
+def test_walks_on_either_side_of_a_doubling_meet_without_the_centre(spark):
+    rng = np.random.default_rng(7)
+    bits = rng.integers(0, 2, 1024, dtype=np.uint8)
+    other = rng.integers(0, 2, 1024, dtype=np.uint8)
+    other[: 3 * fp.SAMPLES] = bits[: 3 * fp.SAMPLES]
+    rows = [(1, fp.to_text(600, other)), (2, fp.to_text(1000, bits)), (3, fp.to_text(1030, bits))]
+    out = {r.doc_id: r.component_id for r in fp.near_by_edits(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert out == {1: 1, 2: 2, 3: 2}
