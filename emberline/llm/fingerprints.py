@@ -4,12 +4,13 @@ edit distance to Hamming distance; sampled bits of the walk are the fingerprint,
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,37 +251,78 @@ class WalkLikeness:
         return bool(likeness(np.array([x[0]]), bits[:1], np.array([y[0]]), bits[1:])[0] >= self.least)
 
 
-def near_by_edits(prints: DataFrame, *, least: float = 0.8, bands: int = 12, bits: int = 32) -> DataFrame:
+def reaches(least: float, longest: int) -> np.ndarray:
+    """Numbers of leading steps that walks are banded over, from 0 to beyond longest, each 1 / least of the one before or more.
+
+    A walk is banded over the last reach within it and the one before. Of two walks alike by least, the shorter has at least
+    that share of the longer's steps, so they have a reach in common.
+    """
+    out = [0, 1]
+    while out[-1] <= longest:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] / least)))
+    return np.array(out, np.int64)
+
+
+def band_choice(classes_: int, least: float, missed: float) -> tuple[int, int]:
+    """(bands, bits) for so many different fingerprints, so that a pair alike by least shares no band at most so often.
+
+    Bits grow with the logarithm of the table, so that few unlike walks share a key. A pair alike by least differs in (1 - least) / 2 of
+    the bits of the whole walk, and in 1 / least times that if all edits are within the reach.
+    """
+    bits = 2 + math.ceil(math.log2(max(classes_, 2 << 13)))
+    hit = (1 - min(0.5, (1 - least) / 2 / least)) ** bits
+    return max(1, math.ceil(math.log(missed) / math.log1p(-hit))), bits
+
+
+def band_keys(walked: int, sampled: np.ndarray, grid: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """2 * bands keys of a walk, those of one reach always in the same half: link_buckets() compares them place by place.
+
+    A key is of bits drawn with replacement from all steps up to the reach, each step by the sample that stands for it, so edits
+    count by their share of the walk whether they are spread or in one passage.
+    """
+    at = int(np.searchsorted(grid, walked, side="right")) - 1
+    own = np.zeros(2 * bands, np.int64)
+    for i in (at, at - 1):
+        chosen, powers = _drawn(int(grid[i]), bands, bits)
+        picked = (sampled[chosen].astype(np.uint64) * powers).sum(1, dtype=np.uint64)
+        half = i % 2 * bands
+        own[half : half + bands] = mix(picked + np.uint64(i * 1_000_003) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+    return own
+
+
+@lru_cache(maxsize=512)
+def _drawn(reach: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bands x bits places of samples, a factor for each bit)"""
+    seed = np.arange(bands * bits, dtype=np.uint64) + mix(np.array([reach + 31], np.uint64))
+    steps = (mix(seed) % np.uint64(max(reach, 1))).astype(np.int64).reshape(bands, bits)
+    level = np.where(steps < SAMPLES, 0, np.frexp(steps // SAMPLES)[1])  # 0: the first 128 steps, then one doubling after the other
+    stride = np.left_shift(1, np.maximum(level - 1, 0))
+    places = level * SAMPLES + np.where(level == 0, steps, steps // stride - SAMPLES)
+    places = np.where(STEPS[places] < reach, places, np.maximum(places - 1, 0))  # its sample may stand beyond the reach
+    return places, mix(np.arange(1, bits + 1, dtype=np.uint64))
+
+
+def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None) -> DataFrame:
     """doc_id, component_id of rows of prints(doc_id, fingerprint): the smallest doc_id reachable by likeness of least or more.
 
-    Equal fingerprints are one class. A class is found by band keys: `bands` random choices of `bits` sampled bits of the
-    last doubling of steps that its walk fills, and as many of the one before, so that walks on either side of a doubling
-    meet. Members of a bucket are paired by link_buckets() and verified on whole fingerprints. Walks of under 256 steps
-    are found by equal fingerprints, and by the first 128 steps. A null doc_id has no component.
+    Equal fingerprints are one class. A class is found by band keys over the leading steps of its walk: see reaches() and
+    band_keys(). By default bands and bits follow from the number of classes, so that a pair alike by just least is missed at most
+    `missed` of the time where the edits lie worst, and less elsewhere. Members of a bucket are paired by link_buckets() and verified on
+    whole fingerprints. A null doc_id has no component; an empty text is alike to empty ones only.
     """
     classes_ = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     classes_ = written(classes_, "print-classes")
+    chosen = band_choice(classes_.count(), least, missed)
+    bands, bits = bands or chosen[0], bits or chosen[1]
 
     def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.argsort(mix(np.arange(bands * SAMPLES, dtype=np.uint64) + np.uint64(31)).reshape(bands, SAMPLES), axis=1)[:, :bits]
-        powers = mix(np.arange(1, bits + 1, dtype=np.uint64))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            walked, all_bits = from_texts(batch.column(0).to_pylist())
-            found = []
-            for w, b in zip(walked.tolist(), all_bits, strict=True):
-                level = (w // SAMPLES).bit_length()  # doublings filled, the first 128 steps counting as one
-                own = np.zeros(2 * bands, np.int64)
-                for at in (level - 1, level - 2):
-                    slot = at % 2  # a doubling has one slot in all walks: link_buckets() compares keys slot by slot
-                    if at < 0:  # nothing that other walks could share: a key of its own
-                        own[slot * bands : (slot + 1) * bands] = xxhash.xxh3_64_intdigest(b.tobytes(), w) // 2 + np.arange(bands)
-                    else:
-                        picked = (b[at * SAMPLES : (at + 1) * SAMPLES][chosen].astype(np.uint64) * powers).sum(1, dtype=np.uint64)
-                        own[slot * bands : (slot + 1) * bands] = mix(picked + np.uint64(at * 1000) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                found.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(walked), batch.column(0).cast(pa.binary())], ["v", "keys", "n", "payload"])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                walked, all_bits = from_texts(part.column(0).to_pylist())
+                grid = reaches(least, int(walked.max()))
+                found = [band_keys(w, b, grid, bands, bits) if w else [] for w, b in zip(walked.tolist(), all_bits, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(walked), part.column(0).cast(pa.binary())], ["v", "keys", "n", "payload"])
 
     lists = written(classes_.select("fingerprint", "class_id").mapInArrow(key_lists, "v long, keys array<long>, n long, payload binary"), "print-keys")
     keyed = lists.select(F.explode("keys").alias("key"), "v", "n").repartition("key").groupBy("key", "v").agg(F.min("n").alias("n"))

@@ -114,3 +114,51 @@ def test_walks_on_either_side_of_a_doubling_meet_without_the_centre(spark):
     rows = [(1, fp.to_text(600, other)), (2, fp.to_text(1000, bits)), (3, fp.to_text(1030, bits))]
     out = {r.doc_id: r.component_id for r in fp.near_by_edits(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
     assert out == {1: 1, 2: 2, 3: 2}
+
+
+def test_components_equal_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(60):
+        base = words(rng, rng.choice([4, 8, 30, 120, 400]))
+        cut = rng.randint(0, len(base) * 3 // 4)
+        for k in (0, len(base) // 9, len(base) // 6):
+            spread = "".join(rng.choice("xyz") if k and rng.random() < 0.04 else c for c in base)
+            passage = base[:cut] + "".join(rng.choice("xyz") for _ in base[cut : cut + k]) + base[cut + k :]
+            rows.append((len(rows), spread if g % 2 else passage))
+    walked, bits = fp.embed([t for _, t in rows])
+    label = list(range(len(rows)))
+    links = 0
+    for i in range(len(rows)):
+        near = fp.likeness(np.full(i, walked[i]), np.repeat(bits[i : i + 1], i, axis=0), walked[:i], bits[:i]) >= 0.8
+        for j in np.flatnonzero(near).tolist():
+            links += label[i] != label[j]
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert links > 60
+    prints = spark.createDataFrame([(i, fp.to_text(int(w), b)) for (i, _), w, b in zip(rows, walked, bits, strict=True)], "doc_id long, fingerprint string")
+    out = {r.doc_id: r.component_id for r in fp.near_by_edits(prints).collect()}
+    assert [out[i] for i, _ in rows] == label
+
+
+@pytest.mark.parametrize("place", ["spread", "passage", "head"])
+def test_pairs_at_the_threshold_share_a_band(place):
+    rng = np.random.default_rng(9)
+    bands, bits = fp.band_choice(200_000, 0.8, 0.01)
+    missed = 0
+    for _ in range(300):
+        longer = int(rng.integers(30, 9000))
+        shorter = longer - int(rng.integers(0, longer // 50 + 1))
+        n, m = (int(np.searchsorted(fp.STEPS, w)) for w in (longer, shorter))
+        a = rng.integers(0, 2, (1, n), dtype=np.uint8)
+        b = a.copy()
+        b[:, m:] = 0
+        start = np.searchsorted(fp.STEPS[:m], rng.integers(0, shorter)) if place == "passage" else 0
+        for i in rng.permutation(m) if place == "spread" else np.roll(np.arange(m), -start)[rng.random(m) < 0.5]:
+            b[0, i] ^= 1
+            if fp.likeness(np.array([longer]), a, np.array([shorter]), b)[0] < 0.8:
+                b[0, i] ^= 1
+                break
+        grid = fp.reaches(0.8, longer)
+        missed += not (fp.band_keys(longer, a[0], grid, bands, bits) == fp.band_keys(shorter, b[0], grid, bands, bits)).any()
+    assert missed <= 3
