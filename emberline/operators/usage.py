@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline import registry
@@ -45,32 +44,34 @@ def backoff_seconds(attempt, cap: float = 30.0):
     return F.least(F.lit(0.5) * F.pow(F.lit(2.0), attempt), F.lit(cap))
 
 
-_ADMITTED = "provider string, request_id long, at double, admitted_at double, waited double"
-
-
 def token_bucket(requests: DataFrame, caps: DataFrame) -> DataFrame:
     """requests(provider, request_id, at seconds) with admitted_at and waited, by a bucket of rpm tokens refilled rpm / 60 a second.
 
-    A provider's requests are one sequence, so one group; a null rpm admits at once. Requests go in the order of at, then id.
+    A null rpm admits at once. Requests go in the order of at, then id. Request n of a provider, from 0, is admitted at the latest of at
+    and, for each m up to n, at of m and the time that n - m + 1 tokens take beyond a full bucket: a running maximum over ranks. Both
+    are taken within ranges of time, which are set off by the ranges before, so no task has a whole large provider.
     """
-
-    def admit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "request_id"], kind="stable")
-        rpm = frame["rpm"].iloc[0]
-        out, level, now = [], float(rpm) if pd.notna(rpm) else 0.0, None
-        for at in frame["at"]:
-            if pd.isna(rpm):
-                out.append(at)
-                continue
-            start = at if now is None else max(at, now)
-            level = level if now is None else min(rpm, level + (start - now) * rpm / 60)
-            if level < 1:
-                start += (1 - level) * 60 / rpm
-                level = 1.0
-            level, now = level - 1, start
-            out.append(start)
-        done = frame[["provider", "request_id", "at"]].assign(admitted_at=out)
-        return done.assign(waited=done["admitted_at"] - done["at"])
-
-    return requests.join(F.broadcast(caps), "provider", "left").groupBy("provider").applyInPandas(admit, _ADMITTED)
-
+    spark = requests.sparkSession
+    rows = requests.join(F.broadcast(caps), "provider", "left").select("provider", "request_id", "at", "rpm")
+    free = rows.where("rpm IS NULL").select("provider", "request_id", "at", F.col("at").alias("admitted_at"))
+    capped = rows.where("rpm IS NOT NULL")
+    # Cuts reach the driver, so that every use has the same: a row for each provider with a cap.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = capped.groupBy("provider").agg(F.min("at").alias("base"), F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], 10000).alias("cuts"))
+    cuts = spark.createDataFrame([tuple(r) for r in cuts.collect()], "provider string, base double, cuts array<double>")
+    last = F.lit(n + 1)  # a null time comes after all others
+    part = F.when(F.col("at").isNull(), last).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("at"))))
+    order = Window.partitionBy("provider", "part").orderBy(F.asc_nulls_last("at"), "request_id")
+    each = F.lit(60.0) / F.col("rpm")
+    ranked = capped.join(F.broadcast(cuts), "provider").withColumn("part", part).withColumn("i", F.row_number().over(order) - 1)
+    ranked = ranked.withColumn("early", F.col("at") - F.col("base") - F.col("i") * each)
+    parts = ranked.groupBy("provider", "part", "rpm").agg(F.count("*").alias("k"), F.max("early").alias("most"))
+    before = Window.partitionBy("provider").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("most", F.col("most") - F.col("first") * each)
+    parts = parts.select("provider", "part", "first", F.max("most").over(before).alias("so_far"))
+    placed = ranked.join(F.broadcast(parts), ["provider", "part"])
+    own = F.max("early").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("first") * each
+    rank = F.col("first") + F.col("i")
+    admitted = F.greatest("at", F.col("base") + F.greatest(own, "so_far") + (rank + 1 - F.col("rpm")) * each)
+    placed = placed.select("provider", "request_id", "at", F.when(F.col("at").isNotNull(), admitted).alias("admitted_at"))
+    return free.unionByName(placed).withColumn("waited", F.col("admitted_at") - F.col("at"))

@@ -164,3 +164,36 @@ def test_token_bucket(spark):
     caps = spark.createDataFrame([("p", 2), ("free", None)], "provider string, rpm int")
     out = {r.request_id: r.waited for r in usage.token_bucket(reqs, caps).collect()}
     assert out == {0: 0.0, 1: 0.0, 2: 30.0, 3: 60.0, 9: 0.0}
+
+
+def test_token_bucket_equals_a_loop_and_has_no_groups_in_python(spark):
+    import random
+
+    rng = random.Random(5)
+    caps = {"a": 7, "b": 60, "c": 1, "free": None}
+    reqs, ids = [], iter(range(10**6))
+    for provider in (*caps, "unknown"):
+        at = 1.7e9
+        for _ in range(400):
+            at += rng.choice([0, 0, 0.25, 1, 3, 30, 300])
+            reqs.append((provider, next(ids), at))
+    want = {}
+    for provider in (*caps, "unknown"):
+        rpm = caps.get(provider)
+        level, now = rpm, None
+        for _, i, at in sorted(r for r in reqs if r[0] == provider):
+            start = at if rpm is None or now is None else max(at, now)
+            if rpm is not None:
+                level = level if now is None else min(rpm, level + (start - now) * rpm / 60)
+                if level < 1:
+                    start += (1 - level) * 60 / rpm
+                    level = 1.0
+                level, now = level - 1, start
+            want[i] = start
+    rng.shuffle(reqs)
+    out = usage.token_bucket(spark.createDataFrame(reqs, "provider string, request_id long, at double"), spark.createDataFrame(list(caps.items()), "provider string, rpm int"))
+    assert out.columns == ["provider", "request_id", "at", "admitted_at", "waited"]
+    got = {r.request_id: r for r in out.collect()}
+    assert len(got) == len(reqs) and max(abs(got[i].admitted_at - w) for i, w in want.items()) < 1e-4
+    assert all(abs(r.waited - (r.admitted_at - r.at)) < 1e-9 for r in got.values())
+    assert "InPandas" not in out._jdf.queryExecution().toString()
