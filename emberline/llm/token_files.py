@@ -1,6 +1,6 @@
 """Token-id output: documents encoded by a public tokenizer, each compressed alone with one dictionary that all share.
 
-A set of files is a folder with `dictionary`, and one `shard-NNNNN.tok` for each range of doc_id, in ascending order:
+A set of files is a folder with `dictionary`, and one `shard-NNNNN-ATTEMPT.tok` for each range of doc_id, in ascending order:
 
     "TOKIDS01" | sha256 of the dictionary, 32 bytes | bytes of one id (2 or 4), 1 byte
     one zstandard frame for each document: its ids, little-endian, the end id included
@@ -13,6 +13,7 @@ A reader takes the last 24 bytes, then the index, and can decode any one documen
 from __future__ import annotations
 
 import io
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,79 +24,188 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import dictionary, dictionary_hash, open_input, open_output, publish, shuffle_partitions, work_path, written
+from emberline.llm.common import dictionary, dictionary_hash, open_input, open_output, shuffle_partitions, text_slices, work_path, written
+from emberline.llm.shingles import prefix_hash, span_hash
 
 MAGIC = b"TOKIDS01"
+#: Texts that the dictionary is trained on are no longer than this.
+SAMPLE_BYTES = 1 << 16
+#: Texts that are encoded together.
+SLICE_BYTES = 1 << 19
+_PART_END = re.compile(rb"[A-Za-z] ")
 NULL_ID = -(2**63)
 
-#: One letter word and the punctuation right after it: two pre-tokens at most. Letters of the Latin blocks only, which all
-#: versions of Unicode agree on.
-_WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([.,;:!?$%&*#]*)\Z")
-_SPACE_BY_SPACE = re.compile(r" \s|\s ")
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of ASCII white space, of ASCII letters, and of all ASCII characters but letters.
+_WHITE, _LETTER, _NO_LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER[:128] = [chr(b).isalpha() for b in range(128)]
+_NO_LETTER[:128] = ~_LETTER[:128]
+#: UTF-8 of the other white space, by its first byte.
+_WIDE_WHITE = {lead: [c for c in (chr(x).encode() for x in range(0x80, 0x3001) if chr(x).isspace()) if c[0] == lead] for lead in (0xC2, 0xE1, 0xE2, 0xE3)}
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies spell the 256 bytes: printable ones by themselves, the others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters, extra = {b: chr(b) for b in plain}, 0x100
-    for b in range(256):
-        if b not in letters:
-            letters[b], extra = chr(extra), extra + 1
-    return letters
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the pieces of texts end to end, which bytes belong to Latin letters).
+
+    A byte-level pre-tokenizer never joins what is cut here: white space begins a new pre-token, and of single
+    white characters only the space goes with what follows; a word ends before any ASCII character that is no letter. Letters are those of ASCII and of U+00C0 to
+    U+024F, which all versions of Unicode agree on; where others stand, a piece is longer than need be.
+    """
+    white, latin = _WHITE[data], _LETTER[data]
+    for lead, spellings in _WIDE_WHITE.items():
+        at = np.flatnonzero(data == lead)
+        for c in spellings if len(at) else []:
+            hit = at[at + len(c) <= len(data)]
+            for k in range(1, len(c)):
+                hit = hit[data[hit + k] == c[k]]
+            for k in range(len(c)):
+                white[hit + k] = True
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[~((data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)))]
+    latin[lead] = latin[lead + 1] = True
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:-1] = white[1:] & ~white[:-1]
+    begin[1:-1] |= latin[:-1] & _NO_LETTER[data[1:]]
+    begin[2:-1] |= _WHITE[data[1:-1]] & (data[1:-1] != 0x20) & ~white[2:] & ~white[:-2]
+    begin[offsets] = True
+    return np.flatnonzero(begin[:-1]), latin
 
 
 class PieceEncoder:
-    """tokenizers' encoding of whole texts, by pieces between single spaces; pieces met before are not encoded again.
+    """tokenizers' encoding of whole texts by pieces; pieces met before are not encoded again.
 
-    A byte-level pre-tokenizer never joins what stands before a space between two other characters with what follows, so
-    the pieces' ids in a row are the text's. At most max_pieces are remembered, some 50 MB: the worker keeps them between
-    tasks, also while it does other work.
+    Pieces are cut where this kind of pre-tokenizer cuts, so their ids in a row are the text's; a tokenizer of another kind,
+    and a text with an added token in it, is encoded as a whole. New words are encoded together in one call; as every id
+    stands for a known number of bytes, the ids are dealt to their words by length.
+
+    A piece is found by a hash of its bytes and compared with the bytes remembered; texts with unequal pieces of one hash are
+    encoded as a whole. At most max_pieces and those of a slice are remembered, in arrays of some 60 bytes a piece; the half
+    not met for the longest time goes. The worker keeps them between tasks.
     """
 
-    def __init__(self, path: str, max_pieces: int = 200_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.letters = str.maketrans({chr(b): x for b, x in _byte_letters().items()})
-        self.max_pieces = max_pieces
-        self.pieces: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        self.by_pieces = self._cuts_so(told)
+        self.added = [t["content"].encode() for t in told["added_tokens"] if t["content"]]
+        self.max_pieces, self.now = max_pieces, 0
+        # Of remembered pieces in the order of their hashes: hash, slice it was last met in, place and length of its bytes and ids.
+        self.hashes = np.zeros(0, np.uint64)
+        self.met = np.zeros(0, np.int32)
+        self.spans = np.zeros((0, 4), np.int32)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.dtype)
+        if self.by_pieces:
+            # A byte-level vocabulary spells a byte by one character.
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.id_bytes[list(vocabulary.values())] = [len(v) for v in vocabulary]
+
+    @staticmethod
+    def _cuts_so(told: dict) -> bool:
+        pre, model = told["pre_tokenizer"] or {}, told["model"]
+        plain = not any(told[k] for k in ("normalizer", "post_processor", "truncation", "padding")) and model["type"] == "BPE" and not model.get("dropout")
+        return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _pretoken(self, text: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
-
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _after_space(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.max_pieces:
-            self.pieces.clear()
-        found = _WORD.match(piece)
-        if not found:
-            ids = self._whole(" " + piece)
-        elif not found[2]:
-            ids = self._pretoken(" " + piece)
-        else:
-            ids = self.pieces.get(found[1])
-            if ids is None:
-                ids = self.pieces[found[1]] = self._pretoken(" " + found[1])
-            ids += self._pretoken(found[2])
-        self.pieces[piece] = ids
-        return ids
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
+        return [x.tobytes() for x in self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])]
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, latin: np.ndarray) -> None:
+        """Encode pieces, all of other hashes than those remembered, and remember them."""
+        letters = np.concatenate([[0], np.cumsum(latin)])
+        word = (data[starts] == 0x20) & (lengths > 1) & (letters[starts + lengths] - letters[starts + 1 - (lengths == 1)] == lengths - 1)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        starts, lengths, hashes, n_words = starts[order], lengths[order], hashes[order], int(word.sum())
+        own = data[spread(starts, lengths)]
+        ends = np.cumsum(lengths)
+        cut = int(ends[n_words - 1]) if n_words else 0
+        rest = own[cut:].tobytes()
+        others = self._whole([rest[b - n - cut : b - cut].decode() for b, n in zip(ends[n_words:].tolist(), lengths[n_words:].tolist(), strict=True)])
+        counts = np.zeros(len(starts), np.int64)
+        counts[n_words:] = [len(x) for x in others]
+        ids = np.zeros(0, self.dtype)
+        if n_words:
+            ids = self._whole([own[:cut].tobytes().decode()])[0]
+            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends[:n_words]) + 1
+            counts[:n_words] = np.diff(last, prepend=0)
+        spans = np.stack([len(self.bytes) + ends - lengths, lengths, len(self.ids) + np.cumsum(counts) - counts, counts], axis=1).astype(np.int32)
+        self.bytes, self.ids = np.concatenate([self.bytes, own]), np.concatenate([self.ids, ids, *others])
+        sort = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[sort])
+        self.hashes = np.insert(self.hashes, place, hashes[sort])
+        self.spans = np.insert(self.spans, place, spans[sort], axis=0)
+        self.met = np.insert(self.met, place, self.now)
+
+    def _forget(self) -> None:
+        keep = self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
+        self.hashes, self.met, spans = self.hashes[keep], self.met[keep], self.spans[keep].astype(np.int64)
+        self.bytes, self.ids = self.bytes[spread(spans[:, 0], spans[:, 1])], self.ids[spread(spans[:, 2], spans[:, 3])]
+        for c in (1, 3):
+            spans[:, c - 1] = np.cumsum(spans[:, c]) - spans[:, c]
+        self.spans = spans.astype(np.int32)
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Of texts without added tokens."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        self.now += 1
+        if len(self.hashes) > self.max_pieces:
+            self._forget()
+        starts, latin = pieces(data, offsets)
+        lengths = np.diff(np.append(starts, len(data)))
+        hashes = span_hash(prefix_hash(data), starts, starts + lengths) + lengths.astype(np.uint64)
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != unique if len(self.hashes) else np.ones(len(unique), bool)
+        if new.any():
+            self._learn(data, starts[first[new]], lengths[first[new]], unique[new], latin)
+            at = np.searchsorted(self.hashes, unique)
+        self.met[at] = self.now
+        spans = self.spans[at].astype(np.int64)[which]
+        if (spans[:, 1] != lengths).any() or (self.bytes[spread(spans[:, 0], lengths)] != data).any():  # unequal pieces of equal hash
+            return self._each(data.tobytes(), offsets)
+        packed, size = self.ids[spread(spans[:, 2], spans[:, 3])].tobytes(), self.dtype.itemsize
+        before = np.concatenate([[0], np.cumsum(spans[:, 3])])
+        cuts = (before[np.searchsorted(starts, offsets)] * size).tolist()
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of texts, given by their UTF-8 end to end, packed in dtype. A long text goes by parts of some MB."""
+        raw = data.tobytes()
+        if not self.by_pieces or any(t in raw for t in self.added):
+            return self._each(raw, offsets)
+        if len(data) <= 2 * SLICE_BYTES:
+            return self._slice(data, offsets)
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            parts = []
+            while a < b:
+                # a space after an ASCII letter begins a piece
+                found = _PART_END.search(raw, a + SLICE_BYTES, b) if b - a > SLICE_BYTES else None
+                end = found.start() + 1 if found else b
+                parts += self._slice(data[a:end], np.array([0, end - a]))
+                a = end
+            out.append(b"".join(parts))
+        return out
 
     def __call__(self, text: str) -> bytes:
-        """The ids, packed in dtype."""
-        pieces = _SINGLE_SPACE.split(text) if _SPACE_BY_SPACE.search(text) else text.split(" ")
-        ids = list(map(self.pieces.get, pieces))
-        ids[0] = self._whole(pieces[0])
-        if None in ids:
-            ids = [self._after_space(p) if i is None else i for p, i in zip(pieces, ids, strict=True)]
-        return b"".join(ids)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.texts(raw, np.array([0, len(raw)]))[0]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -171,12 +281,16 @@ class ShardReader:
 
 
 def train_id_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, dictionary_bytes: int) -> bytes:
-    """A dictionary for packed ids, from the sample_docs documents whose hashed ids come first; empty for an empty table."""
+    """A dictionary for packed ids, from the sample_docs documents whose hashed ids come first; empty for an empty table.
+
+    Long ones among them, over 64 KB, gain nothing from a dictionary and are left out, so the sample is bounded in bytes.
+    """
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text").limit(2 * sample_docs).collect()
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(short).select("text").limit(2 * sample_docs).collect()
     encode = encoder(tokenizer_path)
     end = encode._pack([end_id])
-    samples = [encode(r["text"] or "") + end for r in rows]
+    samples = [encode(r["text"]) + end for r in rows]
     return dictionary(samples, dictionary_bytes).as_bytes() if samples else b""
 
 
@@ -186,7 +300,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2,
     The manifest has a row for each shard: path, shard, n_docs, n_ids, first_order, and start, the ids of all shards before
     it. Documents stand in ascending order; equal values in the order of doc_id and text. A null text has the end id only; a
     null doc_id counts as the smallest one. Texts are shuffled once, into ranges; ids never are. shards follows
-    spark.sql.shuffle.partitions. A task that runs again writes its shard again and renames it when done.
+    spark.sql.shuffle.partitions. A task that runs again writes another file: the manifest, which Spark commits, names the one
+    that counts, and a file that it doesn't name is left over from a lost attempt.
     """
     spark = docs.sparkSession
     root = path or work_path(spark, "token-files")
@@ -201,18 +316,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2,
 
         task = TaskContext.get()
         shard = task.partitionId()
-        final = f"{root}/shard-{shard:05d}.tok"
-        temporary = f"{root}/_attempts/{shard:05d}-{task.taskAttemptId()}"
+        final = f"{root}/shard-{shard:05d}-{task.taskAttemptId()}.tok"
         encode, writer, first = encoder(tokenizer_path), None, None
         end = encode._pack([end_id])
         for batch in batches:
-            for place, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                if writer is None:
-                    first, writer = place.as_py(), ShardWriter(open_output(temporary), content, encode.dtype)
-                writer.add(doc_id.as_py(), encode(text.as_py()) + end)
+            if writer is None and batch.num_rows:
+                first, writer = batch.column(0)[0].as_py(), ShardWriter(open_output(final), content, encode.dtype)
+            for rows, data, offsets in text_slices(iter([batch]), "text", SLICE_BYTES):
+                for doc_id, ids in zip(rows.column(1).to_pylist(), encode.texts(data, offsets), strict=True):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
-            publish(temporary, final)
             yield pa.RecordBatch.from_pydict({"path": [final], "shard": [shard], "n_docs": [len(writer.doc_ids)], "n_ids": [sum(writer.counts)], "first_order": [first]}, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_order", pa.int64())])

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from emberline.llm import token_files
 from emberline.llm.queries import tokenizer_path
 from emberline.llm.token_files import PieceEncoder, ShardReader, read_document, read_token_files, shard_bytes, write_token_files
 
@@ -23,9 +24,39 @@ def test_pieces_equal_the_whole_text():
     alphabet = ["a", "The", " ", " ", "  ", "\n", ",", "'s", "é", "9", "!!", "\t", "ß", "$", " ", "<|endoftext|>"]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(800)]
     encode = PieceEncoder(tokenizer_path(), max_pieces=50)
+    assert encode.by_pieces
     assert [np.frombuffer(encode(t), encode.dtype).tolist() for t in texts] == reference(texts)
 
 
+def test_pieces_of_many_scripts_and_spaces(monkeypatch):
+    rng = random.Random(2)
+    alphabet = ["a", "The", " ", " ", "\u00a0", "\u0085", "\u2003", "\u3000", "\u1680", "\u202f", "\x1c", "\x0b", "\x0c", "\r\n", "é", "ǆ", "ɏ", "×", "÷", "ª", "я", "β", "日", "\u0301", "'s", "’s", "1", "²", "_", "—", "🙂", "x,"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    encode = PieceEncoder(tokenizer_path(), max_pieces=300)
+    expected = [np.array(ids, encode.dtype).tobytes() for ids in reference(texts)]
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    assert encode.texts(np.frombuffer(raw, np.uint8), offsets) == expected
+    # a long text goes by parts, and hashes that are equal for unequal pieces change nothing
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 64)
+    long = " ".join(texts)
+    assert encode(long) == np.array(reference([long])[0], encode.dtype).tobytes()
+    monkeypatch.setattr(token_files, "span_hash", lambda h, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    encode = PieceEncoder(tokenizer_path())
+    assert [encode(t) for t in texts[:200]] == expected[:200]
+
+
+def test_another_kind_of_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "lower.json"))
+    encode = PieceEncoder(str(tmp_path / "lower.json"))
+    assert not encode.by_pieces
+    assert np.frombuffer(encode("Some TEXT"), encode.dtype).tolist() == t.encode("Some TEXT").ids
+
+
 def test_round_trip_and_starts(spark, make_docs):
     texts = ODD + [None, "long " * 30000, "same", "same"]
     docs = make_docs([*enumerate(texts), (5, "repeated id"), (5, "repeated id")])
