@@ -61,10 +61,15 @@ def normalize_path(path: Column) -> Column:
 
 
 def parse_run_url(url: Column) -> Column:
-    """struct(repo, run_id, attempt) of an Actions run URL; null if it is none. attempt is null where it isn't told."""
-    pattern = r"^https?://github\.com/([^/\s]+/[^/\s]+)/actions/runs/(\d{1,18})(?:/attempts/(\d{1,9}))?(?:/job/\d+)?/?(?:[?#].*)?$"
-    attempt = F.nullif(F.regexp_extract(url, pattern, 3), F.lit(""))
-    return F.when(url.rlike(pattern), F.struct(F.regexp_extract(url, pattern, 1).alias("repo"), F.regexp_extract(url, pattern, 2).cast("long").alias("run_id"), attempt.cast("int").alias("attempt")))
+    """struct(repo, run_id, attempt) of an Actions run URL, white space around it aside; null if it is none.
+
+    run_id is a decimal of up to 38 digits. attempt is null where it isn't told.
+    """
+    pattern = r"(?U)^https://github\.com/([^/\s]+/[^/\s]+)/actions/runs/([0-9]+)(?:/attempts/([0-9]+))?(?:/job/[0-9]+)?/?(?:[?#]\S*)?\z"
+    bare = strip(url)
+    attempt = F.nullif(F.regexp_extract(bare, pattern, 3), F.lit(""))
+    told = F.struct(F.regexp_extract(bare, pattern, 1).alias("repo"), F.regexp_extract(bare, pattern, 2).try_cast("decimal(38,0)").alias("run_id"), attempt.try_cast("long").alias("attempt"))
+    return F.when(bare.rlike(pattern), told)
 
 
 def redact_url(url: Column) -> Column:
@@ -72,10 +77,12 @@ def redact_url(url: Column) -> Column:
 
 
 def extract_json(text: Column) -> Column:
-    """The body of a fenced block, else from the first brace to the last; null if there is neither."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(bare, F.lit("")))
+    """The JSON object of an answer: the body of the first fenced block, else the text; of that all, if it begins with a brace,
+    else from the first brace to the last, else all. White space around it goes."""
+    fence = r"(?s)```(?:json)?(?U:\s*)(.*?)```"
+    body = strip(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text))
+    braced = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    return F.when(F.startswith(body, F.lit("{")), body).otherwise(F.coalesce(F.nullif(braced, F.lit("")), body))
 
 
 def parse_tag(tag: Column) -> Column:
@@ -84,6 +91,12 @@ def parse_tag(tag: Column) -> Column:
     return F.when(tag.rlike(pattern), F.struct(F.regexp_extract(tag, pattern, 1).alias("slug"), F.regexp_extract(tag, pattern, 2).cast("long").alias("job_id")))
 
 
+def repo_name_from_slug(slug: Column) -> Column:
+    """What stands after the first hyphen, else all."""
+    rest = F.regexp_extract(slug, r"(?s)^[^-]*-(.+)", 1)
+    return F.when(rest != "", rest).otherwise(slug)
+
+
 def parse_failing_tests(text: Column) -> Column:
     """Non-empty trimmed names between # signs."""
     return F.filter(F.transform(F.split(text, "#"), strip), lambda t: t != "")
@@ -107,10 +120,38 @@ def stated_retry_seconds(body: Column) -> Column:
     return F.regexp_extract(body, r'"retryDelay"\s*:\s*"?([0-9.]+)s?"?', 1).try_cast("double")
 
 
+def server_wait_seconds(header: Column, body: Column) -> Column:
+    """Seconds that a server asks to wait, by its Retry-After header, else by the payload; at most 75, null if it doesn't say or is negative."""
+    told = F.regexp_replace(strip(header), "s$", "").try_cast("double")
+    seconds = F.when(header.isNotNull(), told).otherwise(stated_retry_seconds(body))
+    return F.when(seconds >= 0, F.least(seconds, F.lit(registry.MAX_WAIT_SECONDS)))
+
+
+def truncated(text: Column, limit: int, marker: str) -> Column:
+    """text, or its first limit characters and a line with the marker."""
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("\n" + marker))).otherwise(text)
+
+
+def prompt_diff(diff: Column) -> Column:
+    """A diff as a prompt shows it: at most 8,000 characters; it says so if there is none."""
+    return F.when(F.coalesce(diff, F.lit("")) == "", F.lit(registry.NO_DIFF)).otherwise(truncated(diff, registry.MAX_DIFF_CHARS, "...[diff truncated]"))
+
+
+def prompt_files(contents: Column) -> Column:
+    """Files of a map as a prompt shows them: each under its path, at most 12,000 characters; it says so if there are none."""
+    block = lambda e: F.concat(F.lit("--- "), e["key"], F.lit(" ---\n"), truncated(e["value"], registry.MAX_FILE_CHARS, "...[truncated]"))
+    return F.when(F.coalesce(F.size(contents), F.lit(0)) <= 0, F.lit(registry.NO_FILES)).otherwise(F.array_join(F.transform(F.map_entries(contents), block), "\n\n"))
+
+
 def quote_evidence(evidence: Column, limit: int = 3, chars: int = 300) -> Column:
-    """The first lines of evidence as quotes: on one line each, without back ticks, cut."""
-    flat = lambda e: F.concat(F.lit("> "), F.left(F.replace(strip(F.regexp_replace(e, r"\s*\n\s*", " ")), F.lit("`"), F.lit("'")), F.lit(chars)))
-    return F.transform(F.slice(evidence, 1, limit), flat)
+    """The first lines of evidence as a block quote that they can't leave: one line each, without back ticks, cut."""
+    none = F.lit(f"> {registry.NO_EVIDENCE}")
+
+    def quoted(e: Column) -> Column:
+        safe = F.left(strip(F.translate(e, "\r\n`", "  '")), F.lit(chars))
+        return F.when(safe != "", F.concat(F.lit("> "), safe)).otherwise(none)
+
+    return F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, none).otherwise(F.array_join(F.transform(F.slice(evidence, 1, limit), quoted), "\n"))
 
 
 def sanitized_name(git_sha: Column, model: Column, prompt_hash: Column) -> Column:

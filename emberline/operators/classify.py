@@ -69,9 +69,9 @@ def locatable(failure_class: Column) -> Column:
 def skip_reason(failure_class: Column, confidence: Column, culprits: Column) -> Column:
     """Why no fix is attempted; null if one is. Class first, then confidence, then culprits."""
     return (
-        F.when(~failure_class.isin("code_change", "pipeline_config"), F.concat(F.lit("class "), failure_class, F.lit(" is not fixable by a patch")))
-        .when(confidence < registry.MIN_CONFIDENCE, F.concat(F.lit("confidence "), F.format_string("%.2f", confidence), F.lit(" is under "), F.lit(f"{registry.MIN_CONFIDENCE:.2f}")))
-        .when(F.coalesce(F.size(culprits), F.lit(0)) <= 0, F.lit("no culprit file"))
+        F.when(~failure_class.isin("code_change", "pipeline_config"), F.concat(failure_class, F.lit(" failures have no repository file to patch. Rerun, pin, or quarantine instead.")))
+        .when(confidence < registry.MIN_CONFIDENCE, F.concat(F.lit("classifier confidence "), F.format_string("%.2f", confidence), F.lit(f" is below {registry.MIN_CONFIDENCE:.2f}, so a patch would be built on a guess about the cause")))
+        .when(F.coalesce(F.size(culprits), F.lit(0)) <= 0, F.lit("no culprit file was identified, so there is nothing to edit"))
     )
 
 

@@ -38,6 +38,18 @@ def problems(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return pair.select(F.explode(F.array_compact(F.array(*checks))).alias("problem"))
 
 
+def both_baselines(baseline_model: str, current_model: str) -> bool:
+    """Whether both names are of models that replay without noise, so that nothing is forgiven."""
+    return {baseline_model, current_model} <= set(registry.BASELINE_MODELS)
+
+
+def verdict(gated: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: regressed, n_regressed, n_problems of gate() and problems(). A regression fails the run that asks."""
+    drops = gated.agg(F.count_if("regressed").alias("n_regressed"))
+    both = drops.crossJoin(F.broadcast(found.agg(F.count("*").alias("n_problems"))))
+    return both.select((F.col("n_regressed") + F.col("n_problems") > 0).alias("regressed"), "n_regressed", "n_problems")
+
+
 def flips(baseline: DataFrame, current: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, change): cases of both runs that fail or pass newly. An unanswered case is not correct."""
     a, b = baseline.select(key, F.col("correct").alias("was")), current.select(key, F.col("correct").alias("now"))
@@ -63,6 +75,17 @@ def winners(models: DataFrame) -> DataFrame:
     return complete.agg(first("macro_f1", 1).alias("best_macro_f1"), first("cost", -1).alias("cheapest"), first("seconds", -1).alias("fastest"), F.count("*").alias("n_complete"))
 
 
+def notes(models: DataFrame) -> DataFrame:
+    """(ord, note) on models(model, ordinal, n_answered, n_cases, error): what a ranking leaves out, the incomplete first."""
+    partial = F.col("error").isNull() & (F.col("n_answered") < F.col("n_cases"))
+    model = F.concat(F.lit("`"), F.col("model"), F.lit("`"))
+    text = F.when(partial, F.concat(model, F.lit(" answered only "), F.col("n_answered").cast("string"), F.lit(" of "), F.col("n_cases").cast("string"), F.lit(" cases. Its scores cover the cases it managed and are not comparable.")))
+    text = text.when(F.col("error").isNotNull(), F.concat(model, F.lit(" could not be scored: "), F.col("error")))
+    each = models.select(F.when(partial, 1).otherwise(2).alias("kind"), "ordinal", text.alias("note")).where("note IS NOT NULL")
+    none = models.agg(F.count_if(F.col("error").isNull() & ~partial).alias("n")).where("n = 0").select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ordinal"), F.lit("No model answered every case, so nothing here is rankable.").alias("note"))
+    return none.unionByName(each.withColumn("ordinal", F.col("ordinal").cast("long")))
+
+
 def spreads(trials: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """(by, metric, n, mean, low, high, spread, stdev) over trials that have the metric; the sample deviation, 0 for one trial."""
     pairs = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
+from emberline import registry
 from emberline.functions.text import strip
+from emberline.operators.classify import signal
+from emberline.sources.cases import referenced_files
 
 PREFERENCE = ["failure", "timed_out", "cancelled"]
 
@@ -50,25 +58,66 @@ def tri_state(told: Column) -> Column:
     return F.when(told == "true", True).when(told == "false", False)
 
 
-def reconcile(annotations: DataFrame) -> DataFrame:
-    """(slug, agreed, failure_class, subcategory, related_to_diff, culprit_files, confidence, reason) of two annotators, a and b.
+def reconcile(annotations: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(slug, agreed, failure_class, subcategory, related_to_diff, culprit_files, confidence, review) of two annotators, a and b.
 
     annotations: slug, annotator, failure_class, subcategory, related (true, false or unknown), confidence, culprit_files. They
-    agree if class, subcategory and relation are equal; the lesser confidence counts. The rest is for review, with a reason.
+    agree if class, subcategory and relation are equal and evidence(slug), where given, has the slug; the lesser confidence counts. The rest is
+    for review, which says why; empty where they agree.
     """
     fields = ["failure_class", "subcategory", "related", "confidence", "culprit_files"]
     side = lambda who: annotations.where(F.col("annotator") == who).select("slug", F.struct(*fields).alias(who))
     both = side("a").join(side("b"), "slug", "full")
-    same = lambda f: F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
+    if evidence is None:
+        both = both.withColumn("stored", F.lit(True))
+    else:
+        both = both.join(evidence.select("slug", F.lit(True).alias("stored")).distinct(), "slug", "left").na.fill(False, ["stored"])
+    key = lambda who: F.concat_ws("/", *[F.col(f"{who}.{f}") for f in fields[:3]])
     whole = F.col("a").isNotNull() & F.col("b").isNotNull()
-    agreed = whole & same("failure_class") & same("subcategory") & same("related")
-    reason = F.when(~whole, "one annotation is missing").when(~same("failure_class"), F.concat_ws(" or ", F.col("a.failure_class"), F.col("b.failure_class"))).when(~same("subcategory"), F.concat_ws(" or ", F.col("a.subcategory"), F.col("b.subcategory"))).when(~same("related"), "relation to the diff").otherwise("")
+    equal = F.col("a.failure_class").eqNullSafe(F.col("b.failure_class")) & F.col("a.subcategory").eqNullSafe(F.col("b.subcategory")) & F.col("a.related").eqNullSafe(F.col("b.related"))
+    review = (
+        F.when(~whole, F.concat("slug", F.lit(": one annotation is missing")))
+        .when(~equal, F.concat("slug", F.lit(": A said "), key("a"), F.lit(", B said "), key("b")))
+        .when(~F.col("stored"), F.concat("slug", F.lit(": evidence missing")))
+        .otherwise("")
+    )
+    agreed = review == ""
     only = lambda c: F.when(agreed, c)
-    return both.select("slug", agreed.alias("agreed"), only(F.col("a.failure_class")).alias("failure_class"), only(F.col("a.subcategory")).alias("subcategory"), only(tri_state(F.col("a.related"))).alias("related_to_diff"), only(shared_culprits(F.col("a.culprit_files"), F.col("b.culprit_files"))).alias("culprit_files"), only(F.least("a.confidence", "b.confidence")).alias("confidence"), reason.alias("reason"))
+    return both.select("slug", agreed.alias("agreed"), only(F.col("a.failure_class")).alias("failure_class"), only(F.col("a.subcategory")).alias("subcategory"), only(tri_state(F.col("a.related"))).alias("related_to_diff"), only(shared_culprits(F.col("a.culprit_files"), F.col("b.culprit_files"))).alias("culprit_files"), only(F.least("a.confidence", "b.confidence")).alias("confidence"), review.alias("review"))
+
+
+def existing_cases(cases: DataFrame) -> DataFrame:
+    """(tag, repo, bug) of the cases that a data set has: what select_new() leaves out and counts. Cases without a repository go.
+
+    tag is what stands after the last colon of the image, null without one.
+    """
+    image, repo = F.coalesce(F.col("verification.docker_image"), F.lit("")), F.coalesce(F.col("inputs.repo"), F.lit(""))
+    tests = F.array_sort(F.filter(F.coalesce(F.col("ground_truth.failing_tests"), F.array().cast("array<string>")), lambda t: t != ""))
+    tag = F.when(F.contains(image, F.lit(":")), F.substring_index(image, ":", -1))
+    return cases.where(repo != "").select(tag.alias("tag"), repo.alias("repo"), F.struct(repo.alias("repo"), tests.alias("tests")).alias("bug"))
+
+
+def repo_counts(existing: DataFrame) -> DataFrame:
+    return existing.groupBy("repo").agg(F.count("*").alias("n"))
+
+
+def good_entries(catalogue: DataFrame, wanted: dict = registry.QUALITY) -> DataFrame:
+    """Entries of a catalogue whose fields, nested ones by dots, have all the values wanted."""
+    for field, value in wanted.items():
+        catalogue = catalogue.where(F.col(field) == F.lit(value))
+    return catalogue
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """What is kept of runs(repo, run_id, run_attempt, head_sha, workflow_name, html_url, conclusion, rerun_passed, job struct<name,
+    steps array<struct<name, conclusion>>>): the failed job, its first failed step, and the signal."""
+    names = F.transform(F.filter("job.steps", lambda x: x["conclusion"] == "failure"), lambda x: x["name"])
+    told = signal(F.col("conclusion"), F.col("run_attempt"), F.col("rerun_passed"), names)
+    return runs.select("repo", "run_id", "run_attempt", "head_sha", "workflow_name", F.col("job.name").alias("failed_job"), F.get(names, F.lit(0)).alias("failed_step"), "html_url", told.alias("signal"))
 
 
 def case_ids(agreed: DataFrame, prefix: str = "gm", first: int = 1) -> DataFrame:
-    """agreed with case_id: numbers in the order of slug. A numbered list for people: one task orders it."""
+    """agreed with case_id: numbers in the order of slug, from `first` on. A numbered list for people: one task orders it."""
     n = F.row_number().over(Window.orderBy("slug")) + (first - 1)
     return agreed.withColumn("case_id", F.format_string(f"{prefix}-%04d", n))
 
@@ -84,7 +133,98 @@ def row_digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def dataset_hash(rows: DataFrame, key: str, digest: str, buckets: int = 4096) -> DataFrame:
+def in_key_order(column: Column, kind: DataType) -> Column:
+    """A struct with its fields, and theirs, in the order of their names."""
+    if isinstance(kind, StructType):
+        fields = [in_key_order(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: in_key_order(x, kind.elementType))
+    return column
+
+
+def canonical_json(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as a JSON object: keys in order, no white space, nulls told, ASCII only."""
+    kind = df.select(*columns).schema
+    fields = [in_key_order(F.col(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+    json = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # escapes in lower case, unless their back slash is itself escaped
+        json = F.regexp_replace(json, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = F.floor((code - 0x10000) / 0x400) + 0xD800, (code - 0x10000) % 0x400 + 0xDC00
+        return F.when(code < 0x80, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    plain = F.array_join(F.transform(F.split(json, ""), escaped), "")
+    return F.when(json.rlike(r"[^\x00-\x7F]"), plain).otherwise(json)
+
+
+def case_blocks(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(case_id, block) of load_cases(): what each case adds to the data set's digest: its canonical JSON, then each file that it
+    names by name and digest, in the order of names, each ended by a NUL. Without files(path, text) only the JSON."""
+    names = ["schema_version", "case_id", "title", "inputs", "ground_truth", "provenance", "verification", "tags"]
+    none = F.array().cast("array<string>")
+    or_ = lambda c, field, value: c.withField(field, F.coalesce(c[field], value))
+    inputs = or_(or_(F.col("inputs"), "provider", F.lit("github_actions")), "run_attempt", F.lit(1))
+    truth = or_(or_(F.col("ground_truth"), "culprit_files", none), "failing_tests", none)
+    origin = F.col("provenance")
+    for field, value in (("verified_by_human", F.lit(False)), ("notes", F.lit("")), ("independent_adjudications", F.lit(0)), ("adjudicators_agreeing", F.lit(0))):
+        origin = or_(origin, field, value)
+    bare = F.from_json(F.lit("{}"), cases.schema["verification"].dataType)
+    check = or_(or_(or_(F.coalesce("verification", bare), "method", F.lit("none")), "setup_commands", none), "timeout_seconds", F.lit(600))
+    whole = cases.withColumns({"schema_version": F.coalesce("schema_version", F.lit(1)), "inputs": inputs, "ground_truth": truth, "provenance": origin, "verification": check, "tags": F.coalesce("tags", none)})
+    blocks = whole.select("case_id", F.concat(canonical_json(whole, names), F.lit("\0")).alias("block"))
+    if files is None:
+        return blocks
+    named = cases.select("case_id", F.explode(referenced_files()).alias("file"), "folder").withColumn("path", F.concat("folder", F.lit("/"), "file"))
+    told = named.join(files.select("path", F.sha2("text", 256).alias("digest")), "path").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("file", "digest"))).alias("told"))
+    text = F.array_join(F.transform("told", lambda f: F.concat(f["file"], f["digest"], F.lit("\0"))), "")
+    return blocks.join(told, "case_id", "left").select("case_id", F.concat("block", F.coalesce(text, F.lit(""))).alias("block"))
+
+
+def content_hash(blocks: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row: dataset_hash, 12 hex digits of the SHA-256 of blocks(key, block) one after the other in the order of key.
+
+    The digest is a fold over all blocks, so one task takes them in order, one at a time; bucketed_hash() has no such task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256()
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                digest.update(block.encode())
+        yield pa.RecordBatch.from_pydict({"dataset_hash": [digest.hexdigest()[:12]]})
+
+    return blocks.select(key, "block").repartition(1).sortWithinPartitions(key, "block").mapInArrow(run, "dataset_hash string")
+
+
+def manifest(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: schema_version, dataset_hash, case_count, cases array<struct<case_id, failure_class, source, tags>> by case_id."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    entry = F.struct("case_id", F.col("ground_truth.failure_class").alias("failure_class"), F.col("provenance.source").alias("source"), tags.alias("tags"))
+    listed = cases.agg(F.count("*").alias("case_count"), F.array_sort(F.collect_list(entry)).alias("cases"))
+    digest = content_hash(case_blocks(cases, files))
+    return digest.crossJoin(F.broadcast(listed)).select(F.lit(1).alias("schema_version"), "dataset_hash", "case_count", "cases")
+
+
+def manifest_text(row: DataFrame) -> DataFrame:
+    """(value): a manifest as its file has it: two spaces a level, line feeds, one at the end."""
+    told = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    listed = lambda items, pad: F.when(F.size(items) == 0, "[]").otherwise(F.concat(F.lit(f"[\n{pad}  "), F.array_join(items, f",\n{pad}  "), F.lit(f"\n{pad}]")))
+
+    def entry(c: Column) -> Column:
+        fields = [F.concat(F.lit(f'      "{f}": '), told(c[f])) for f in ("case_id", "failure_class", "source")]
+        tags = F.concat(F.lit('      "tags": '), listed(F.transform(c["tags"], told), "      "))
+        return F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields, tags), F.lit("\n    }"))
+
+    head = [F.concat(F.lit('  "schema_version": '), F.col("schema_version").cast("string")), F.concat(F.lit('  "dataset_hash": '), told(F.col("dataset_hash"))), F.concat(F.lit('  "case_count": '), F.col("case_count").cast("string"))]
+    cases = F.concat(F.lit('  "cases": '), listed(F.transform("cases", entry), "  "))
+    return row.select(F.concat(F.lit("{\n"), F.concat_ws(",\n", *head, cases), F.lit("\n}\n")).alias("value"))
+
+
+def bucketed_hash(rows: DataFrame, key: str, digest: str, buckets: int = 4096) -> DataFrame:
     """One row: dataset_hash, 12 hex digits, the same in whatever order rows come.
 
     Digests of rows are joined in the order of their key within buckets of a hash of it, then those of the buckets: no task

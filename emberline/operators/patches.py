@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline import registry
-from emberline.functions.text import strip
+from emberline.functions.provider import layout, normalized_diff_paths
+from emberline.functions.text import parse_tag, strip, truncated
 
 #: All line ends that Python's splitlines knows.
 ANY_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
@@ -53,32 +54,61 @@ def check_patch(patch: Column, failure_class: Column) -> Column:
 
 
 def normalize_patch(patch: Column) -> Column:
-    """Line feeds only, and one at the end; an empty patch stays empty."""
+    """Line feeds only, and one at the end; a patch of white space only stays as it is."""
     flat = F.regexp_replace(patch, r"\r\n?", "\n")
-    return F.when(flat == "", flat).when(F.endswith(flat, F.lit("\n")), flat).otherwise(F.concat(flat, F.lit("\n")))
+    return F.when(strip(patch) == "", patch).when(F.endswith(flat, F.lit("\n")), flat).otherwise(F.concat(flat, F.lit("\n")))
+
+
+_HEADER = r"diff --git a/(\S+) b/(\S+)$"
 
 
 def diff_paths(diff: Column) -> Column:
-    """New paths of `diff --git` headers, first met first."""
-    return F.array_distinct(F.regexp_extract_all(diff, F.lit(r"(?md)^diff --git a/(.+?) b/(.+)$"), F.lit(2)))
+    """New paths of `diff --git` headers, first met first; none of a null diff."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(diff, F.lit("")), F.lit(f"(?Umd)^{_HEADER}"), F.lit(2)))
+
+
+def listed_files(diff: Column) -> Column:
+    """diff_paths() as text, a line each; it says so if there are none."""
+    paths = diff_paths(diff)
+    return F.when(F.size(paths) > 0, F.array_join(paths, "\n")).otherwise(f"{registry.NOT_FOUND}: this case carries no diff")
 
 
-def diff_section(diff: Column, path: Column, limit: int = 4000) -> Column:
-    """The part of a diff from a file's header to the next one, cut with a marker; a text that says so if the file isn't in it."""
-    parts = F.filter(F.split(diff, r"(?md)(?=^diff --git )"), lambda p: F.regexp_extract(p, r"(?md)\Adiff --git a/.+? b/(.+)$", 1) == path)
-    own = F.get(parts, F.lit(0))
-    cut = F.when(F.length(own) > limit, F.concat(F.left(own, F.lit(limit)), F.lit("\n... (truncated)"))).otherwise(own)
-    return F.coalesce(cut, F.concat(path, F.lit(" is not part of this diff")))
+def diff_section(diff: Column, path: Column, limit: int = registry.MAX_SECTION_CHARS) -> Column:
+    """The part of a diff from a file's header to the next one, cut with a marker; a text that says so if there is none."""
+    parts = F.filter(F.split(diff, f"(?Umd)(?=^{_HEADER})"), lambda p: F.regexp_extract(p, f"(?Umd)\\A{_HEADER}", 2) == path)
+    own = truncated(F.get(parts, F.lit(0)), limit, "...[hunk truncated]")
+    missing = F.concat(F.lit(f"{registry.NOT_FOUND}: "), path, F.lit(" is not in the diff"))
+    return F.when(F.coalesce(diff, F.lit("")) == "", f"{registry.NOT_FOUND}: this case carries no diff").otherwise(F.coalesce(own, missing))
 
 
-def log_range(log: Column, start: Column, end: Column, cap: int = 200) -> Column:
+def log_range(log: Column, start: Column, end: Column, cap: int = registry.MAX_RANGE_LINES) -> Column:
     """Lines start to end, 1-based and inclusive, at most cap of them, under a header; it says so if the cap cut some off."""
     lines = F.split(log, "\n")
-    first = F.greatest(start, F.lit(1))
-    wanted = F.least(end, F.size(lines))
-    last = F.least(wanted, first + cap - 1)
-    head = F.concat(F.lit("lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" of "), F.size(lines).cast("string"), F.when(last < wanted, " (truncated)").otherwise(""), F.lit("\n"))
-    return F.when(first > wanted, F.concat(F.lit("no such lines, the log has "), F.size(lines).cast("string"))).otherwise(F.concat(head, F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")))
+    total = F.size(lines)
+    capped = F.least(end, start + (cap - 1))
+    last = F.least(capped, total)
+    head = F.concat(F.lit("[lines "), start.cast("string"), F.lit("-"), last.cast("string"), F.lit(" of "), total.cast("string"), F.when(capped < end, " (truncated)").otherwise(""), F.lit("]\n"))
+    outside = F.concat(F.lit(f"{registry.NOT_FOUND}: the log has lines 1 to "), total.cast("string"))
+    inside = (start >= 1) & (start <= total)
+    body = F.when(inside, F.array_join(F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(last - start + 1, F.lit(0))), "\n"))
+    return F.when(inside, F.concat(head, body)).otherwise(outside)
+
+
+def quoted(text: Column) -> Column:
+    """text between quotes as reports write it: single ones, double ones if it has single ones only; line ends as escapes."""
+    flat = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, told in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        flat = F.replace(flat, F.lit(raw), F.lit(told))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), flat, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(flat, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def search_report(log: Column, needle: Column, limit: int = 20) -> Column:
+    """search_log() as text: `number: line` for each hit shown, then how many more there are; it says so if there are none."""
+    found = search_log(log, needle, limit)
+    shown = F.array_join(F.transform(found["hits"], lambda h: F.concat(h["n"].cast("string"), F.lit(": "), h["line"])), "\n")
+    more = F.when(found["more"] > 0, F.concat(F.lit("\n..."), found["more"].cast("string"), F.lit(" more matches"))).otherwise("")
+    return F.when(F.size(found["hits"]) > 0, F.concat(shown, more)).otherwise(F.concat(F.lit(f"{registry.NOT_FOUND}: no line contains "), quoted(needle)))
 
 
 def search_log(log: Column, needle: Column, limit: int = 20, chars: int = 160) -> Column:
@@ -88,26 +118,53 @@ def search_log(log: Column, needle: Column, limit: int = 20, chars: int = 160) -
     return F.struct(hits.alias("hits"), F.greatest(F.size(found) - limit, F.lit(0)).alias("more"))
 
 
-def corrupted(patch: Column, marker: str = "CORRUPTED ") -> Column:
-    """A patch whose first context or removed line can't be found any more: the marker is put into it."""
-    lines = F.split(patch, "\n")
+def corrupted(patch: Column, sentinel: str = "control_line_that_does_not_exist") -> Column:
+    """A patch whose first context or removed line can't be found any more: the sentinel stands for what it said.
+
+    Lines end with a line feed, the last one too.
+    """
+    lines = all_lines(patch)
     eligible = lambda x: (F.startswith(x, F.lit(" ")) | F.startswith(x, F.lit("-"))) & ~F.startswith(x, F.lit("--- ")) & ~F.startswith(x, F.lit("-- "))
     first = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(eligible(x), i)), lambda i: i.isNotNull()))
-    return F.array_join(F.transform(lines, lambda x, i: F.when(i == first, F.concat(F.left(x, F.lit(1)), F.lit(marker), F.substring(x, 2, 1 << 20))).otherwise(x)), "\n")
+    told = F.transform(lines, lambda x, i: F.when(i == first, F.concat(F.left(x, F.lit(1)), F.lit(sentinel))).otherwise(x))
+    return F.concat(F.array_join(told, "\n"), F.lit("\n"))
 
 
 def resolve_path(path: Column, known: Column) -> Column:
-    """The known path that is meant: the same, else without ./, a/ or b/, else the only one that ends with it; null if none."""
-    bare = [path, F.regexp_replace(path, r"^\./", ""), F.regexp_replace(path, "^a/", ""), F.regexp_replace(path, "^b/", "")]
-    suffix = F.filter(known, lambda k: F.endswith(k, F.concat(F.lit("/"), bare[1])))
-    exact = F.coalesce(*[F.when(F.array_contains(known, b), b) for b in bare])
-    return F.coalesce(exact, F.when(F.size(suffix) == 1, F.get(suffix, F.lit(0))))
-
-
-def sections(text: Column, marker: str = r"^=== (.+) ===$") -> Column:
-    """map<name, text> of a text cut by marker lines; of a repeated name the last counts; what stands before the first goes."""
-    parts = F.filter(F.split(text, f"(?md)(?={marker})"), lambda p: p.rlike(f"(?md)\\A{marker}"))
-    entry = lambda p: F.struct(F.regexp_extract(p, f"(?md)\\A{marker}", 1).alias("k"), F.regexp_replace(F.regexp_replace(p, f"(?md)\\A{marker}\n?", ""), r"\n\z", "").alias("v"))
+    """The known path that is meant; null if none or several could be.
+
+    A known path itself is meant. Of others, separators are slashes and one ./, then one a/, then one b/ in front goes; what is
+    left is a known path, or the end of one after a slash.
+    """
+    slashes = lambda c: F.translate(c, "\\", "/")
+    wanted = F.regexp_replace(slashes(path), r"^(\./)?(a/)?(b/)?", "")
+    meant = F.filter(known, lambda k: F.endswith(F.concat(F.lit("/"), slashes(k)), F.concat(F.lit("/"), wanted)))
+    return F.when(F.array_contains(known, path), path).when(F.size(meant) == 1, F.get(meant, F.lit(0)))
+
+
+def sections(text: Column, marker: str = r"=====CI_(\w+)=====") -> Column:
+    """map<name, text> of a text cut by marker lines; names in lower case, texts with their line ends. Of a repeated name the last
+    counts; what stands before the first goes. A marker line may have white space around the marker."""
+    line = rf"[ \t\r]*{marker}[ \t\r]*(?:\n|\z)"
+    parts = F.filter(F.split(text, rf"(?md)(?=^{line})"), lambda p: p.rlike(rf"\A{line}"))
+    entry = lambda p: F.struct(F.lower(F.regexp_extract(p, rf"\A{line}", 1)).alias("k"), F.regexp_replace(p, rf"\A{line}", "").alias("v"))
     entries = F.transform(parts, entry)
     last = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]).alias("again"))), lambda x: ~x["again"])
     return F.map_from_entries(F.transform(last, lambda x: x["e"]))
+
+
+def artifact(tag: Column, output: Column) -> Column:
+    """struct(slug, job_id, failing_log, fix_diff, culprit_files, error) of an image's tag and what its extraction printed.
+
+    error says why it is no case: no log of the failing build, or a checkout that is the build's cache. It comes with nulls.
+    """
+    part = lambda name: F.coalesce(F.try_element_at(sections(output), F.lit(name)), F.lit(""))
+    log, where = strip(part("log")), strip(part("layout"))
+    told = F.concat(F.lit(" ("), F.when(where == "", "layout not reported").otherwise(where), F.lit(")"))
+    error = F.when(log.isin("", "no log"), F.concat(tag, F.lit(" has no original build log"), told)).when(F.contains(where, F.lit("project=cacher")), F.concat(tag, F.lit(" resolved to the build cache, not a checkout"), told))
+    place = layout(where)
+    files = F.filter(F.transform(all_lines(part("files")), strip), lambda x: x != "")
+    name = parse_tag(tag)
+    only = lambda c: F.when(error.isNull(), c)
+    diff = normalized_diff_paths(strip(part("diff")), place["root"], place["project"])
+    return F.struct(name["slug"].alias("slug"), name["job_id"].alias("job_id"), only(log).alias("failing_log"), only(diff).alias("fix_diff"), only(files).alias("culprit_files"), error.alias("error"))

@@ -137,9 +137,69 @@ def funnel_rows(report: DataFrame) -> DataFrame:
 
 
 def control(runs: DataFrame) -> DataFrame:
-    """(case_id, usable, reason) of runs(case_id, reference_level, corrupted_level): usable if only the true fix gets to the top."""
+    """(case_id, usable, reason) of runs(case_id, reference_level, corrupted_level): usable if only the true fix gets to the top.
+
+    A null reference level: no fix is stored.
+    """
     top = len(STAGES)
-    real, broken = F.col("reference_level"), F.col("corrupted_level")
-    names = F.array(*[F.lit(n) for n in ["nothing", *STAGES]])
-    reason = F.when(real.isNull(), "no fix stored").when(real < top, F.concat(F.lit("reference fix only reached "), F.element_at(names, real + 1))).when(broken >= top, "corrupted fix passed too").otherwise("")
+    real, broken = F.col("reference_level"), F.coalesce("corrupted_level", F.lit(0))
+    names = F.array(*[F.lit(n) for n in registry.LEVELS])
+    reason = F.when(real.isNull(), "no reference fix stored").when(real < top, F.concat(F.lit("reference fix only reached "), F.element_at(names, real + 1))).when(broken >= top, "the corrupted fix passed too, so the build proves nothing").otherwise("")
     return runs.select("case_id", F.coalesce((real == top) & (broken < top), F.lit(False)).alias("usable"), reason.alias("reason"))
+
+
+def ranked_paths(ranked_files: Column) -> Column:
+    """The paths of array<struct<path, ...>>, the first five; none of a null ranking."""
+    paths = F.transform(F.slice(ranked_files, 1, registry.MAX_RANKED_FILES), lambda f: f["path"])
+    return F.coalesce(paths, F.array().cast("array<string>"))
+
+
+def on_target(ranked: Column, culprits: Column) -> Column:
+    """Whether a ranked path is a culprit, spelt alike."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(ranked), F.array_compact(culprits)), F.lit(False))
+
+
+def executable(cases: DataFrame) -> DataFrame:
+    """Cases whose patches can be judged by running their image, with image_tag."""
+    image = F.col("verification.docker_image")
+    kept = cases.where((F.col("verification.method") == "bugswarm_image") & (F.coalesce(image, F.lit("")) != ""))
+    return kept.withColumn("image_tag", image_tag(image))
+
+
+def image_tag(image: Column) -> Column:
+    """An image's name without the prefix that all have; empty for a null one."""
+    name = F.coalesce(image, F.lit(""))
+    return F.when(F.startswith(name, F.lit(registry.IMAGE_PREFIX)), F.substring(name, len(registry.IMAGE_PREFIX) + 1, 1 << 20)).otherwise(name)
+
+
+def funnel_cases(cases: DataFrame, unmeasurable: DataFrame, only: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The executable cases that a funnel runs: of `only`, if any are named, without unmeasurable(case_id), the first limit by id."""
+    runnable = executable(cases)
+    if only:
+        runnable = runnable.where(F.col("case_id").isin(only))
+    kept = runnable.join(unmeasurable.select("case_id").distinct(), "case_id", "left_anti")
+    return kept.orderBy("case_id").limit(limit) if limit else kept
+
+
+def attempt_error(kind: Column, message: Column) -> Column:
+    """skip_reason of a case whose attempt failed: 300 characters at most."""
+    return F.left(F.concat(kind, F.lit(": "), message), F.lit(300))
+
+
+def scorecards(results: DataFrame, identity: list[str], localized: DataFrame | None = None, attempts: DataFrame | None = None) -> DataFrame:
+    """One row for each identity (git_sha, model, prompt_hash, dataset_hash, subset): the headline figures of results, and of
+    localized(identity, truth, ranked) and attempts(identity, ...) where given. A report without samples is null."""
+    out = headline(results, identity)
+    for samples, report, names in ((localized, localization, ["hit_at_1", "hit_at_5", "mrr"]), (attempts, funnel, ["n_attempted", "apply_rate", "fix_rate", "clean_fix_rate"])):
+        if samples is not None:
+            out = out.join(report(samples, identity).select(*identity, *names), identity, "left")
+    return out
+
+
+def funnel_report(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, attempts in the order of case_id with the names of levels): what runs of single cases add up to. ValueError if none."""
+    if attempts.isEmpty():
+        raise ValueError("no attempts")
+    names = F.array(*[F.lit(n) for n in registry.LEVELS])
+    named = attempts.withColumn("level", F.when(F.col("attempted"), F.element_at(names, F.coalesce("level", F.lit(0)) + 1)))
+    return funnel(attempts), named.orderBy("case_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline import registry
@@ -16,9 +16,9 @@ def model_dim(spark: SparkSession) -> DataFrame:
 def costs(usage: DataFrame) -> DataFrame:
     """(model, n_requests, input_tokens, output_tokens, list_price_usd, per_request_usd) of usage(model, input_tokens, output_tokens).
 
-    An unknown model has tokens, but no price.
+    An unknown model has tokens, but no price. Baseline models use none and are left out.
     """
-    sums = usage.groupBy("model").agg(F.count("*").alias("n_requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    sums = usage.where(~F.coalesce(F.col("model").isin(registry.BASELINE_MODELS), F.lit(False))).groupBy("model").agg(F.count("*").alias("n_requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     dim = F.broadcast(model_dim(usage.sparkSession).select("model", "list_in", "list_out"))
     price = (F.col("input_tokens") * F.col("list_in") + F.col("output_tokens") * F.col("list_out")) / 1e6
     return sums.join(dim, "model", "left").select("model", "n_requests", "input_tokens", "output_tokens", price.alias("list_price_usd"), F.try_divide(price, F.col("n_requests")).alias("per_request_usd"))
@@ -39,6 +39,14 @@ def preflight(used: DataFrame, caps: DataFrame, needed: int) -> DataFrame:
     return used.join(F.broadcast(caps), "provider", "left").select("provider", "day", remaining.alias("remaining"), refusal.alias("refusal"))
 
 
+def output_token_budget(model: Column) -> Column:
+    """Tokens that a model may answer with: more for those that reason first. Null for an unknown model."""
+    out = F.lit(None).cast("int")
+    for m in registry.MODELS:
+        out = F.when(model == m.name, registry.REASONING_OUTPUT_TOKENS if m.reasoning else registry.DIRECT_OUTPUT_TOKENS).otherwise(out)
+    return out
+
+
 def backoff_seconds(attempt, cap: float = 30.0):
     """Seconds before jitter after so many failed attempts."""
     return F.least(F.lit(0.5) * F.pow(F.lit(2.0), attempt), F.lit(cap))

@@ -92,7 +92,10 @@ _DIGEST = " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR)))
 ORACLE_SQL: dict[str, str] = {
     "l_condense_excerpts": condensed(registry.MAX_CHARS),
     "l_condense_small_budget": condensed(2500),
-    "c_clean_lines": f"WITH {V1}, r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 5 = 0 THEN '' ELSE '' END || line || chr(10) || 'end' AS t FROM v1) SELECT event_id, md5(t) AS cleaned_md5, CAST(2 AS INTEGER) AS n_lines FROM r",
+    "c_clean_lines": rf"""WITH {V1}, raw AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN chr(65279) ELSE '' END || CASE WHEN event_id % 2 = 0 THEN '2026-01-02T03:04:05.678Z ' ELSE '' END || chr(27) || '[31m' || line || chr(27) || '[0m' || CASE WHEN event_id % 3 = 0 THEN chr(13) || chr(10) ELSE chr(13) END || '2026-01-02T03:04:05Z end' AS t FROM v1),
+        flat AS (SELECT event_id, replace(replace(ltrim(t, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM raw),
+        cleaned AS (SELECT event_id, regexp_replace(regexp_replace(t, '(?m)^[0-9-]{{10}}T[0-9:]{{8}}(\.[0-9]+)?Z ', '', 'g'), chr(27) || '\[[0-9;]*m', '', 'g') AS t FROM flat)
+        SELECT event_id, md5(t) AS cleaned_md5, CAST(len(string_split(t, chr(10))) AS INTEGER) AS n_lines FROM cleaned""",
     "k_regex_rules": rules(),
     "k_majority": f"WITH {v2()} SELECT truth_class AS failure_class, CASE truth_class WHEN 'code_change' THEN 'test_assertion' " + " ".join(f"WHEN '{c}' THEN '{min(s)}'" for c, s in registry.SUBCATEGORIES.items() if c != "code_change") + " END AS subcategory FROM v2 GROUP BY truth_class ORDER BY count(*) DESC, min(case_id) LIMIT 1",
     "k_signals": f"WITH {V6} SELECT CASE WHEN rerun_passed AND attempt > 1 THEN {_S[0]} WHEN conclusion IN ('cancelled', 'timed_out') THEN {_S[1]} WHEN step IS NULL THEN {_S[2]} WHEN {_SETUP} THEN {_S[3]} ELSE {_S[4]} END AS signal, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS ordinals FROM v6 GROUP BY 1",
@@ -108,7 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "g_gate": f"WITH {CLASSES}, {v2('p', 5)}, {headline('p', '').replace('cell', 'cell_p').replace('macro AS', 'macro_p AS').replace('JOIN macro ', 'JOIN macro_p ').replace('base', 'base_p').replace('head AS', 'a AS')}, {v2('q', 3)}, {headline('q', '').replace('head AS', 'b AS')}, m AS ({_METRICS}) SELECT CAST(ord AS INTEGER) AS ord, metric, baseline, current, current - baseline AS delta, tolerance, (CASE WHEN up THEN baseline - current ELSE current - baseline END) > tolerance + 1e-9 AS regressed FROM m",
     "g_flips": f"WITH {v2('p', 5)}, {v2('q', 3)} SELECT CASE WHEN p.correct THEN 'newly_failing' ELSE 'newly_passing' END AS change, count(*) AS n, min(p.case_id) AS first_case, CAST(sum(p.case_id) AS BIGINT) AS cases FROM p JOIN q USING (case_id) WHERE p.correct <> q.correct GROUP BY 1",
     "m_ranking": f"WITH {v2()}, {CLASSES}, {headline('v2', 'model')} SELECT model, CAST(row_number() OVER (ORDER BY coverage DESC, macro_f1 DESC, length(model)) AS INTEGER) AS place FROM head",
-    "m_winners": f"WITH {v2()}, {CLASSES}, {headline('v2', 'model')}, c AS (SELECT *, length(model) AS o FROM head WHERE model <> 'error') SELECT (SELECT model FROM c ORDER BY macro_f1 DESC, o LIMIT 1) AS best_macro_f1, (SELECT model FROM c ORDER BY cost_weighted_error, o LIMIT 1) AS cheapest, (SELECT model FROM c ORDER BY n_cases, o LIMIT 1) AS fastest, (SELECT count(*) FROM c) AS n_complete",
+    "m_winners": f"WITH {v2('all_')}, v2 AS (SELECT * FROM all_ WHERE predicted_class IS NOT NULL), {CLASSES}, {headline('v2', 'model')}, c AS (SELECT *, length(model) AS o FROM head WHERE model <> 'error') SELECT (SELECT model FROM c ORDER BY macro_f1 DESC, o LIMIT 1) AS best_macro_f1, (SELECT model FROM c ORDER BY cost_weighted_error, o LIMIT 1) AS cheapest, (SELECT model FROM c ORDER BY n_cases, o LIMIT 1) AS fastest, (SELECT count(*) FROM c) AS n_complete",
     "t_spreads": f"WITH {v2()}, {CLASSES}, {headline('v2', 'model, day')}, r AS (SELECT model, 'accuracy' AS metric, accuracy AS value FROM head UNION ALL SELECT model, 'macro_f1', macro_f1 FROM head UNION ALL SELECT model, 'coverage', coverage FROM head) SELECT model, metric, count(*) AS n, round(avg(value), 9) AS mean, round(min(value), 9) AS low, round(max(value), 9) AS high, round(max(value) - min(value), 9) AS spread, round(coalesce(stddev_samp(value), 0.0), 9) AS stdev FROM r WHERE value IS NOT NULL GROUP BY ALL",
     "d_diversified": f"WITH {V6} SELECT repo, ordinal, conclusion FROM v6 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ordinal) <= 3",
     "d_selected": "WITH c AS (SELECT o_orderkey AS tag, o_custkey AS repo, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderkey % 3 END AS bug, o_orderstatus AS st FROM orders), x AS (SELECT * FROM c WHERE st = 'F'), f AS (SELECT * FROM c WHERE st <> 'F' AND bug IS NOT NULL AND tag NOT IN (SELECT tag FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE x.repo = c.repo AND x.bug = c.bug)), b AS (SELECT repo, bug, min(tag) AS tag FROM f GROUP BY repo, bug), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tag) AS k FROM b), h AS (SELECT repo, count(*) AS had FROM x GROUP BY repo) SELECT k.tag, k.repo, k.bug, k.tag AS ordinal FROM k LEFT JOIN h USING (repo) WHERE k + coalesce(had, 0) <= 8",
@@ -118,7 +121,7 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN agreed THEN CASE a.i % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS related_to_diff,
             CASE WHEN agreed THEN CASE WHEN a.i % 4 = a.i % 2 THEN 'src/a' || (a.i % 4) || '.py| src/b' || (a.i % 5) || '.py' ELSE ' src/b' || (a.i % 5) || '.py' END END AS culprits,
             CASE WHEN agreed THEN least(CAST((a.i % 10) / 10.0 AS DOUBLE), CAST(a.i % 7 AS DOUBLE) / 7) END AS confidence,
-            CASE WHEN b.slug IS NULL THEN 'one annotation is missing' WHEN a.fc <> b.fc THEN a.fc || ' or ' || b.fc WHEN b.y THEN 'x or y' WHEN b.other THEN 'relation to the diff' ELSE '' END AS reason
+            CASE WHEN b.slug IS NULL THEN a.slug || ': one annotation is missing' WHEN a.fc <> b.fc OR b.y OR b.other THEN a.slug || ': A said ' || a.fc || '/x/' || CASE a.i % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END || ', B said ' || b.fc || CASE WHEN b.y THEN '/y/' ELSE '/x/' END || CASE WHEN a.i % 3 = 0 OR b.other THEN 'true' WHEN a.i % 3 = 1 THEN 'false' ELSE 'unknown' END ELSE '' END AS review
         FROM a LEFT JOIN b USING (slug)""",
     "d_failed_jobs": f"WITH {V6}, j AS (SELECT repo AS run_id, ordinal, CASE WHEN ordinal % 4 = 0 THEN 'success' ELSE conclusion END AS conclusion FROM v6) SELECT run_id, ordinal, conclusion FROM j WHERE conclusion <> 'success' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY list_position(['failure', 'timed_out', 'cancelled'], conclusion), ordinal) = 1",
     "h_row_digests": f"WITH {v2()} SELECT case_id, sha256({_DIGEST}) AS digest FROM v2",
@@ -133,8 +136,53 @@ ORACLE_SQL: dict[str, str] = {
         FROM p LEFT JOIN j USING (patch_id) JOIN c USING (patch_id)""",
     "p_search_log": f"WITH {V1}, h AS (SELECT log_id, count(*) FILTER (contains(line, 'user 7')) AS k, min(n) FILTER (contains(line, 'user 7')) AS f FROM v1 GROUP BY log_id) SELECT log_id, CAST(least(k, 20) AS INTEGER) AS n_hits, CAST(greatest(k - 20, 0) AS INTEGER) AS more, CAST(f AS INTEGER) AS first_line FROM h",
     "j_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*', '', 's') AS redacted FROM pages",
-    "j_run_urls": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN 'acme/w' || (o_orderkey % 7) END AS repo, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey * 1000003 + 31063661240 END AS run_id, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 0 THEN CAST(o_orderkey % 5 + 1 AS INTEGER) END AS attempt FROM orders",
+    "j_run_urls": "WITH o AS (SELECT o_orderkey AS i, o_orderkey % 9 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 11 = 0 OR o_orderkey % 10 <> 0) AS good FROM orders) SELECT i AS id, CASE WHEN good THEN 'acme/w' || (i % 7) END AS repo, CASE WHEN good THEN i * 1000003 + 31063661240 END AS run_id, CASE WHEN good AND i % 4 = 0 THEN CAST(i % 5 + 1 AS INTEGER) END AS attempt FROM o",
     "u_model_costs": f"WITH {V9}, price(model, pi, po) AS (VALUES {_PRICES}), s AS (SELECT model, count(*) AS n_requests, CAST(sum(tokens * 10) AS BIGINT) AS input_tokens, CAST(sum(tokens) AS BIGINT) AS output_tokens FROM v9 GROUP BY model) SELECT model, n_requests, input_tokens, output_tokens, round((input_tokens * pi + output_tokens * po) / 1e6, 9) AS list_price_usd, round((input_tokens * pi + output_tokens * po) / 1e6 / n_requests, 12) AS per_request_usd FROM s LEFT JOIN price USING (model)",
     "u_daily": f"WITH {V9} SELECT provider, day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM v9 GROUP BY ALL",
     "u_preflight": f"WITH {V9}, d AS (SELECT provider, day, count(*) AS requests, sum(tokens) AS tokens FROM v9 GROUP BY ALL), cap(provider, rpd, tpd) AS (VALUES ('view', 80, NULL), ('click', NULL, 2000), ('error', 60, 1500), ('signup', 1000, NULL)) SELECT provider, day, CASE WHEN rpd IS NOT NULL THEN greatest(0, rpd - requests) END AS remaining, CASE WHEN tpd IS NOT NULL AND tokens >= tpd THEN 'tokens_spent' WHEN rpd IS NOT NULL AND greatest(0, rpd - requests) < 20 THEN 'too_few_requests' END AS refusal FROM d LEFT JOIN cap USING (provider)",
+    "h_content_hash": f"""WITH {v2()}, j AS (SELECT 'case-' || lpad(CAST(case_id AS VARCHAR), 9, '0') AS k, '{{"case_id":"case-' || lpad(CAST(case_id AS VARCHAR), 9, '0') || '","correct":' || CASE WHEN correct THEN 'true' ELSE 'false' END || ',"predicted_class":' || coalesce('"' || predicted_class || '"', 'null') || ',"run":{{"day":"' || day || ' ' || chr(92) || 'u00e9' || chr(92) || '"","model":"' || model || '"}},"truth_class":"' || truth_class || '"}}' AS j FROM v2)
+        SELECT left(sha256(string_agg(j || chr(0), '' ORDER BY k)), 12) AS dataset_hash FROM j""",
+    "p_log_ranges": f"""WITH {V1}, t AS (SELECT log_id, CAST(max(n) AS BIGINT) AS total FROM v1 GROUP BY log_id), r(ord, first, last) AS (VALUES (1, 3, 10), (2, 5, 900), (3, 40, 60), (4, 9, 2), (5, 0, 5), (6, 100000, 100001)),
+        c AS (SELECT *, least(last, first + 199) AS capped FROM t, r), b AS (SELECT c.log_id, c.ord, string_agg(line, chr(10) ORDER BY n) AS body FROM c JOIN v1 ON v1.log_id = c.log_id AND n BETWEEN first AND capped GROUP BY ALL)
+        SELECT log_id, CAST(ord AS INTEGER) AS ord, md5(CASE WHEN first < 1 OR first > total THEN 'not found: the log has lines 1 to ' || total ELSE '[lines ' || first || '-' || least(capped, total) || ' of ' || total || CASE WHEN capped < last THEN ' (truncated)' ELSE '' END || ']' || chr(10) || coalesce(body, '') END) AS text_md5 FROM c LEFT JOIN b USING (log_id, ord)""",
+    "p_search_reports": f"""WITH {V1}, h AS (SELECT log_id, n, trim(line) AS line, row_number() OVER (PARTITION BY log_id ORDER BY n) AS k, count(*) OVER (PARTITION BY log_id) AS total FROM v1 WHERE contains(line, 'user 7')),
+        g AS (SELECT log_id, string_agg(n || ': ' || left(line, 160), chr(10) ORDER BY n) FILTER (k <= 20) || CASE WHEN any_value(total) > 20 THEN chr(10) || '...' || (any_value(total) - 20) || ' more matches' ELSE '' END AS t FROM h GROUP BY log_id), l AS (SELECT DISTINCT log_id FROM v1)
+        SELECT log_id, 1 AS ord, md5(coalesce(t, 'not found: no line contains ' || chr(39) || 'user 7' || chr(39))) AS text_md5 FROM l LEFT JOIN g USING (log_id)
+        UNION ALL SELECT log_id, 2, md5('not found: no line contains "it''s nowhere"') FROM l
+        UNION ALL SELECT log_id, 3, md5('not found: no line contains ' || chr(39) || 'neither "this" nor it' || chr(92) || chr(39) || 's' || chr(39)) FROM l""",
+    "p_texts": f"""WITH p AS (SELECT p_partkey AS patch_id, {_BODY} AS patch FROM part), l AS (SELECT *, string_split(regexp_replace(patch, chr(10) || '$', ''), chr(10)) AS ls FROM p),
+        k AS (SELECT *, list_position(list_transform(ls, lambda x: (x LIKE ' %' OR x LIKE '-%') AND x NOT LIKE '--- %' AND x NOT LIKE '-- %'), true) AS spot FROM l),
+        f AS (SELECT *, regexp_extract(patch, 'diff --git a/[^ ]+ b/([^ ' || chr(10) || ']+)', 1) AS file FROM k)
+        SELECT patch_id, md5(CASE WHEN trim(replace(patch, chr(10), '')) = '' THEN CASE patch_id % 3 WHEN 0 THEN replace(patch, chr(10), chr(13) || chr(10)) WHEN 1 THEN regexp_replace(patch, chr(10) || '$', '') ELSE patch END ELSE patch END) AS normalized_md5,
+            md5(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = spot THEN left(x, 1) || 'control_line_that_does_not_exist' ELSE x END), chr(10)) || chr(10)) AS corrupted_md5,
+            CASE WHEN file = '' THEN 'not found: this case carries no diff' ELSE file END AS files,
+            md5(CASE WHEN file <> 'src/f3.py' THEN 'not found: src/f3.py is not in the diff' WHEN length(patch) > 120 THEN left(patch, 120) || chr(10) || '...[hunk truncated]' ELSE patch END) AS section_md5 FROM f""",
+    "p_resolved_paths": """WITH p AS (SELECT p_partkey, ['src/m' || (p_partkey % 5) || '.py', 'pkg/src/m' || (p_partkey % 7) || '.py', 'lib' || chr(92) || 'n' || (p_partkey % 3) || '.py'] AS known, CASE p_partkey % 4 WHEN 0 THEN 'lib/n' WHEN 1 THEN 'n' ELSE 'src/m' END || (p_partkey % 11) || '.py' AS bare, ['', './', 'a/', 'b/', './b/', 'x/'][p_partkey % 6 + 1] AS noise FROM part),
+        w AS (SELECT *, CASE WHEN noise = 'x/' THEN 'x/' || bare ELSE bare END AS wanted FROM p), m AS (SELECT *, list_filter(known, lambda k: replace(k, chr(92), '/') = wanted OR suffix(replace(k, chr(92), '/'), '/' || wanted)) AS meant FROM w)
+        SELECT p_partkey, CASE WHEN list_contains(known, noise || bare) THEN noise || bare WHEN len(meant) = 1 THEN meant[1] END AS meant FROM m""",
+    "j_answers": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '{"a": "' || p_name || '"}' WHEN 1 THEN '{"a": "' || p_name || '"} or {}' WHEN 2 THEN '{"a": "' || p_name || '"} trailing' ELSE trim(p_name) END AS json,
+        md5(CASE WHEN p_partkey % 3 = 0 THEN '> none recorded' ELSE '> ' || chr(39) || p_name || chr(39) || ' 2nd' || chr(10) || '> none recorded' || chr(10) || '> ' || left(trim(repeat(p_name, 30)), 300) END) AS quote_md5 FROM part""",
+    "p_prompt_texts": """SELECT doc_id, md5(CASE WHEN coalesce(text, '') = '' THEN 'no diff available' WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '...[diff truncated]' ELSE text END) AS diff_md5,
+        md5('--- a.txt ---' || chr(10) || CASE WHEN length(text) > 12000 THEN left(text, 12000) || chr(10) || '...[truncated]' ELSE coalesce(text, '') END || chr(10) || chr(10) || '--- b.txt ---' || chr(10) || 'short') AS files_md5 FROM documents""",
+    "k_skip_reasons": f"""WITH {v2()}, r AS (SELECT case_id, CASE WHEN truth_class NOT IN ('code_change', 'pipeline_config') THEN truth_class || ' failures have no repository file to patch. Rerun, pin, or quarantine instead.'
+        WHEN (case_id % 10) / 8.0 < 0.6 THEN 'classifier confidence ' || ['0.00', '0.13', '0.25', '0.38', '0.50'][case_id % 10 + 1] || ' is below 0.60, so a patch would be built on a guess about the cause' WHEN case_id % 7 = 0 THEN 'no culprit file was identified, so there is nothing to edit' END AS reason FROM v2) SELECT reason, count(*) AS n, min(case_id) AS first_case FROM r GROUP BY reason""",
+    "f_controls": f"""WITH r AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 12 <> 0 THEN greatest(0, o_orderkey % 8 - 3) END AS real, o_orderkey % 5 AS broken FROM orders) SELECT case_id, coalesce(real = 4 AND broken < 4, false) AS usable,
+        CASE WHEN real IS NULL THEN 'no reference fix stored' WHEN real < 4 THEN 'reference fix only reached ' || [{', '.join(map(quoted, registry.LEVELS))}][real + 1] WHEN broken >= 4 THEN 'the corrupted fix passed too, so the build proves nothing' ELSE '' END AS reason FROM r""",
+    "f_cases": f"""WITH o AS (SELECT o_orderkey AS case_id, o_orderstatus AS st, 'src/m' || (o_custkey % 20) || '.py' AS truth, [{_PATHS}] AS ranked FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 NOT IN (0, 4) ORDER BY o_orderkey LIMIT 40)
+        SELECT case_id, 't' || case_id AS image_tag, st <> 'P' AND list_contains(ranked, truth) AS on_target, CASE WHEN case_id % 2 = 0 THEN 'patch t' || case_id ELSE '' END AS patch FROM o""",
+    "a_scorecards": f"""WITH {v2()}, v2s AS (SELECT *, CASE case_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'X' END AS status FROM v2), {CLASSES}, {headline('v2s', 'status')}, {V3}, {V4},
+        s AS (SELECT status, count(*) AS n, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, {', '.join(f'count(*) FILTER (rank = {k}) AS r{k}' for k in range(1, 6))} FROM v3r WHERE status <> 'P' GROUP BY status),
+        f AS (SELECT v3r.status, {_FUNNEL.replace('attempted', 'v4.attempted').replace('n_v4.attempted', 'n_attempted')} FROM v4 JOIN v3r USING (case_id) GROUP BY v3r.status)
+        SELECT head.*, CASE WHEN n IS NOT NULL THEN {ratio('h1', 'n')} END AS hit_at_1, CASE WHEN n IS NOT NULL THEN {ratio('h5', 'n')} END AS hit_at_5, ((((CAST(0 AS DOUBLE) + CAST(r5 AS DOUBLE) / 5) + CAST(r4 AS DOUBLE) / 4) + CAST(r3 AS DOUBLE) / 3) + CAST(r2 AS DOUBLE) / 2 + CAST(r1 AS DOUBLE)) / n AS mrr,
+            n_attempted, CASE WHEN f.status IS NOT NULL THEN {ratio('applies', 'n_attempted')} END AS apply_rate, CASE WHEN f.status IS NOT NULL THEN {ratio('failing_test_passes', 'n_attempted')} END AS fix_rate, CASE WHEN f.status IS NOT NULL THEN {ratio('nothing_else_broke', 'n_attempted')} END AS clean_fix_rate
+        FROM head LEFT JOIN s ON s.status = head.status LEFT JOIN f ON f.status = head.status""",
+    "m_notes": f"""WITH {v2()}, m AS (SELECT model, count(predicted_class) AS a, count(*) AS n FROM v2 GROUP BY model), k AS (SELECT *, model <> 'error' AND a < n AS partial FROM m)
+        SELECT 0 AS kind, 'No model answered every case, so nothing here is rankable.' AS note FROM k HAVING count(*) FILTER (model <> 'error' AND NOT partial) = 0
+        UNION ALL SELECT CASE WHEN partial THEN 1 ELSE 2 END, CASE WHEN partial THEN '`' || model || '` answered only ' || a || ' of ' || n || ' cases. Its scores cover the cases it managed and are not comparable.' ELSE '`' || model || '` could not be scored: no key' END FROM k WHERE partial OR model = 'error'""",
+    "g_verdict": f"""WITH {CLASSES}, {v2('p', 5)}, {headline('p', '').replace('cell', 'cell_p').replace('macro AS', 'macro_p AS').replace('JOIN macro ', 'JOIN macro_p ').replace('base', 'base_p').replace('head AS', 'a AS')}, {v2('q', 3)}, {headline('q', '').replace('head AS', 'b AS')}, m AS ({_METRICS})
+        SELECT n_regressed + 1 > 0 AS regressed, n_regressed, CAST(1 AS BIGINT) AS n_problems FROM (SELECT count(*) FILTER ((CASE WHEN up THEN baseline - current ELSE current - baseline END) > 1e-9) AS n_regressed FROM m)""",
+    "d_existing": """WITH c AS (SELECT 'r' || (o_orderkey % 9) AS repo, CASE WHEN o_orderkey % 4 < 2 THEN 't1#t2' ELSE '' END AS tests, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS tag FROM orders WHERE o_orderkey % 6 <> 0) SELECT repo, tests, count(*) AS n, count(tag) AS n_tags, min(tag) AS first_tag FROM c GROUP BY ALL""",
+    "d_good_entries": "SELECT o_orderkey AS tag FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 3 = 1",
+    "d_mined": f"""WITH {V6}, m AS (SELECT *, CASE WHEN ordinal % 4 = 0 THEN 'Lint' ELSE step END AS failed FROM v6) SELECT repo, ordinal AS run_id, 'build' AS failed_job, failed AS failed_step, CASE WHEN rerun_passed AND attempt > 1 THEN {_S[0]} WHEN conclusion IN ('cancelled', 'timed_out') THEN {_S[1]} WHEN failed IS NULL THEN {_S[2]} WHEN {_SETUP.replace('step', 'failed')} THEN {_S[3]} ELSE {_S[4]} END AS signal FROM m""",
+    "u_waits": f"""WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 200 AS DOUBLE) WHEN p_partkey % 4 = 1 OR p_partkey % 8 = 2 THEN NULL ELSE p_partkey % 50 + CAST(0.5 AS DOUBLE) END AS s FROM part) SELECT p_partkey, CASE WHEN s IS NOT NULL THEN least(s, CAST(75 AS DOUBLE)) END AS seconds, CAST([{', '.join(str(registry.REASONING_OUTPUT_TOKENS if m.reasoning else registry.DIRECT_OUTPUT_TOKENS) for m in registry.MODELS)}, NULL][p_partkey % {len(registry.MODELS) + 1} + 1] AS INTEGER) AS budget FROM w""",
 }

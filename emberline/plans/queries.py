@@ -94,7 +94,10 @@ def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = scoring.headline(views.case_results(spark, sf_dir), ["model"])
+    return _cards(scoring.headline(views.case_results(spark, sf_dir), ["model"]))
+
+
+def _cards(cards: DataFrame) -> DataFrame:
     return cards.select("model", F.length("model").alias("ordinal"), "coverage", "macro_f1", F.col("cost_weighted_error").alias("cost"), F.col("n_cases").cast("double").alias("seconds"), F.when(F.col("model") == "error", "failed").alias("error"))
 
 
@@ -103,8 +106,9 @@ def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of models that answered all but what every model left out."""
-    return compare.winners(_models(spark, sf_dir).withColumn("coverage", F.ceil(F.col("coverage")).cast("double")))
+    """Of the cases that were answered, so that models are complete; one could not be scored."""
+    cards = scoring.headline(views.case_results(spark, sf_dir).where("predicted_class IS NOT NULL"), ["model"])
+    return compare.winners(_cards(cards))
 
 
 def trial_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curate.reconcile(views.annotations(spark, sf_dir))
-    return rows.select("slug", "agreed", "failure_class", "related_to_diff", F.array_join("culprit_files", "|").alias("culprits"), "confidence", F.col("reason"))
+    return rows.select("slug", "agreed", "failure_class", "related_to_diff", F.array_join("culprit_files", "|").alias("culprits"), "confidence", "review")
 
 
 def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +138,15 @@ def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of the case table; no SQL twin, as its buckets go by Spark's own hash."""
+    """The digest of the case table: canonical JSON of each case, a NUL after it, in the order of its id."""
+    rows = views.case_results(spark, sf_dir).select(F.format_string("case-%09d", "case_id").alias("case_id"), "truth_class", "predicted_class", "correct", F.struct(F.col("model"), F.concat(F.col("day"), F.lit(" é\"")).alias("day")).alias("run"))
+    return curate.content_hash(rows.select("case_id", F.concat(curate.canonical_json(rows, rows.columns), F.lit("\0")).alias("block")))
+
+
+def bucketed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of the case table that needs no order of all rows; no SQL twin, as its buckets go by Spark's own hash."""
     rows = views.case_results(spark, sf_dir)
-    return curate.dataset_hash(rows.withColumn("digest", curate.row_digest(*[F.col(c) for c in rows.columns])), "case_id", "digest")
+    return curate.bucketed_hash(rows.withColumn("digest", curate.row_digest(*[F.col(c) for c in rows.columns])), "case_id", "digest")
 
 
 def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +171,9 @@ def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     url = F.concat(F.lit("https://github.com/acme/w"), (i % 7).cast("string"), F.when(i % 9 == 0, "/pull/").otherwise("/actions/runs/"), (i * 1000003 + 31063661240).cast("string"), F.when(i % 4 == 0, F.concat(F.lit("/attempts/"), (i % 5 + 1).cast("string"))).otherwise(""))
-    return views.table(spark, sf_dir, "orders").select(i.alias("id"), tx.parse_run_url(url).alias("r")).select("id", "r.repo", "r.run_id", "r.attempt")
+    url = F.when(i % 13 == 0, F.replace(url, F.lit("https"), F.lit("http"))).when(i % 11 == 0, F.concat(F.lit("  "), url, F.lit("?a=1\n"))).when(i % 10 == 0, F.concat(url, F.lit("?a b"))).otherwise(url)
+    rows = views.table(spark, sf_dir, "orders").select(i.alias("id"), tx.parse_run_url(url).alias("r"))
+    return rows.select("id", "r.repo", F.col("r.run_id").cast("long").alias("run_id"), F.col("r.attempt").cast("int").alias("attempt"))
 
 
 def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +217,127 @@ def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.token_bucket(events, caps)
 
 
+def log_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that the cap cuts, that end beyond the log, that end before they start, and that start outside."""
+    logs = views.logs(spark, sf_dir)
+    ranges = spark.createDataFrame([(1, 3, 10), (2, 5, 900), (3, 40, 60), (4, 9, 2), (5, 0, 5), (6, 100000, 100001)], "ord int, first int, last int")
+    return logs.crossJoin(F.broadcast(ranges)).select("log_id", "ord", F.md5(patches.log_range(F.col("log"), F.col("first"), F.col("last"))).alias("text_md5"))
+
+
+def search_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needles = spark.createDataFrame([(1, "user 7"), (2, "it's nowhere"), (3, 'neither "this" nor it\'s')], "ord int, needle string")
+    return views.logs(spark, sf_dir).crossJoin(F.broadcast(needles)).select("log_id", "ord", F.md5(patches.search_report(F.col("log"), F.col("needle"))).alias("text_md5"))
+
+
+def patch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches made right and made wrong, what files they list, and the part on one of them."""
+    p, i = F.col("patch"), F.col("patch_id")
+    raw = F.when(i % 3 == 0, F.replace(p, F.lit("\n"), F.lit("\r\n"))).when(i % 3 == 1, F.regexp_replace(p, "\n\\z", "")).otherwise(p)
+    return views.patches(spark, sf_dir).select("patch_id", F.md5(patches.normalize_patch(raw)).alias("normalized_md5"), F.md5(patches.corrupted(p)).alias("corrupted_md5"), patches.listed_files(p).alias("files"), F.md5(patches.diff_section(p, F.lit("src/f3.py"), 120)).alias("section_md5"))
+
+
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    known = F.array(*[F.concat(F.lit(a), (i % k).cast("string"), F.lit(b)) for a, k, b in (("src/m", 5, ".py"), ("pkg/src/m", 7, ".py"), ("lib\\n", 3, ".py"))])
+    path = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("", "./", "a/", "b/", "./b/", "x/")]), (i % 6 + 1).cast("int")), F.when(i % 4 == 0, "lib/n").when(i % 4 == 1, "n").otherwise("src/m"), (i % 11).cast("string"), F.lit(".py"))
+    return views.table(spark, sf_dir, "part").select("p_partkey", patches.resolve_path(path, known).alias("meant"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON in answers: fenced, chatty, bare, none; and quotes of evidence."""
+    i, name = F.col("p_partkey"), F.col("p_name")
+    body = F.concat(F.lit('{"a": "'), name, F.lit('"}'))
+    text = F.when(i % 5 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n``` and {more}"))).when(i % 5 == 1, F.concat(F.lit("I say "), body, F.lit(" or {} so"))).when(i % 5 == 2, F.concat(F.lit(" "), body, F.lit(" trailing\n"))).when(i % 5 == 3, F.concat(F.lit("``` "), name, F.lit("```"))).otherwise(name)
+    evidence = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("`"), name, F.lit("`\n2nd")), F.lit(" \r "), F.repeat(name, F.lit(30)), F.lit("fourth")))
+    return views.table(spark, sf_dir, "part").select("p_partkey", tx.extract_json(text).alias("json"), F.md5(tx.quote_evidence(evidence)).alias("quote_md5"))
+
+
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.table(spark, sf_dir, "documents")
+    files = F.create_map(F.lit("a.txt"), F.coalesce("text", F.lit("")), F.lit("b.txt"), F.lit("short"))
+    return docs.select("doc_id", F.md5(tx.prompt_diff(F.col("text"))).alias("diff_md5"), F.md5(tx.prompt_files(files)).alias("files_md5"))
+
+
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.case_results(spark, sf_dir)
+    i = F.col("case_id")
+    reason = classify.skip_reason(F.col("truth_class"), (i % 10) / 8, F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.py"))))
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    runs = views.table(spark, sf_dir, "orders").select(i.alias("case_id"), F.when(i % 12 != 0, F.greatest(F.lit(0), (i % 8).cast("int") - 3)).alias("reference_level"), (i % 5).cast("int").alias("corrupted_level"))
+    return scoring.control(runs)
+
+
+def funnel_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 cases with an image whose control isn't unusable; whether what was ranked is on target, and the patch to verify."""
+    i = F.col("case_id")
+    check = F.struct(F.when(i % 3 == 0, "none").otherwise("bugswarm_image").alias("method"), F.when(i % 5 != 0, F.concat(F.lit("bugswarm/cached-images:t"), i.cast("string"))).alias("docker_image"))
+    ranked = F.transform("ranked", lambda p: F.struct(p.alias("path")))
+    cases = views.ranked_files(spark, sf_dir).withColumn("verification", check)
+    unusable = scoring.control(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit(4).alias("reference_level"), (F.col("o_orderkey") % 5).cast("int").alias("corrupted_level"))).where("NOT usable")
+    kept = scoring.funnel_cases(cases, unusable, limit=40)
+    edited = edits.edited_patch(F.struct((i % 2 == 0).alias("ok"), F.concat(F.lit("patch "), "image_tag").alias("patch")))
+    return kept.select("case_id", "image_tag", scoring.on_target(scoring.ranked_paths(ranked), F.col("truth")).alias("on_target"), edited.alias("patch"))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorecard for each status: classification by events, localization and funnel by orders."""
+    named = F.when(F.col("case_id") % 3 == 0, "O").when(F.col("case_id") % 3 == 1, "F").otherwise("X").alias("status")
+    results = views.case_results(spark, sf_dir).select("*", named)
+    localized = views.ranked_files(spark, sf_dir)
+    tried = views.attempts(spark, sf_dir).join(localized.select("case_id", "status"), "case_id")
+    return scoring.scorecards(results, ["status"], localized, tried)
+
+
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two baseline models, which are forgiven nothing."""
+    card = lambda wrong, subset: scoring.headline(views.case_results(spark, sf_dir, wrong)).withColumns({"subset": F.lit(subset), "dataset_hash": F.lit("abc")})
+    a, b = card(5, "all"), card(3, "smoke")
+    return compare.verdict(compare.gate(a, b, both_baselines=compare.both_baselines("baseline-regex", "baseline-majority")), compare.problems(a, b))
+
+
+def model_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = scoring.headline(views.case_results(spark, sf_dir), ["model"]).select("model", F.length("model").alias("ordinal"), "n_answered", "n_cases", F.when(F.col("model") == "error", "no key").alias("error"))
+    return compare.notes(models).select("kind", "note")
+
+
+def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cases made of orders hold: tags, repositories, bugs and how many of each."""
+    i = F.col("o_orderkey")
+    tests = F.when(i % 4 == 0, F.array(F.lit("t2"), F.lit(""), F.lit("t1"))).when(i % 4 == 1, F.array(F.lit("t1"), F.lit("t2")))
+    cases = views.table(spark, sf_dir, "orders").select(F.struct(F.when(i % 6 != 0, F.concat(F.lit("r"), (i % 9).cast("string"))).alias("repo")).alias("inputs"), F.struct(tests.alias("failing_tests")).alias("ground_truth"), F.struct(F.when(i % 10 != 0, F.concat(F.lit("x:y:"), i.cast("string"))).otherwise("none").alias("docker_image")).alias("verification"))
+    found = curate.existing_cases(cases)
+    return found.groupBy("repo", F.array_join("bug.tests", "#").alias("tests")).agg(F.count("*").alias("n"), F.count("tag").alias("n_tags"), F.min("tag").alias("first_tag"))
+
+
+def good_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    yes = lambda k: F.when(i % k == 0, "Yes").otherwise("No")
+    rows = views.table(spark, sf_dir, "orders").select(i.alias("tag"), F.when(i % 2 == 0, "Python").otherwise("Java").alias("lang"), F.struct(F.when(i % 7 != 0, "Reproducible").alias("status")).alias("reproducibility_status"), F.when(i % 5 != 0, "5/5").otherwise("4/5").alias("stability"), F.struct(yes(4).alias("code"), yes(9).alias("test"), yes(11).alias("build")).alias("classification"), F.struct((i % 3).cast("int").alias("num_of_changed_files")).alias("metrics"))
+    return curate.good_entries(rows).select("tag")
+
+
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of runs made of orders."""
+    i = F.col("ordinal")
+    step = lambda name, conclusion: F.struct(name.alias("name"), conclusion.alias("conclusion"))
+    steps = F.array(step(F.lit("Lint"), F.when(i % 4 == 0, "failure").otherwise("success")), step(F.coalesce(F.get("failed_steps", F.lit(0)), F.lit("none")), F.when(F.size("failed_steps") > 0, "failure").otherwise("skipped")))
+    runs = views.candidates(spark, sf_dir).select("repo", i.alias("run_id"), F.col("attempt").alias("run_attempt"), F.lit("sha").alias("head_sha"), F.lit("ci").alias("workflow_name"), F.lit("u").alias("html_url"), "conclusion", "rerun_passed", F.struct(F.lit("build").alias("name"), steps.alias("steps")).alias("job"))
+    return curate.candidates(runs).select("repo", "run_id", "failed_job", "failed_step", "signal")
+
+
+def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds that servers ask to wait, by header or body, and what a model may answer."""
+    i = F.col("p_partkey")
+    header = F.when(i % 4 == 0, F.concat((i % 200).cast("string"), F.lit("s"))).when(i % 4 == 1, "-3").when(i % 8 == 2, "soon")
+    body = F.concat(F.lit('{"retryDelay": "'), (i % 50).cast("string"), F.lit('.5s"}'))
+    model = F.element_at(F.array(*[F.lit(m.name) for m in registry.MODELS], F.lit("unlisted")), (i % (len(registry.MODELS) + 1) + 1).cast("int"))
+    return views.table(spark, sf_dir, "part").select("p_partkey", tx.server_wait_seconds(header, body).alias("seconds"), usage.output_token_budget(model).alias("budget"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
@@ -212,6 +345,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o_localization": localization, "o_first_hits": first_hits, "f_funnel": funnel, "f_funnel_stages": funnel_stages,
     "g_gate": gate, "g_flips": flips, "m_ranking": model_ranking, "m_winners": model_winners, "t_spreads": trial_spreads,
     "d_diversified": diversified, "d_selected": selected, "d_reconciled": reconciled, "d_failed_jobs": failed_jobs, "h_content_hash": content_hash, "h_row_digests": row_digests,
+    "h_bucketed_hash": bucketed_hash, "d_existing": existing, "d_good_entries": good_entries, "d_mined": mined,
+    "p_log_ranges": log_ranges, "p_search_reports": search_reports, "p_texts": patch_texts, "p_resolved_paths": resolved_paths, "p_prompt_texts": prompt_texts, "j_answers": answers,
+    "k_skip_reasons": skip_reasons, "f_controls": controls, "f_cases": funnel_cases, "a_scorecards": cards, "g_verdict": gate_verdict, "m_notes": model_notes, "u_waits": waits,
     "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "p_repaired": repaired_patches, "p_edited": edited_patches, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
     "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }

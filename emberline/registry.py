@@ -88,6 +88,23 @@ QUOTA_EXHAUSTED = ["exceeded your current quota", "quota_exceeded", "billing det
 CONCLUSIONS = ["success", "failure", "cancelled", "timed_out", "skipped", "neutral", "action_required"]
 SENSITIVE_KEYS = ["api_key", "apikey", "access_token", "auth_token", "authorization", "credential", "password", "secret"]
 
+MAX_WAIT_SECONDS = 75.0
+MAX_DIFF_CHARS = 8_000
+MAX_FILE_CHARS = 12_000
+MAX_SECTION_CHARS = 4_000
+MAX_RANGE_LINES = 200
+MAX_RANKED_FILES = 5
+NO_DIFF = "no diff available"
+NO_FILES = "none supplied"
+NO_EVIDENCE = "none recorded"
+NOT_FOUND = "not found"
+DIRECT_OUTPUT_TOKENS = 2048
+REASONING_OUTPUT_TOKENS = 16_384
+LEVELS = ["NOTHING", "APPLIES", "LINTS", "FAILING_TEST_PASSES", "NOTHING_ELSE_BROKE"]
+IMAGE_PREFIX = "bugswarm/cached-images:"
+#: What a catalogue entry has to be.
+QUALITY = {"lang": "Python", "reproducibility_status.status": "Reproducible", "stability": "5/5", "classification.code": "Yes", "classification.test": "No", "classification.build": "No", "metrics.num_of_changed_files": 1}
+
 OUTPUT_TAIL_CHARS = 800
 APPLY_OUTPUT_LINES = 20
 PREVIEW_CHARS = 200
@@ -100,10 +117,6 @@ class Model:
     rpm: int | None
     rpd: int | None
     tpd: int | None
-    context: int
-    retries: int
-    json_schema: bool
-    response_format: bool
     reasoning: bool
     list_in: float
     list_out: float
@@ -111,13 +124,13 @@ class Model:
 
 #: None is no published cap.
 MODELS = [
-    Model("gemini-3.6-flash", "gemini", 10, 1000, None, 1_048_576, 3, True, True, False, 0.30, 2.50),
-    Model("gemini-3.5-flash", "gemini", 10, 1000, None, 1_048_576, 3, True, True, False, 0.30, 2.50),
-    Model("gemini-3.1-flash-lite", "gemini", 15, 1000, None, 1_048_576, 3, True, True, False, 0.10, 0.40),
-    Model("groq-llama-3.3-70b", "groq", 30, 1000, 100_000, 131_072, 4, False, True, False, 0.59, 0.79),
-    Model("openrouter-gpt-oss-20b", "openrouter", 20, 50, None, 131_072, 4, True, True, True, 0.03, 0.13),
-    Model("openrouter-nemotron-120b", "openrouter", 20, 50, None, 262_144, 2, True, True, False, 0.10, 0.40),
-    Model("openrouter-nemotron-9b", "openrouter", 20, 50, None, 128_000, 2, True, True, True, 0.04, 0.16),
-    Model("openrouter-nemotron-550b", "openrouter", 20, 50, None, 1_000_000, 2, False, False, True, 0.60, 1.80),
-    Model("ollama-llama3.1-8b", "ollama", None, None, None, 131_072, 1, True, True, False, 0.0, 0.0),
+    Model("gemini-3.6-flash", "gemini", 10, 1000, None, False, 0.30, 2.50),
+    Model("gemini-3.5-flash", "gemini", 10, 1000, None, False, 0.30, 2.50),
+    Model("gemini-3.1-flash-lite", "gemini", 15, 1000, None, False, 0.10, 0.40),
+    Model("groq-llama-3.3-70b", "groq", 30, 1000, 100_000, False, 0.59, 0.79),
+    Model("openrouter-gpt-oss-20b", "openrouter", 20, 50, None, True, 0.03, 0.13),
+    Model("openrouter-nemotron-120b", "openrouter", 20, 50, None, False, 0.10, 0.40),
+    Model("openrouter-nemotron-9b", "openrouter", 20, 50, None, True, 0.04, 0.16),
+    Model("openrouter-nemotron-550b", "openrouter", 20, 50, None, True, 0.60, 1.80),
+    Model("ollama-llama3.1-8b", "ollama", None, None, None, False, 0.0, 0.0),
 ]

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions.provider import archive_name, best_match
 from emberline.functions.text import normalize_line_breaks, sanitized_name
 
 CASE = """schema_version INT, case_id STRING, title STRING,
@@ -23,12 +24,18 @@ LEVELS = ["nothing", "applies", "lints", "failing_test_passes", "nothing_else_br
 
 
 def load_cases(spark: SparkSession, path: str, subset: str | None = None) -> DataFrame:
-    """Cases of all case.json files below path, with folder; subset None or 'smoke', else ValueError."""
+    """Cases of all case.json files below path, with folder, in the order of case_id; subset None or 'smoke', else ValueError.
+
+    An id that several folders have is an error in a data set: ValueError, too.
+    """
     if subset not in (None, "smoke"):
         raise ValueError(f"no such subset: {subset}")
     rows = spark.read.schema(CASE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "case.json").json(path)
     rows = rows.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/case\\.json$", ""))
-    return rows if subset is None else rows.where(F.array_contains("tags", "smoke"))
+    again = repeated_ids(rows).limit(1).collect()
+    if again:
+        raise ValueError(f"duplicate case id {again[0].case_id}")
+    return (rows if subset is None else rows.where(F.array_contains("tags", "smoke"))).orderBy("case_id")
 
 
 def repeated_ids(cases: DataFrame) -> DataFrame:
@@ -57,15 +64,7 @@ def escapes(path: Column) -> Column:
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text): whole files below path as UTF-8 with line feeds only; bytes that are none are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.col("path"), normalize_line_breaks(_decoded("content")).alias("text"))
-
-
-def _decoded(column: str) -> Column:
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "replace"))
-
-    return decode(F.col(column))
+    return files.select(F.col("path"), normalize_line_breaks(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
 
 
 def missing_files(cases: DataFrame, files: DataFrame) -> DataFrame:
@@ -119,6 +118,30 @@ def write_scorecards(cards: DataFrame, path: str) -> None:
     cards.withColumn("file_name", sanitized_name(F.col("git_sha"), F.col("model"), F.col("prompt_hash"))).write.mode("append").partitionBy("model", "prompt_hash").parquet(path)
 
 
+MANIFEST = "schema_version INT, dataset_hash STRING, case_count BIGINT, cases ARRAY<STRUCT<case_id: STRING, failure_class: STRING, source: STRING, tags: ARRAY<STRING>>>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The row of a manifest file; ValueError if it is none."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    if rows.where("dataset_hash IS NULL OR case_count IS NULL OR cases IS NULL").count() or rows.isEmpty():
+        raise ValueError(f"{path} is no manifest")
+    return rows
+
+
+def write_manifest(text: DataFrame, path: str) -> None:
+    """manifest_text() as one file in a new folder."""
+    text.select(F.regexp_replace("value", "\\n$", "")).coalesce(1).write.text(path)
+
+
+def job_log(entries: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(path, job, text) of archive_logs() and jobs(path, job): the entry at the top of an archive that belongs to the job."""
+    top = entries.where("error IS NULL AND NOT contains(entry, '/')").withColumn("name", F.regexp_replace("entry", r"^\\d+_|\\.txt$", ""))
+    names = top.groupBy("path").agg(F.collect_list("name").alias("names"))
+    chosen = jobs.join(names, "path").select("path", "job", best_match(F.col("names"), archive_name(F.col("job"))).alias("name"))
+    return chosen.join(top.select("path", "name", "text"), ["path", "name"]).select("path", "job", "text")
+
+
 def archive_logs(archives: DataFrame) -> DataFrame:
     """(path, entry, text): text files in zip archives(path, content); an archive that can't be read has one row with an error."""
 

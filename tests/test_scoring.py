@@ -64,7 +64,7 @@ def test_funnel(spark):
 def test_control(spark):
     rows = spark.createDataFrame([("a", 4, 1), ("b", None, None), ("c", 2, 0), ("d", 4, 4)], "case_id string, reference_level int, corrupted_level int")
     got = {r.case_id: (r.usable, r.reason) for r in scoring.control(rows).collect()}
-    assert got == {"a": (True, ""), "b": (False, "no fix stored"), "c": (False, "reference fix only reached lints"), "d": (False, "corrupted fix passed too")}
+    assert got == {"a": (True, ""), "b": (False, "no reference fix stored"), "c": (False, "reference fix only reached LINTS"), "d": (False, "the corrupted fix passed too, so the build proves nothing")}
 
 
 CARD = "coverage double, macro_f1 double, accuracy double, cost_weighted_error double, hit_at_1 double"
@@ -154,7 +154,7 @@ def test_selection_equals_a_loop(spark):
 
 def test_hash_goes_by_content_only(spark):
     rows = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id int, v string")
-    h = lambda r: curate.dataset_hash(r.withColumn("d", curate.row_digest(F.col("id"), F.col("v"))), "id", "d").first()[0]
+    h = lambda r: curate.bucketed_hash(r.withColumn("d", curate.row_digest(F.col("id"), F.col("v"))), "id", "d").first()[0]
     assert h(rows) == h(rows.orderBy(F.desc("id")).repartition(7)) and len(h(rows)) == 12
     assert h(rows) != h(rows.withColumn("v", F.when(F.col("id") == 7, "w").otherwise(F.col("v"))))
 
