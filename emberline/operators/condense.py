@@ -1,8 +1,11 @@
-"""Log condensation: error windows within a character budget, or the tail. One row a log, no shuffle."""
+"""Log condensation: error windows within a character budget, or the tail.
+
+condense() takes whole logs, one row each, and shuffles nothing; condense_lines() takes lines, however many a log has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import registry
@@ -101,3 +104,46 @@ def condense(logs: DataFrame, *, max_chars: int = registry.MAX_CHARS, text: str
 def excerpt_rows(condensed: DataFrame) -> DataFrame:
     rest = [c for c in condensed.columns if c not in ("excerpts", "rendered")]
     return condensed.select(*rest, F.posexplode("excerpts").alias("ordinal", "excerpt")).select(*rest, "ordinal", "excerpt.*")
+
+
+def condense_lines(lines: DataFrame, *, max_chars: int = registry.MAX_CHARS, key: str = "log_id", context: int = registry.CONTEXT_LINES, count: int = registry.TAIL_LINES) -> DataFrame:
+    """(key, total_lines, strategy, start_line, end_line, reason, text): condense()'s excerpts of lines(key, n from 1 on, line), cleaned.
+
+    Windows are gaps and islands over the numbers of the lines that match; what they would take is summed from lengths, and
+    text is gathered for those windows and tails only that are kept. So no row holds more than max_chars of a log (or one line). A
+    log without lines has no row.
+    """
+    if max_chars < registry.MIN_CHARS:
+        raise ValueError(f"max_chars is under {registry.MIN_CHARS}")
+    mask = F.lit(0)
+    for i, (_, patterns) in enumerate(registry.PATTERN_GROUPS):
+        mask = mask + F.when(F.col("line").rlike("(?U)(?:" + "|".join(patterns) + ")"), 1 << i).otherwise(0)
+    numbers = lines.select(key, "n", F.length("line").alias("chars"))
+    totals = numbers.groupBy(key).agg(F.max("n").cast("int").alias("total_lines"))
+    by_line = Window.partitionBy(key).orderBy("n")
+    hits = lines.select(key, "n", mask.alias("mask")).where("mask > 0")
+    hits = hits.withColumn("new", F.coalesce(F.col("n") - F.lag("n").over(by_line) > 2 * context + 1, F.lit(True)))
+    hits = hits.withColumn("island", F.count_if("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = hits.groupBy(key, "island").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.bit_or("mask").alias("mask")).join(totals, key)
+    names = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) > 0, name) for i, (name, _) in enumerate(registry.PATTERN_GROUPS)]))
+    spans = spans.select(key, "island", "total_lines", F.greatest(F.lit(1), F.col("first") - context).cast("int").alias("start_line"), F.least("total_lines", F.col("last") + context).cast("int").alias("end_line"), F.array_join(names, ",").alias("reason"))
+    head = F.concat(F.lit("[lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(", "), F.col("reason"), F.lit("]\n"))
+    within = lambda s: s.select(key, "island", F.explode(F.sequence("start_line", "end_line")).alias("n"))
+    sized = within(spans).join(numbers, [key, "n"]).groupBy(key, "island").agg((F.sum(F.col("chars") + 1) - 1).alias("chars"))
+    from_last = Window.partitionBy(key).orderBy(F.desc("island")).rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum(F.length(head) + F.col("chars") + 2).over(from_last) - 2
+    kept = spans.join(sized, [key, "island"]).withColumn("used", used).where(F.col("used") <= max_chars).drop("used", "chars")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    texts = within(kept).join(lines.select(key, "n", "line"), [key, "n"]).groupBy(key, "island").agg(joined.alias("text"))
+    windows_ = kept.join(texts, [key, "island"]).select(key, "total_lines", F.lit("error_windows").alias("strategy"), "start_line", "end_line", "reason", "text")
+
+    rest = totals.join(kept.select(key).distinct(), key, "left_anti")
+    ends = numbers.join(rest, key).where(F.col("n") > F.col("total_lines") - count)
+    upto = F.sum(F.col("chars") + 1).over(Window.partitionBy(key).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    over = F.length(F.concat(F.lit("[lines "), F.col("n").cast("string"), F.lit("-"), F.col("total_lines").cast("string"), F.lit(", tail]\n"))) + upto - max_chars
+    starts = ends.withColumn("over", over).where((F.col("n") == F.col("total_lines")) | (F.col("over") <= 0))
+    starts = starts.groupBy(key, "total_lines").agg(F.min("n").alias("start"), F.max_by("over", -F.col("n")).alias("over"))
+    last = lines.select(key, "n", "line").join(starts, key).where("n >= start").groupBy(key, "total_lines", "start", "over").agg(joined.alias("text"))
+    cut = F.when(F.col("over") > 0, F.concat(F.lit(registry.TRUNCATED), F.substring(F.col("text"), F.col("over").cast("int") + len(registry.TRUNCATED) + 1, F.length("text")))).otherwise(F.col("text"))
+    tails = last.select(key, "total_lines", F.lit("tail").alias("strategy"), F.col("start").cast("int").alias("start_line"), F.col("total_lines").alias("end_line"), F.lit("tail").alias("reason"), cut.alias("text"))
+    return windows_.unionByName(tails)

@@ -92,6 +92,7 @@ _DIGEST = " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR)))
 ORACLE_SQL: dict[str, str] = {
     "l_condense_excerpts": condensed(registry.MAX_CHARS),
     "l_condense_small_budget": condensed(2500),
+    "l_condense_logs": condensed(2500),
     "c_clean_lines": rf"""WITH {V1}, raw AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN chr(65279) ELSE '' END || CASE WHEN event_id % 2 = 0 THEN '2026-01-02T03:04:05.678Z ' ELSE '' END || chr(27) || '[31m' || line || chr(27) || '[0m' || CASE WHEN event_id % 3 = 0 THEN chr(13) || chr(10) ELSE chr(13) END || '2026-01-02T03:04:05Z end' AS t FROM v1),
         flat AS (SELECT event_id, replace(replace(ltrim(t, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM raw),
         cleaned AS (SELECT event_id, regexp_replace(regexp_replace(t, '(?m)^[0-9-]{{10}}T[0-9:]{{8}}(\.[0-9]+)?Z ', '', 'g'), chr(27) || '\[[0-9;]*m', '', 'g') AS t FROM flat)

@@ -14,7 +14,13 @@ from emberline.sources import views
 
 
 def condense_excerpts(spark: SparkSession, sf_dir: str, max_chars: int = registry.MAX_CHARS) -> DataFrame:
-    rows = condense.excerpt_rows(condense.condense(views.logs(spark, sf_dir), max_chars=max_chars))
+    rows = condense.condense_lines(views.numbered_lines(spark, sf_dir), max_chars=max_chars)
+    return rows.select("log_id", "total_lines", "strategy", "start_line", "end_line", "reason", F.md5("text").alias("text_md5"))
+
+
+def condense_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of logs that are one text each."""
+    rows = condense.excerpt_rows(condense.condense(views.logs(spark, sf_dir), max_chars=2500))
     return rows.select("log_id", "total_lines", "strategy", "start_line", "end_line", "reason", F.md5("text").alias("text_md5"))
 
 
@@ -339,7 +345,7 @@ def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "c_clean_lines": clean_lines,
+    "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "l_condense_logs": condense_logs, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
     "a_confusion": confusion, "a_class_metrics": class_metrics, "a_headline": headline, "a_answer_rates": answer_rates, "a_dataset_counts": dataset_counts,
     "o_localization": localization, "o_first_hits": first_hits, "f_funnel": funnel, "f_funnel_stages": funnel_stages,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Log lines, one of each family and a second pytest, out-of-memory and network one.
@@ -22,6 +22,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.date_format("ts", "yyyy-MM-dd").alias("log_id"), "ts", "event_id", line.alias("line"))
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, n, line): log_lines() with their numbers in the log."""
+    order = Window.partitionBy("log_id").orderBy("ts", "event_id")
+    return log_lines(spark, sf_dir).select("log_id", F.row_number().over(order).alias("n"), "line")
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_id, log)"""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "line")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions.text import clean_log, split_lines
-from emberline.operators.condense import condense
+from emberline.operators.condense import condense, condense_lines
 
 GROUPS = [(name, [re.compile(p) for p in patterns]) for name, patterns in registry.PATTERN_GROUPS]
 
@@ -53,6 +53,16 @@ def run(spark, logs, budget):
     return [(r.strategy, r.total_lines, [tuple(e) for e in r.excerpts]) for r in out]
 
 
+def run_lines(spark, logs, budget):
+    cut = [(i, x.split("\n")) for i, x in enumerate(logs)]
+    lines = [(i, n, line) for i, own in cut for n, line in enumerate(own[:-1] if own[-1] == "" else own, 1)]
+    out = condense_lines(spark.createDataFrame(lines, "log_id int, n int, line string"), max_chars=budget).orderBy("log_id", "start_line").collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.log_id, (r.strategy, r.total_lines, []))[2].append((r.start_line, r.end_line, r.reason, r.text))
+    return [found.get(i, ("tail", 0, [])) for i in range(len(logs))]
+
+
 @pytest.mark.parametrize("budget", [200, 700, 3000, 24000])
 def test_random_logs(spark, budget):
     rng = random.Random(budget)
@@ -62,6 +72,7 @@ def test_random_logs(spark, budget):
         lines = [rng.choice(hits) if rng.random() < rng.choice([0.0, 0.01, 0.2]) else rng.choice(["", "ok é", "step 12 done", "y" * rng.randint(0, 90)]) for _ in range(rng.randint(1, 400))]
         logs.append("\n".join(lines) + rng.choice(["", "\n"]))
     assert run(spark, logs, budget) == [plain(x, budget) for x in logs]
+    assert run_lines(spark, logs, budget) == [plain(x, budget) for x in logs]
 
 
 def test_literal_spans(spark):
