@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary one; on a cluster, executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="emberline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,13 +35,55 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """df as Parquet. When it is written, the shuffle files of the job go: what follows reads the table."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses none of it."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, so that it can remove them when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(df.sparkSession, name)
+        write_table(df, path)
+        self.tables.append((df.sparkSession.read.schema(df.schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def clear(self, *keep: DataFrame | None) -> None:
+        """Remove all tables but these."""
+        from pyarrow import fs
+
+        for table_, path in self.tables:
+            if not any(table_ is k for k in keep):
+                store, place = fs.FileSystem.from_uri(path)
+                store.delete_dir(place)
+        self.tables = [t for t in self.tables if any(t[0] is k for k in keep)]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ and so on that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,20 +122,21 @@ def held_out(doc_id: str = "doc_id"):
 def bounded_texts(labelled: DataFrame, labels: list, per_class: int, max_bytes_per_class: int, key: str = "doc_id") -> list:
     """At most per_class rows and about max_bytes_per_class bytes of whole texts of each of labels, the same ones at every run.
 
-    labelled: key, text, label. Rows are taken in the order of a hash of key, so the sample is spread over the table; the
-    bound holds before anything reaches the driver.
+    labelled: key, text, label. Rows are taken in the order of a hash of key, so the sample is spread over the table. Which rows
+    they are is found by keys and lengths alone; only the texts that are taken leave their tasks. Repeated rows are one.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy("mix", key, F.xxhash64("text"))
-    sample = None
-    for label in labels:
-        part = labelled.where(F.col("label") == F.lit(label)).withColumn("mix", F.xxhash64(F.col(key))).orderBy("mix", key, F.xxhash64("text")).limit(per_class)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
-        return []
-    sample = sample.withColumn("bytes_before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return sample.where(F.coalesce("bytes_before", F.lit(0)) < max_bytes_per_class).orderBy("label", "mix", key).select(key, "text", "label").collect()
+    place = ["sample_mix", "sample_key", "sample_text"]
+    slim = labelled.where(F.col("label").isin(labels)).select(F.col("label").alias("sample_label"), F.xxhash64(F.col(key)).alias("sample_mix"), F.col(key).alias("sample_key"), F.xxhash64("text").alias("sample_text"), F.octet_length("text").alias("sample_bytes"))
+    order = Window.partitionBy("sample_label").orderBy(*place)
+    # Spark takes the first rows of a label within every partition before it shuffles them.
+    first = slim.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= per_class)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("sample_before", F.coalesce(F.sum("sample_bytes").over(before), F.lit(0))).where(F.col("sample_before") < max_bytes_per_class)
+    # At most per_class rows of numbers for each label.
+    chosen = F.broadcast(first.select("sample_label", "sample_key", "sample_text").distinct())
+    same = (F.col("label") == F.col("sample_label")) & (F.col(key) == F.col("sample_key")) & (F.xxhash64("text") == F.col("sample_text"))
+    found = labelled.join(chosen, same, "left_semi").select(key, "text", "label").distinct().collect()
+    return sorted(found, key=lambda r: (str(r["label"]), hashlib.sha256(str(r[key]).encode()).digest(), r["text"] or ""))
 
 
 def dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
@@ -123,14 +169,3 @@ def open_input(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
-
-
-def publish(temporary: str, final: str) -> None:
-    """Rename an attempt's file to its final name. A second attempt of the task replaces it with equal content."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(temporary)
-    target = fs.FileSystem.from_uri(final)[1]
-    if store.get_file_info(target).type != fs.FileType.NotFound:
-        store.delete_file(target)
-    store.move(path, target)

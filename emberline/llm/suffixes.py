@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import shuffle_partitions, text_slices, written
 from emberline.llm.graph import small
-from emberline.llm.shingles import mix, prefix_hash, span_hash
+from emberline.llm.shingles import mix, prefix_hash, prime_hash, span_hash
 
 NULL_ID = -(2**63)
 GRAM = 32
@@ -68,7 +68,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     first = where[new]
     last = where[np.append(np.flatnonzero(new)[1:] - 1, len(where) - 1)]
     at = anchor[first]
-    whole = mix(span_hash(h, first, last + length) + (last - first).astype(np.uint64))
+    whole = mix(prime_hash(data, first, last + length) + (last - first).astype(np.uint64))
     return owner[first], first, last - first, at - first, grams[at], whole
 
 

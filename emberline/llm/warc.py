@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import dictionary, open_input, open_output, publish, shuffle_partitions, work_path, written
+from emberline.llm.common import dictionary, open_input, open_output, shuffle_partitions, work_path, written
 from emberline.llm.graph import small
 
 # Fixed values of the formats.
@@ -24,6 +24,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Upper half of record ids; the lower half is the page id. Rows without a page id have another upper half.
 _PAGE_SPACE, _NO_PAGE_SPACE = 0x70616765_0000_4000, 0x70616765_0000_4001
 READ_BYTES = 1 << 18
+#: Pages that the dictionary is trained on are no longer than this.
+SAMPLE_BYTES = 1 << 16
 
 
 class WarcError(ValueError):
@@ -146,14 +148,15 @@ def write_archives(pages: DataFrame, *, path: str | None = None, min_bytes: int
     """Write pages(page_id, url, html) as archives below path, and return their manifest: path, records.
 
     Every task writes the archives of its own rows: no row with its html is shuffled, unless there are too many repeated
-    digests to broadcast. A task that runs again writes its archives again and renames them when done. The dictionary is
-    trained on the sample_pages pages whose hashed ids come first. A null html is an empty payload; a null url has no
+    digests to broadcast. A task that runs again writes other files: the manifest, which Spark commits, names those that
+    count. The dictionary is trained on the sample_pages pages whose hashed ids come first, but for those of over 64 KB. A null html is an empty payload; a null url has no
     WARC-Target-URI.
     """
     spark = pages.sparkSession
     root = path or work_path(spark, "warc")
     chosen = pages.select("page_id").where("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    sample = pages.join(F.broadcast(chosen), "page_id").select("page_id", "url", "html").limit(2 * sample_pages).collect()
+    short = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) <= SAMPLE_BYTES
+    sample = pages.join(F.broadcast(chosen), "page_id").where(short).select("page_id", "url", "html").limit(2 * sample_pages).collect()
     content = dictionary([record(r["page_id"], r["url"], (r["html"] or "").encode(), None, date) for r in sample], dictionary_bytes).as_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +167,13 @@ def write_archives(pages: DataFrame, *, path: str | None = None, min_bytes: int
 
         def close() -> None:
             stream.close()
-            publish(temporary, final)
             done.append((final, n))
 
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if stream is None:
-                    name = f"{task.partitionId():05d}-{len(done):04d}.warc.zst"
-                    temporary, final = f"{root}/_attempts/{task.taskAttemptId()}-{name}", f"{root}/{name}"
-                    stream, n = open_output(temporary), 0
+                    final = f"{root}/{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}.warc.zst"
+                    stream, n = open_output(final), 0
                     writer = ArchiveWriter(stream, content)
                 writer.add(record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), date))
                 n += 1

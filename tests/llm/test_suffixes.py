@@ -89,3 +89,17 @@ def test_blind_trie_groups_equal_strings():
     assert sorted(i for g in groups for i in g) == list(range(300))
     assert [texts[g[0]] for g in groups] == sorted(set(texts))
     assert all({texts[i] for i in g} == {texts[g[0]]} for g in groups)
+
+
+def test_hashes_of_whole_runs_tell_strings_apart_and_not_places():
+    """Strings of which powers modulo 2**64 have equal sums at any base."""
+    from emberline.llm.shingles import prime_hash
+
+    thue, other = b"a", b"b"
+    for _ in range(11):
+        thue, other = thue + other, other + thue
+    data = np.frombuffer(b"xy" + thue + b"z" + other + thue, np.uint8)
+    n = len(thue)
+    h = prime_hash(data, np.array([2, 3 + n, 3 + 2 * n]), np.array([2 + n, 3 + 2 * n, 3 + 3 * n]))
+    assert h[0] == h[2] != h[1]
+    assert h[0] == prime_hash(np.frombuffer(thue, np.uint8), np.array([0]), np.array([n]))[0]
