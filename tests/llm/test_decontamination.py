@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from emberline.llm import decontamination as dc
 from emberline.llm.decontamination import Settings, answer_share, common_subsequence, decontaminate, find_leaks, hashed, places
 
 RNG = random.Random(7)
@@ -80,3 +83,73 @@ def test_common_subsequence_equals_the_table():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         ha, hb = hashed(" ".join(a)), hashed(" ".join(b))
         assert common_subsequence(places(ha), len(a), hb.tolist()) == table[-1][-1]
+
+
+def test_passes_and_vectors_change_nothing(spark, make_docs, monkeypatch):
+    docs, items, truth = setting()
+    benchmark = spark.createDataFrame([(f"item {i}", t) for i, t in items], "item_id string, text string")
+    rows = lambda settings: sorted(tuple(r) for r in find_leaks(make_docs(docs).repartition(3), benchmark, settings).collect())
+    whole = rows(Settings())
+    assert {(r[0], r[1]) for r in whole} == {(i, f"item {k}") for i, k in truth}
+    assert rows(Settings(pass_words=100)) == whole
+    kept = decontaminate(make_docs(docs), benchmark, Settings(pass_words=100))
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in truth}
+    # beyond so many cells of terms and items, scores come from vectors
+    what = list(dc.searches(make_docs(docs), benchmark, Settings()))
+    raw = [t.encode() for _, t in docs]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    by_pull = dc.Searcher(*what[0], Settings())(data, offsets)
+    monkeypatch.setattr(dc, "PULL_CELLS", 5000)
+    by_vectors = dc.Searcher(*what[0], Settings())
+    assert by_vectors.pull is None and by_vectors(data, offsets) == by_pull != {}
+
+
+def test_many_rows_of_one_item(spark, make_docs):
+    texts = [" ".join(words(12)) for _ in range(3000)]
+    docs = make_docs([(i, " ".join(words(40)) + " " + texts[i * 37] + " " + " ".join(words(40))) for i in range(80)] + [(100 + i, " ".join(words(90))) for i in range(80)])
+    benchmark = spark.createDataFrame([(5, t) for t in texts], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(docs, benchmark, Settings(pass_words=500)).collect()}
+    assert {(i, 5) for i in range(80)} <= found
+    assert all(r[1] == 5 for r in found)
+
+
+def test_retrieval_against_all_pairs(spark, make_docs):
+    """Paraphrases with 10 to 45 of 100 words replaced: what the checks accept is retrieved, and nothing else is found."""
+    rng = random.Random(11)
+    items = [(i, " ".join(words(rng.randint(16, 46)))) for i in range(60)]
+    docs = []
+    for i in range(240):
+        leak = [w if rng.random() > 0.1 + 0.35 * (i % 4) / 3 else "z" + w for w in items[i % 60][1].split()]
+        before = words(rng.randint(0, 120))
+        docs.append((i, " ".join(before + leak + words(rng.randint(0, 120)))))
+    settings = Settings()
+    truth = set()
+    for i, text in docs:
+        w = hashed(text).tolist()
+        for k, item in items:
+            own = hashed(item)
+            answer = hashed(dc.last_sentence(item))
+            for at in range(0, len(w), dc.BLOCK_WORDS):  # the windows that the search checks
+                span = w[max(0, at - dc.BLOCK_WORDS) : at + (settings.passage_blocks + 1) * dc.BLOCK_WORDS]
+                coverage = common_subsequence(places(own), len(own), span) / len(own)
+                if coverage >= settings.covered or coverage >= settings.paraphrased and answer_share(places(answer), len(answer), span, settings.answer_spread) >= settings.answered:
+                    truth.add((i, k))
+    found = {(r.doc_id, r.item_id) for r in find_leaks(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= truth and len(found) >= 0.95 * len(truth) > 100
+
+
+def test_scripts_without_spaces_quotes_and_long_words(spark, make_docs):
+    item = "东京是日本的首都，人口众多。它位于关东平原的南端，面向东京湾。"
+    thue, other = "a", "b"
+    for _ in range(10):
+        thue, other = thue + other, other + thue
+    docs = make_docs([(1, "前文很长。" * 9 + item + "后文也很长，" * 9), (2, "完全不同的一段文字，没有泄露任何内容，只是普通的句子。" * 3), (3, "“Quoted—words” " + thue), (4, "plain " + other)])
+    benchmark = spark.createDataFrame([(1, item), (2, "quoted words " + thue)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, benchmark).collect()) == [(1, 1), (3, 2)]
+    assert hashed(thue) != hashed(other) and len(hashed("a “b”—c 東京 d")) == 6
+
+
+def test_columns_of_any_name_stay(spark, make_docs):
+    docs = make_docs([(1, "a b c d e f g h"), (2, "other words here")]).selectExpr("*", "7 AS leak_key", "text AS words")
+    kept = decontaminate(docs, spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.leak_key, r.words) for r in kept] == [(2, 7, "other words here")]
