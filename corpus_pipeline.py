@@ -37,7 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the order of the mix, written and read back: doc_id, start, n_tokens, ids_crc32, n_bytes."""
-    return read_token_files(write_token_files(file_order(docs), tokenizer_path(), order="file_place"))
+    placed = file_order(docs)
+    return read_token_files(write_token_files(placed, tokenizer_path(), order=placed.columns[-1]))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -75,3 +75,24 @@ def test_every_stage_against_plain_versions(spark, tables):
 
     again = corpus_pipeline.run(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
     assert [tuple(r) for r in again] == want
+
+
+def test_nulls_empty_tables_and_clashing_columns(spark, tables, tmp_path):
+    sf, docs, _, _ = tables
+    more = [(None, "no id " * 30, None, None, None), (9001, None, "en", None, 0), (9002, "", "en", "src0", 0), (None, None, None, None, None), docs[2], docs[2]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    names = ["key", "label", "near_rank", "leak_key", "mix_place", "file_place", "row", "mix_source"]
+    frame = spark.createDataFrame([*docs[:60], *more], schema).selectExpr("*", *[f"CONCAT('{n}', doc_id) AS {n}" for n in names])
+    for rows in (frame, frame.limit(0)):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{rows is frame}-{name}"
+            stage(spark, now, sf).write.parquet(path)
+            now = spark.read.parquet(path)
+            if name != "token_files":
+                assert now.columns == rows.columns
+                for r in now.collect():
+                    assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names)
+        found = now.collect()
+        assert len(found) == len({r.start for r in found}) and (rows is frame or not found)
+    assert len(found) == 0 and now.count() == 0
