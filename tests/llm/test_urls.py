@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from emberline.llm.common import Scratch
 from emberline.llm.queries import RULES
-from emberline.llm.urls import entropy, judge_urls
+from emberline.llm.urls import Rule, entropy, judge_urls, url_parts, with_features, with_rules, with_suffix_statistics
 
 ODD = [None, "", "no scheme", "http://", "http://COM", "http://com/", "HTTP://Www.Example.COM/en/1?x=http://a.net/es/", "http://example.com/en", "http://example.com/en/", "http://xexample.com/en/1", "a://b.net/es/?q#f", "http://b.net?/es/", "http://b.net#/es/", "http://b.net/es/é\n/x", "x://y://z.com/", "http://EXAMPLE.com/EN/1", "http://ÄÖ.net/fr/9", "http://u@h.com:80/en/"]
 
@@ -68,3 +69,40 @@ def test_entropy(spark):
         want = -sum(p * math.log2(p) for p in shares)
         got = spark.createDataFrame([(text,)], "t string").select(entropy(F.col("t")).alias("e")).first().e
         assert abs(got - want) < 1e-9
+
+
+def test_many_rules_are_looked_up_as_few_are(spark):
+    rng = random.Random(4)
+    hosts = ["com", "net", "example.com", "www.example.com", "a.b.example.com", "org"]
+    rules = [Rule(rng.choice(["allow", "block"]), f"{rng.choice(hosts)}/{rng.choice(['', 'en/', 'de/', 'es/', 'en/1'])}{'' if k < 25 else k}") for k in range(60)]
+    rules = list({r.text: r for r in rules}.values())
+    p = pages(spark, ODD + urls(150) + ["http://x.a.b.example.com/en/12", "http://b.example.com/", "http://com"])
+    parted = p.withColumns(dict(zip(("host", "path"), url_parts(), strict=True))).select("page_id", "host", "path")
+    few = {r.page_id: r.rule for r in with_rules(parted, rules, inline=1000).collect()}
+    many = with_rules(parted, rules, inline=3)
+    assert many.columns == ["page_id", "host", "path", "rule"]
+    assert {r.page_id: r.rule for r in many.collect()} == few
+    assert len({*few.values()}) > 8
+    allow = judge_urls(p, [Rule("allow", f"h{i}.org/") for i in range(300)] + [Rule("block", f"g{i}.net/") for i in range(300)] + RULES, trees=2)
+    assert {r.page_id: r.rule for r in allow.collect()} == {r.page_id: r.rule for r in judge_urls(p, RULES, trees=2).collect()}
+
+
+def test_no_row_is_told_its_own_label(spark):
+    """Labels by chance on hosts that no other row has: nothing can be learnt from them, so nothing is known of these rows."""
+    rng = random.Random(5)
+    given = [f"http://{''.join(rng.choice('abcdefgh') for _ in range(12))}.h{k}.org/p" for k in range(400)]
+    labels = spark.createDataFrame([(u, rng.randint(0, 1)) for u in given], "url string, label int")
+    truth = {r.url: r.label for r in labels.collect()}
+    host, path = url_parts()
+    rows = pages(spark, given + given[:50]).withColumns({"host": host, "path": path}).drop("label").join(labels, "url").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(2)))
+    told = with_suffix_statistics(with_features(rows), Scratch()).collect()
+    assert len(told) == 450
+    assert {r.first_label_block_rate for r in told} == {0.5} and 0.3 < sum(truth.values()) / 400 < 0.7
+
+
+def test_repeated_rows_and_long_urls(spark):
+    long = "http://www.example.org/" + "a/" * 50000 + "?" + "&".join(f"k{i}=1" for i in range(20000))
+    p = spark.createDataFrame([(1, long), (1, long), (2, "http://x.com/"), (2, "http://x.com/"), (3, "http://y.net/es/1"), (None, None)], "page_id long, url string")
+    out = sorted((r.page_id or 0, r.rule, r.verdict) for r in judge_urls(p, RULES, trees=2).collect() if r.page_id != 1)
+    assert out == [(0, None, out[0][2]), (2, "com/", "allow"), (2, "com/", "allow"), (3, "net/es/", "block")]
+    assert judge_urls(p, RULES, trees=2).where("page_id = 1").count() == 2
