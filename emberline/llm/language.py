@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from emberline.llm.common import bounded_texts, held_out, learns, text_slices
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 64
+#: Up to so many languages the sample of each is as large as stated; it shrinks in proportion beyond.
+FULL_LANGUAGES = 64
 SLICE_BYTES = 1 << 19
 
 #: Bytes that can be part of a letter: ASCII letters and all of multi-byte sequences. Others carry no vote.
@@ -178,17 +179,20 @@ def train_network(texts: list[bytes], labels: list[int], languages: list[str], *
 def train_language_model(docs: DataFrame, *, docs_per_language: int = 250, bytes_per_language: int = 400_000, **settings) -> LanguageModel | None:
     """A model of docs(doc_id, text, lang), from at most docs_per_language documents and about bytes_per_language bytes of each.
 
-    Only rows that learns() allows, with text and lang, are looked at; which of them goes by a hash of doc_id. None if there
-    are none; at most 64 languages, else ValueError.
+    Only rows that learns() allows, with text and lang, are looked at; which of them goes by a hash of doc_id. With over 64
+    languages, the bounds shrink so that the whole sample is no larger than for 64. None if there are no such rows.
     """
     usable = docs.where(learns() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
-    languages = sorted(r[0] for r in usable.where(F.octet_length("text") > 0).select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
+    # One row a language.
+    languages = sorted(r[0] for r in usable.where(F.octet_length("text") > 0).select("label").distinct().collect())
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = bounded_texts(usable, languages, docs_per_language, bytes_per_language)
-    return train_network([r["text"].encode() for r in rows], [languages.index(r["label"]) for r in rows], languages, **settings)
+    part = min(1.0, FULL_LANGUAGES / len(languages))
+    rows = bounded_texts(usable, languages, max(4, int(docs_per_language * part)), max(4096, int(bytes_per_language * part)))
+    place = {name: i for i, name in enumerate(languages)}
+    if "windows_per_language" not in settings:
+        settings["windows_per_language"] = max(16, int(1500 * part))
+    return train_network([r["text"].encode() for r in rows], [place[r["label"]] for r in rows], languages, **settings)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -86,3 +86,46 @@ def test_windows_hold_every_byte():
     x, owner = lg.windows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 4)
     for i, r in enumerate(raw):
         assert x.T[owner == i].tobytes().rstrip(b"\0") == r
+
+
+def test_prediction_equals_a_plain_loop(spark):
+    """One byte after the other, in windows, on a network of random weights: labels of positions, votes of letters, the winner."""
+    rng = np.random.default_rng(3)
+    h, window, languages = 4, 16, ["a", "b", "c"]
+    weights = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    model = lg.LanguageModel(languages, window, (weights(256, 3 * h), weights(h, 3 * h)), (weights(256, 3 * h), weights(h, 3 * h)), weights(2 * h, 3), weights(3))
+
+    def states(direction, codes):
+        table, recurrent = (a.astype(float) for a in direction)
+        state, out = np.zeros(h), []
+        for c in codes:
+            gates = 0.5 + 0.5 * np.tanh(state @ recurrent[:, : 2 * h] + table[c, : 2 * h])
+            candidate = np.tanh((gates[h:] * state) @ recurrent[:, 2 * h :] + table[c, 2 * h :])
+            state = state + gates[:h] * (candidate - state)
+            out.append(state)
+        return out
+
+    def plain(text):
+        raw = text.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+        votes = np.zeros(3)
+        for at in range(0, len(raw), window):
+            part = raw[at : at + window].ljust(window, b"\0")
+            forward, backward = states(model.forward, part), states(model.backward, part[::-1])[::-1]
+            for c, f, b in zip(part, forward, backward, strict=True):
+                if 97 <= c <= 122 or c >= 0x80:
+                    e = np.exp(np.concatenate([f, b]) @ model.output + model.bias)
+                    votes += e / e.sum()
+        return languages[votes.argmax()], votes.max() / votes.sum()
+
+    texts = ["The Cat", "é", "x" * 16, "A longer text, of several windows: 123 — Straße!", "ab" * 40]
+    out = lg.identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in out:
+        name, score = plain(texts[r.doc_id])
+        assert r.lang_pred == name and abs(r.score - score) < 1e-4
+
+
+def test_more_languages_than_the_full_sample_is_for(spark):
+    rng = random.Random(4)
+    data = [(i, " ".join(chr(0x4E00 + 40 * (i % 80) + rng.randint(0, 30)) for _ in range(20)), f"l{i % 80:02}") for i in range(640)]
+    out = lg.classify_languages(frame(spark, data), hidden=4, epochs=1).toPandas()
+    assert len(out) == 640 and set(out.lang_pred) <= {f"l{k:02}" for k in range(80)}

@@ -44,3 +44,33 @@ def test_nulls_empty_long_repeated_and_no_labels(spark, make_docs):
     assert len(again) == 5
     assert again[again.doc_id == 1].score.tolist() == again[again.doc_id == 2].score.tolist()
     assert classify_quality(docs.limit(0), none).count() == 0
+
+
+def test_scores_equal_a_plain_version(spark, make_docs):
+    """Sizes of blocks with either dictionary, their measures, and the logistic curve, one text after the other."""
+    import math
+
+    import zstandard
+    from emberline.llm.quality import fit_quality, score_quality
+
+    docs, labels = corpus(150)
+    docs += [(900, None), (901, ""), (902, "ü" * 3000), (903, "a b " * 700)]
+    frame = make_docs(docs)
+    model = fit_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def plain(text):
+        raw = (text or "").encode()
+        sizes = []
+        for content in (model.good, model.bad):
+            coder = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(raw[i : i + 1024])) for i in range(0, max(len(raw), 1), 1024)))
+        good, bad = sizes
+        d = (bad - good) / max(sizes)
+        m = [d, d * min(1, len(raw) / 500), math.log((min(sizes) + 1) / (len(raw) + 1)), math.log1p(min(len(raw), 1024))]
+        x = m + [v * v for v in m] + [m[0] * m[2]]
+        return 1 / (1 + math.exp(-sum(w * (v - a) / s for w, v, a, s in zip(model.weights, x, model.mean, model.scale)) - model.weights[-1]))
+
+    texts = dict(docs)
+    out = score_quality(frame, model).collect()
+    assert len(out) == len(docs)
+    assert all(abs(r.score - plain(texts[r.doc_id])) < 1e-6 for r in out)
