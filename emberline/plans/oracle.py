@@ -186,4 +186,8 @@ ORACLE_SQL: dict[str, str] = {
     "d_good_entries": "SELECT o_orderkey AS tag FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 3 = 1",
     "d_mined": f"""WITH {V6}, m AS (SELECT *, CASE WHEN ordinal % 4 = 0 THEN 'Lint' ELSE step END AS failed FROM v6) SELECT repo, ordinal AS run_id, 'build' AS failed_job, failed AS failed_step, CASE WHEN rerun_passed AND attempt > 1 THEN {_S[0]} WHEN conclusion IN ('cancelled', 'timed_out') THEN {_S[1]} WHEN failed IS NULL THEN {_S[2]} WHEN {_SETUP.replace('step', 'failed')} THEN {_S[3]} ELSE {_S[4]} END AS signal FROM m""",
     "u_waits": f"""WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 200 AS DOUBLE) WHEN p_partkey % 4 = 1 OR p_partkey % 8 = 2 THEN NULL ELSE p_partkey % 50 + CAST(0.5 AS DOUBLE) END AS s FROM part) SELECT p_partkey, CASE WHEN s IS NOT NULL THEN least(s, CAST(75 AS DOUBLE)) END AS seconds, CAST([{', '.join(str(registry.REASONING_OUTPUT_TOKENS if m.reasoning else registry.DIRECT_OUTPUT_TOKENS) for m in registry.MODELS)}, NULL][p_partkey % {len(registry.MODELS) + 1} + 1] AS INTEGER) AS budget FROM w""",
+    "u_token_bucket": """WITH r AS (SELECT event_type AS provider, event_id AS request_id, CAST(floor(epoch(ts)) AS DOUBLE) AS at_, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 END AS rpm FROM events),
+        k AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY at_, request_id) - 1 AS n, CAST(60 AS DOUBLE) / rpm AS each_ FROM r),
+        m AS (SELECT *, max(at_ - n * each_) OVER (PARTITION BY provider ORDER BY at_, request_id ROWS UNBOUNDED PRECEDING) + (n + 1 - rpm) * each_ AS soonest FROM k),
+        a AS (SELECT provider, request_id, at_ AS "at", CASE WHEN rpm IS NULL THEN at_ ELSE greatest(at_, soonest) END AS admitted_at FROM m) SELECT *, admitted_at - "at" AS waited FROM a""",
 }

@@ -217,7 +217,7 @@ def edited_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of each event type through a bucket. No SQL twin: a sequence with state."""
+    """Requests of each event type through a bucket."""
     events = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_timestamp("ts").cast("double").alias("at"))
     caps = spark.createDataFrame([("view", 1), ("click", 2), ("error", None)], "provider string, rpm int")
     return usage.token_bucket(events, caps)
