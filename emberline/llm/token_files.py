@@ -297,8 +297,8 @@ def train_id_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sampl
 def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, path: str | None = None, order: str = "doc_id", shards: int | None = None, sample_docs: int = 256, dictionary_bytes: int = 65_536) -> DataFrame:
     """Write docs(doc_id, text) as token-id files below path, one for each range of the order column; return the manifest.
 
-    The manifest has a row for each shard: path, shard, n_docs, n_ids, first_order, and start, the ids of all shards before
-    it. Documents stand in ascending order; equal values in the order of doc_id and text. A null text has the end id only; a
+    The manifest has a row for each shard: path, shard, n_docs, n_ids, first_order, start (the ids of all shards before
+    it), dictionary and ordered_by. Documents stand in ascending order; equal values in the order of doc_id and text. A null text has the end id only; a
     null doc_id counts as the smallest one. Texts are shuffled once, into ranges; ids never are. shards follows
     spark.sql.shuffle.partitions. A task that runs again writes another file: the manifest, which Spark commits, names the one
     that counts, and a file that it doesn't name is left over from a lost attempt.
@@ -333,7 +333,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2,
     manifest = written(ranges.mapInArrow(run, "path string, shard int, n_docs long, n_ids long, first_order long"), "token-manifest")
     # One row for each shard, however many documents there are.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("dictionary", F.lit(f"{root}/dictionary"))
+    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("dictionary", F.lit(f"{root}/dictionary")).withColumn("ordered_by", F.lit(order))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -361,9 +361,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def read_document(spark: SparkSession, manifest: DataFrame, doc_id: int) -> list[list[int]]:
-    """The ids of the documents with this id, from the shards that can hold it; no other frame is decoded."""
+    """The ids of the documents with this id. Only shards that can hold it are opened, if files are in the order of doc_id (else all
+    are), and of them only the index and its own frames are read."""
+    after = F.lead("first_order").over(Window.orderBy("shard"))
+    within = (F.col("first_order") <= doc_id) & (F.col("after").isNull() | (F.col("after") >= doc_id))
+    rows = manifest.withColumn("after", after).where((F.col("ordered_by") != "doc_id") | within)
     found = []
-    for row in manifest.orderBy("shard").toLocalIterator():
+    for row in rows.orderBy("shard").toLocalIterator():
         with open_input(row["dictionary"]) as stream:
             content = stream.read()
         with open_input(row["path"]) as stream:

@@ -57,19 +57,23 @@ def test_another_kind_of_tokenizer_gets_whole_texts(tmp_path):
     assert np.frombuffer(encode("Some TEXT"), encode.dtype).tolist() == t.encode("Some TEXT").ids
 
 
-def test_round_trip_and_starts(spark, make_docs):
+def test_round_trip_and_starts(spark, make_docs, monkeypatch):
     texts = ODD + [None, "long " * 30000, "same", "same"]
-    docs = make_docs([*enumerate(texts), (5, "repeated id"), (5, "repeated id")])
+    docs = make_docs([*enumerate(texts), (5, "repeated id"), (5, "repeated id"), (None, "no id")])
     manifest = write_token_files(docs, tokenizer_path(), shards=4)
     out = read_token_files(manifest).toPandas()
     assert len(out) == docs.count()
-    rows = sorted([(r.doc_id, r.text or "") for r in docs.collect()])
+    rows = sorted([(token_files.NULL_ID if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()])
     start, expected = 0, []
     for (i, _), ids in zip(rows, reference([t for _, t in rows]), strict=True):
         ids = [*ids, 2]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(out[["doc_id", "start", "n_tokens", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(expected)
+    out = [(token_files.NULL_ID if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(manifest).collect()]
+    assert sorted(out) == sorted(expected)
+    opened = []
+    monkeypatch.setattr(token_files, "open_input", lambda uri, was=token_files.open_input: opened.append(uri) or was(uri))
+    assert read_document(spark, manifest, 10**9) == [] and len(opened) <= 2
     assert read_document(spark, manifest, 13) == [[*reference([ODD[13]])[0], 2]]
 
 
