@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import shuffle_partitions, written
-from emberline.llm.graph import link_buckets, small
+from emberline.llm.graph import Nearness, link_buckets, small
 from emberline.llm.shingles import mix
 
 NULL_ID = -(2**63)
@@ -25,6 +25,11 @@ PERIOD = 8192
 SLICE_CHARS = 4 << 20
 #: Below so many texts still walking, one text after the other is faster than all abreast.
 FEW = 40
+#: Of 64 sketched bits up to a reach, a pair alike by 0.8 differs in 8 where its edits lie worst, and in over 18 once in 8,000
+#: times; an unlike pair in 30.
+SKETCH_APART = 18
+#: Bands that are met first, so that groups of copies are connected before the others are.
+FIRST_BANDS = 2
 
 
 def _steps() -> tuple[np.ndarray, np.ndarray]:
@@ -240,15 +245,10 @@ class WalkLikeness:
 
     least: float
 
-    @staticmethod
-    def prepare(payload: bytes) -> tuple[int, bytes]:
-        walked, _, bits = payload.decode().partition("-")
-        return int(walked, 16), bytes.fromhex(bits)
-
-    def alike(self, x: tuple[int, bytes], y: tuple[int, bytes]) -> bool:
-        width = max(len(x[1]), len(y[1]), 1)
-        bits = np.unpackbits(np.frombuffer(x[1].ljust(width, b"\0") + y[1].ljust(width, b"\0"), np.uint8).reshape(2, width), axis=1)
-        return bool(likeness(np.array([x[0]]), bits[:1], np.array([y[0]]), bits[1:])[0] >= self.least)
+    def alike(self, xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+        walked, bits = from_texts([p.decode() for p in (*xs, *ys)])
+        n = len(xs)
+        return likeness(walked[:n], bits[:n], walked[n:], bits[n:]) >= self.least
 
 
 def reaches(least: float, longest: int) -> np.ndarray:
@@ -274,26 +274,29 @@ def band_choice(classes_: int, least: float, missed: float) -> tuple[int, int]:
     return max(1, math.ceil(math.log(missed) / math.log1p(-hit))), bits
 
 
-def band_keys(walked: int, sampled: np.ndarray, grid: np.ndarray, bands: int, bits: int) -> np.ndarray:
-    """2 * bands keys of a walk, those of one reach always in the same half: link_buckets() compares them place by place.
+def band_keys(walked: np.ndarray, sampled: np.ndarray, grid: np.ndarray, first: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of bands first, first + 1 and so on of each walk, bands of them at each of two reaches; the sketch for each key).
 
-    A key is of bits drawn with replacement from all steps up to the reach, each step by the sample that stands for it, so edits
-    count by their share of the walk whether they are spread or in one passage.
+    A key is of bits drawn with replacement from all steps up to the reach, each step by the sample that stands for it, so
+    edits count by their share of the walk whether they are spread or in one passage. A sketch is 64 further bits drawn so.
     """
-    at = int(np.searchsorted(grid, walked, side="right")) - 1
-    own = np.zeros(2 * bands, np.int64)
-    for i in (at, at - 1):
-        chosen, powers = _drawn(int(grid[i]), bands, bits)
-        picked = (sampled[chosen].astype(np.uint64) * powers).sum(1, dtype=np.uint64)
-        half = i % 2 * bands
-        own[half : half + bands] = mix(picked + np.uint64(i * 1_000_003) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-    return own
+    at = np.searchsorted(grid, walked, side="right") - 1
+    keys, sketches = np.empty((len(walked), 2, bands), np.uint64), np.empty((len(walked), 2, bands), np.int64)
+    bands_ = np.arange(first, first + bands, dtype=np.uint64)
+    for row in range(2):
+        for i in np.unique(at - row).tolist():
+            own = np.flatnonzero(at - row == i)
+            chosen, powers = _drawn(int(grid[i]), first, bands, bits)
+            picked = (sampled[own[:, None], chosen.ravel()[None, :]].reshape(len(own), bands, bits) * powers).sum(2, dtype=np.uint64)
+            keys[own, row] = mix(picked + np.uint64(i * 1_000_003) + bands_)
+            sketches[own, row] = np.packbits(sampled[own[:, None], _drawn(int(grid[i]), -1, 1, 64)[0]], axis=1).view(np.int64)
+    return keys.reshape(len(walked), -1).view(np.int64), sketches.reshape(len(walked), -1)
 
 
 @lru_cache(maxsize=512)
-def _drawn(reach: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(reach: int, first: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bands x bits places of samples, a factor for each bit)"""
-    seed = np.arange(bands * bits, dtype=np.uint64) + mix(np.array([reach + 31], np.uint64))
+    seed = np.arange(first * bits, (first + bands) * bits).astype(np.uint64) + mix(np.array([reach + 31], np.uint64))
     steps = (mix(seed) % np.uint64(max(reach, 1))).astype(np.int64).reshape(bands, bits)
     level = np.where(steps < SAMPLES, 0, np.frexp(steps // SAMPLES)[1])  # 0: the first 128 steps, then one doubling after the other
     stride = np.left_shift(1, np.maximum(level - 1, 0))
@@ -302,34 +305,47 @@ def _drawn(reach: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return places, mix(np.arange(1, bits + 1, dtype=np.uint64))
 
 
-def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None) -> DataFrame:
-    """doc_id, component_id of rows of prints(doc_id, fingerprint): the smallest doc_id reachable by likeness of least or more.
+def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None, keys_at_once: int = 4_000_000) -> DataFrame:
+    """prints(fingerprint, doc_id, ...) with component_id: the smallest doc_id reachable by likeness of least or more.
 
     Equal fingerprints are one class. A class is found by band keys over the leading steps of its walk: see reaches() and
-    band_keys(). By default bands and bits follow from the number of classes, so that a pair alike by just least is missed at most
-    `missed` of the time where the edits lie worst, and less elsewhere. Members of a bucket are paired by link_buckets() and verified on
-    whole fingerprints. A null doc_id has no component; an empty text is alike to empty ones only.
+    band_keys(). By default bands and bits follow from the number of classes, so that a pair alike by just least shares no band
+    at most `missed` of the time where the edits lie worst, and less elsewhere: bands can miss a pair. Candidates whose sketches are
+    near are paired by link_buckets() and verified on whole fingerprints. A null doc_id has no component; an empty text is alike to empty
+    ones only.
+
+    Keys are made and met some bands at a time, each time from the fingerprints: first 2, then 12 at a time, or
+    as many as make keys_at_once keys.
+    So what a shuffle holds on disk does not grow with the number of bands.
     """
-    classes_ = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    classes_ = written(classes_, "print-classes")
-    chosen = band_choice(classes_.count(), least, missed)
+    classes_ = written(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "print-classes")
+    count = classes_.count()
+    chosen = band_choice(count, least, missed)
+    at_once = max(12, keys_at_once // (2 * max(count, 1)))
     bands, bits = bands or chosen[0], bits or chosen[1]
-
-    def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                walked, all_bits = from_texts(part.column(0).to_pylist())
-                grid = reaches(least, int(walked.max()))
-                found = [band_keys(w, b, grid, bands, bits) if w else [] for w, b in zip(walked.tolist(), all_bits, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(walked), part.column(0).cast(pa.binary())], ["v", "keys", "n", "payload"])
-
-    lists = written(classes_.select("fingerprint", "class_id").mapInArrow(key_lists, "v long, keys array<long>, n long, payload binary"), "print-keys")
-    keyed = lists.select(F.explode("keys").alias("key"), "v", "n").repartition("key").groupBy("key", "v").agg(F.min("n").alias("n"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("centre")).where("members > 1")
-    buckets = written(keyed.join(shared, "key"), "print-buckets")
-    labels = link_buckets(buckets, lists.select("v", "keys", "payload"), WalkLikeness(least))
-    out = prints.select("doc_id", "fingerprint").join(classes_, "fingerprint", "left")
+    nearness = Nearness(apart=SKETCH_APART)
+
+    def keyed(first: int, count: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    walked, sampled = from_texts(part.column(0).to_pylist())
+                    some = np.flatnonzero(walked)
+                    if not len(some):
+                        continue
+                    keys, sketches = band_keys(walked[some], sampled[some], reaches(least, int(walked.max())), first, count, bits)
+                    v, n = np.repeat(part.column(1).to_numpy()[some], 2 * count), np.zeros(keys.size, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), v, n, sketches.ravel())], ["key", "v", "n", "sketch"])
+
+        return classes_.select("fingerprint", "class_id").mapInArrow(run, "key long, v long, n long, sketch long")
+
+    few = min(FIRST_BANDS, bands)
+    rounds = [[keyed(0, few)], [keyed(first, min(at_once, bands - first)) for first in range(few, bands, at_once)]]
+    payloads = classes_.select(F.col("class_id").alias("v"), F.encode("fingerprint", "UTF-8").alias("payload"))
+    labels = link_buckets(rounds, payloads, WalkLikeness(least), nearness)
+    named = classes_
     if labels is not None:
-        out = out.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("component_id"))
+        named = classes_.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))
+    out = prints.join(named.select("fingerprint", F.col("class_id").alias("component_id")), "fingerprint", "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shuffle_partitions, written
+from emberline.llm.common import Scratch, shuffle_partitions, written
 
 #: Rows of ids and numbers up to which a side is broadcast: a few MB.
 SMALL_ROWS = 200_000
+PAIRS_AT_ONCE = 500
+#: Pairs within buckets that are compared in blocks at once, without further stars.
+FEW_PAIRS = 5_000_000
+PAIRS_IN_BLOCK = 16
+#: Edges up to which components are found in one task, with some 300 bytes for each.
+ONE_TASK = 300_000
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -23,100 +31,212 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, count: int | None = None) -> DataFrame:
     """(v, label) for every vertex of edges(a, b): label is the smallest vertex reachable.
 
-    In each round a vertex takes its smallest neighbour's, then that one's smallest neighbour's name; edges go on between the
-    names only, without those within one, so they become few within about log n rounds even in a chain of n. Each round is
-    written to the shared folder; hot vertices meet map-side minima and joins that Spark may split.
+    Up to ONE_TASK edges (count, if it is known), one task joins them. Beyond that, in each round a vertex takes its smallest
+    neighbour's, then that one's smallest neighbour's name; edges go on between the names only, without those within one, so
+    they become few within about log n rounds even in a chain of n. Each round is written to the shared folder; hot vertices
+    meet map-side minima and joins that Spark may split.
     """
-    live = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    scratch = Scratch()
+    live = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    if (edges.count() if count is None else count) <= ONE_TASK:
+        return scratch.written(live.repartition(1).mapInArrow(joined_in_order, "v long, label long"), "labels")
+    live = scratch.written(live.distinct(), "edges")
     labels = None
     while labels is None or not live.isEmpty():
         both = live.union(live.select("b", "a"))
-        low = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")), "low")
-        step = written(low.join(low.select(F.col("v").alias("m"), F.col("m").alias("label")), "m").select("v", "label"), "step")
+        low = scratch.written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")), "low")
+        step = scratch.written(low.join(low.select(F.col("v").alias("m"), F.col("m").alias("label")), "m").select("v", "label"), "step")
         if labels is None:
             labels = step
         else:
             on = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
-            labels = written(labels.join(on, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
+            labels = scratch.written(labels.join(on, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
         named = lambda c: step.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))  # noqa: B023, E731
         over = live.join(named("a"), "a").join(named("b"), "b").where("al <> bl")
-        live = written(over.select(F.least("al", "bl").alias("a"), F.greatest("al", "bl").alias("b")).distinct(), "edges")
+        live = scratch.written(over.select(F.least("al", "bl").alias("a"), F.greatest("al", "bl").alias("b")).distinct(), "edges")
+        scratch.clear(live, labels)
+    scratch.clear(labels)
     return labels
 
 
-def link_buckets(buckets: DataFrame, members: DataFrame, likeness, percent: int | None = None, block_rows: int = 2000) -> DataFrame | None:
+def joined_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, label) of edges(a, b)"""
+    above: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := above.setdefault(v, v)) != v:
+            above[v] = v = above[up]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            above[high] = low
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([root(v) for v in above], pa.int64())], ["v", "label"])
+
+
+@dataclass(frozen=True)
+class Nearness:
+    """What two members of a bucket must have in common before their payloads are looked at.
+
+    sketch is a number of 64 bits, of which a pair to be found has few unequal ones; apart is how many it may have. percent:
+    sizes further apart than that can't be alike.
+    """
+
+    apart: int
+    percent: int | None = None
+
+    def column(self, x: str, y: str):
+        near = F.bit_count(F.col(f"{x}sketch").bitwiseXOR(F.col(f"{y}sketch"))) <= self.apart
+        if self.percent is not None:
+            near &= F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * self.percent
+        return near
+
+    def rows(self, n: np.ndarray, sketch: np.ndarray, n_other: int, sketch_other: np.uint64) -> np.ndarray:
+        near = np.bitwise_count(sketch ^ sketch_other) <= self.apart
+        if self.percent is not None:
+            near &= np.minimum(n, n_other) * 100 >= np.maximum(n, n_other) * self.percent
+        return near
+
+
+def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, nearness: Nearness, *, star_rounds: int = 2, block_rows: int = 2000, block_bytes: int = 32 << 20) -> DataFrame | None:
     """(v, label) of the components of all alike members of common buckets; None without any link.
 
-    buckets: key, v, n (a size), members and centre (the bucket's count and smallest v). members: v, keys (all bucket keys of
-    v, as many in each row, an equal key at the same place), payload (binary). likeness is a picklable object with prepare(payload) and alike(x, y) of prepared ones. percent: sizes
-    further apart than that can't be alike.
+    rounds: frames of key, v, n (a size), sketch; v with one key are a bucket. Rounds are taken one after the other, and members
+    that earlier ones connected are not compared again; so a first round of few keys spares the others the groups of copies.
+    The frames of a round are shuffled one after the other, so that the disk holds one of them at a time.
+    members: v, payload (binary). likeness is a picklable object whose alike(xs, ys) says of lists of payloads which pairs are
+    alike; it is asked for pairs that are near only.
 
-    First every bucket's smallest member is compared with the others: a star, not all pairs. What is not connected with most
-    of its bucket after that is compared with the whole bucket, in blocks of at most block_rows on either side, inside tasks:
-    rows grow with members times blocks, and only links leave. A pair is compared in the first bucket that it shares. So no
-    bucket is cut and no link is lost.
+    A bucket's smallest member is compared with the others: a star, not all pairs. In a bucket whose members are not all
+    connected then, another member, by a hash, is the centre of the next star, as long as that finds links, star_rounds times at
+    most. What is left apart is compared with the whole bucket in blocks inside tasks, of at most block_rows and about block_bytes
+    (n counts as 8 bytes) on either side: by sizes and sketches first, near pairs by payload unless they are connected by then;
+    only links leave. So no bucket is cut and no near pair is lost. A hot key is counted before it is shuffled, and its rows meet
+    the bucket's centre by a join that Spark may split.
     """
-    pairs = buckets.where("v <> centre").join(buckets.where("v = centre").select("key", F.col("n").alias("cn")), "key")
-    if percent is not None:
-        pairs = pairs.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
-    pairs = pairs.select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct()
+    scratch = Scratch()
     left, right = (members.select(F.col("v").alias(x), F.col("payload").alias(f"p{x}")) for x in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([likeness.prepare(p.as_py()) for p in batch.column(i)] for i in (2, 3))
-            found = pa.array([likeness.alike(s, t) for s, t in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(found)
-
-    stars = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
-    links = written(stars.distinct(), "star-links")
-    labels = None if links.isEmpty() else components(links)
-
-    rows = buckets.where("members > 2")
-    rows = rows.withColumn("label", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
-    apart = by_label.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size")).where("kinds > 1")
-    apart = apart.select("key", F.col("most.label").alias("main"), F.ceil(F.col("size") / block_rows).cast("int").alias("base_blocks"), F.ceil((F.col("size") - F.col("most.k")) / block_rows).cast("int").alias("probe_blocks"))
-    open_rows = written(rows.join(apart, "key").select("key", "v", "n", "label", "main", "base_blocks", "probe_blocks"), "open")
-    if open_rows.isEmpty():
-        return labels
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                found = likeness.alike(part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        found = once.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
+        return scratch.written(found.distinct(), "links")
+
+    def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("v"))
+        return rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Those of buckets whose members have several labels, with the label that most of a bucket has, and how many."""
+        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        most = by_label.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size"), (8 * F.sum("n")).alias("bytes")).where("kinds > 1")
+        return scratch.written(rows.join(most.select("key", F.col("most.label").alias("main"), F.col("most.k").alias("connected"), "size", "bytes"), "key"), "apart")
+
+    def joined(labels: DataFrame | None, new: DataFrame, count: int) -> DataFrame | None:
+        if not count:
+            return labels
+        if labels is None:
+            return components(new, count)
+        known = labels.count()
+        if known + count <= ONE_TASK:
+            return components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(new), known + count)
+        return relabelled(labels, new)
+
+    labels = None
+    for frames in rounds:
+        known, parts = labels if labels is None else small(labels), []
+        for keyed in frames:
+            rows = labelled(keyed, known)
+            shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("v", "n", "sketch", "label")).alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
+            shared = shared.where("low <> high").select("key", "members", "centre")
+            near = (F.col("label") != F.col("centre.label")) & nearness.column("", "centre.")
+            met = rows.join(shared.hint("shuffle_hash"), "key").withColumn("near", near).where("members > 2 OR near")
+            parts.append(scratch.written(met.select("key", "v", "n", "sketch", "members", F.when(F.col("near"), F.col("centre.v")).alias("centre")), "buckets"))
+        buckets = reduce(DataFrame.unionByName, parts)
+        new = links(buckets.where("centre IS NOT NULL").select(F.col("centre").alias("a"), F.col("v").alias("b")))
+        found = new.count()
+        labels = joined(labels, new, found)
+        several = buckets.where("members > 2").select("key", "v", "n", "sketch")
+        open_rows = apart(labelled(several, labels))
+        # members times those that are apart, of all buckets
+        work = open_rows.agg(F.sum(F.col("size") - F.col("connected"))).first()[0] or 0
+        for turn in range(star_rounds):
+            if not found or work <= FEW_PAIRS:
+                break
+            centre = open_rows.where("label <> main").groupBy("key").agg(F.min_by(F.struct("v", "n", "sketch", "label"), F.xxhash64("v", F.lit(turn))).alias("centre"))
+            stars = open_rows.join(centre, "key").where("label <> centre.label").where(nearness.column("", "centre."))
+            new = links(stars.select(F.col("centre.v").alias("a"), F.col("v").alias("b")))
+            found = new.count()
+            labels = joined(labels, new, found)
+            open_rows = apart(labelled(several, labels))
+            work = open_rows.agg(F.sum(F.col("size") - F.col("connected"))).first()[0] or 0
+        if work:
+            new = scratch.written(block_links(open_rows, members, likeness, nearness, block_rows, block_bytes).distinct(), "links")
+            labels = joined(labels, new, new.count())
+        scratch.clear()
+    return labels
+
+
+def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearness, block_rows: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between different labels in rows(key, v, n, sketch, label, main, connected, size, bytes), but for those of main.
+
+    Within a block, a pair that earlier links of the block connect is not compared.
+    """
+    blocks = lambda c: F.ceil(F.greatest(c / block_rows, F.col("bytes") * c / F.col("size") / block_bytes)).cast("int")
+    rows = rows.withColumn("base_blocks", blocks(F.col("size"))).withColumn("probe_blocks", blocks(F.col("size") - F.col("connected")))
     spread = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = open_rows.withColumn("i", spread("base_blocks")).withColumn("j", each("probe_blocks")).withColumn("probe", F.lit(False))
-    probes = open_rows.where("label <> main").withColumn("j", spread("probe_blocks")).withColumn("i", each("base_blocks")).withColumn("probe", F.lit(True))
-    both = base.unionByName(probes).join(members, "v").select("key", "i", "j", "probe", "v", "n", "label", "keys", "payload")
-    dealt = both.repartition(shuffle_partitions(buckets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def block(key: int, rows: pa.Table) -> tuple[list[int], list[int]]:
-        probe = rows.column("probe").to_numpy()
-        v, n, label = (rows.column(c).to_numpy() for c in ("v", "n", "label"))
-        keys = np.array(rows.column("keys").to_pylist(), np.int64).reshape(len(v), -1)
-        payload = rows.column("payload")
-        prepared: dict[int, object] = {}
-
-        def load(i: int):
-            if i not in prepared:
-                prepared[i] = likeness.prepare(payload[i].as_py())
-            return prepared[i]
-
-        bases, out = np.flatnonzero(~probe), ([], [])
-        probes_here = set(v[probe].tolist())
+    base = rows.withColumn("i", spread("base_blocks")).withColumn("j", each("probe_blocks")).withColumn("probe", F.lit(False))
+    probes = rows.where("label <> main").withColumn("j", spread("probe_blocks")).withColumn("i", each("base_blocks")).withColumn("probe", F.lit(True))
+    both = base.unionByName(probes).join(members, "v").select("key", "i", "j", "probe", "v", "n", "label", "sketch", "payload")
+    dealt = both.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def block(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        probe = part.column("probe").to_numpy()
+        v, n, label, sketch = (part.column(c).to_numpy() for c in ("v", "n", "label", "sketch"))
+        sketch = sketch.view(np.uint64)
+        payload = part.column("payload")
+        bases = np.flatnonzero(~probe)
+        of_n, of_sketch = n[bases], sketch[bases]
+        names, group = np.unique(label, return_inverse=True)
+        above = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        found: tuple[list[int], list[int]] = ([], [])
         for x in np.flatnonzero(probe).tolist():
-            shared = keys[bases] == keys[x]
-            first = keys[x][shared.argmax(axis=1)] == key
-            near = shared.any(axis=1) & first & (label[bases] != label[x])
-            if percent is not None:
-                near &= np.minimum(n[bases], n[x]) * 100 >= np.maximum(n[bases], n[x]) * percent
-            for y in bases[near].tolist():
-                if (v[y] not in probes_here or v[x] < v[y]) and likeness.alike(load(x), load(y)):
-                    out[0].append(int(v[x]))
-                    out[1].append(int(v[y]))
-        return out
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = bases[nearness.rows(of_n, of_sketch, n[x], sketch[x])].tolist()
+            while near:
+                # a link may connect what comes after it
+                own = root(group[x])
+                near = [y for y in near if root(group[y]) != own]
+                some, near = near[:PAIRS_IN_BLOCK], near[PAIRS_IN_BLOCK:]
+                if some:
+                    mine = payload[x].as_py()
+                    for y, alike in zip(some, likeness.alike([mine] * len(some), [payload[y].as_py() for y in some]), strict=True):
+                        if alike:
+                            found[0].append(int(v[x]))
+                            found[1].append(int(v[y]))
+                            above[root(group[y])] = root(group[x])
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
@@ -127,19 +247,14 @@ def link_buckets(buckets: DataFrame, members: DataFrame, likeness, percent: int
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 which = tuple(group[:, lo].tolist())
                 if which != now and held:
-                    a, b = block(now[0], pa.Table.from_batches(held))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    yield from block(pa.Table.from_batches(held))
                     held = []
                 now = which
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            a, b = block(now[0], pa.Table.from_batches(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield from block(pa.Table.from_batches(held))
 
-    more = written(dealt.mapInArrow(blocks, "a long, b long").distinct(), "block-links")
-    if more.isEmpty():
-        return labels
-    return components(more) if labels is None else relabelled(labels, more)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -151,4 +266,4 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     over = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b"))
     merged = components(over).select(F.col("v").alias("old"), F.col("label").alias("new"))
     known = labels.select("v", F.col("label").alias("old")).union(merged.select(F.col("old").alias("v"), "old")).distinct()
-    return written(known.join(merged, "old", "left").select("v", F.coalesce("new", "old").alias("label")), "labels")
+    return written(known.join(small(merged), "old", "left").select("v", F.coalesce("new", "old").alias("label")), "labels")

@@ -26,14 +26,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With component_id: the smallest doc_id reachable by fingerprints that are alike by 0.8 or more."""
-    from pyspark.sql import functions as F
-
-    from emberline.llm.common import written
     from emberline.llm.fingerprints import compare_edited, near_by_edits
 
-    prints = written(compare_edited(table(spark, sf_dir, "documents")), "compared")
-    linked = near_by_edits(prints.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return prints.join(linked, "doc_id", "left")
+    return near_by_edits(compare_edited(table(spark, sf_dir, "documents"))).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from brute import near_components, shingle_set
 
+from emberline.llm import graph
 from emberline.llm.graph import components
 from emberline.llm.minhash import Bands, Signer, near_duplicates
 from emberline.llm.shingles import mix, shingle_sets
@@ -81,7 +82,7 @@ def test_bands_agree_as_often_as_sets_are_alike():
         assert abs(np.mean(agree) - size / (size + size // 4)) < 0.05
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)]
     parent = {v: v for p in pairs for v in p}
@@ -94,5 +95,34 @@ def test_components(spark):
     for a, b in pairs:
         r, s = sorted((root(a), root(b)))
         parent[s] = r
-    out = {r.v: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    out = {r.v: r.label for r in components(frame).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert {r.v: r.label for r in components(frame).collect()} == out
     assert out == {v: root(v) for p in pairs if p[0] != p[1] for v in p}
+
+
+def test_long_words_of_equal_letter_counts_are_unlike(make_docs):
+    """Thue-Morse words: polynomial hashes modulo 2**64 of them and their complements are equal at any base."""
+    thue, other = "a", "b"
+    for _ in range(10):
+        thue, other = thue + other, other + thue
+    out = {r.doc_id: r for r in near_duplicates(make_docs([(1, f"{thue} x"), (2, f"{other} x"), (3, f"{thue} {other} {other} {thue}")]), words=2).collect()}
+    assert [out[i].component_id for i in (1, 2, 3)] == [1, 2, 3] and out[3].n_shingles == 3
+
+
+def test_two_clusters_in_one_bucket_and_loose_members(make_docs):
+    """Groups of copies that share a part, so that buckets hold several groups: further stars and blocks connect them."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(50)]
+    rows = []
+    for g in range(4):
+        own = [f"g{g}w{i}" for i in range(30)]
+        for _ in range(25):
+            words = common + own
+            words[rng.randint(0, 79)] = f"n{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    out = near_duplicates(make_docs(rows), words=2, percent=80, bands=Bands(40, 2)).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.itertuples()} == near_components(rows, 2, 80)
