@@ -53,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(path: str) -> None:
+    """A folder of the shared folder, with all that is in it, where it exists."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    if store.get_file_info(place).type == fs.FileType.Directory:
+        store.delete_dir(place)
+
+
 class Scratch:
     """Tables that an operator writes on its way, so that it can remove them when nothing reads them any more."""
 
@@ -67,12 +76,9 @@ class Scratch:
 
     def clear(self, *keep: DataFrame | None) -> None:
         """Remove all tables but these."""
-        from pyarrow import fs
-
         for table_, path in self.tables:
             if not any(table_ is k for k in keep):
-                store, place = fs.FileSystem.from_uri(path)
-                store.delete_dir(place)
+                remove(path)
         self.tables = [t for t in self.tables if any(t[0] is k for k in keep)]
 
 

@@ -11,6 +11,7 @@ from emberline.llm.mixing import mix
 from emberline.llm.urls import Rule, judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -84,6 +85,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's words."""
+    from emberline.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, buckets=10_000, longest=2, seed=7)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.infill import digests
+
+    return digests(table(spark, sf_dir, "documents"), unit="character", seed=1, keep_percent=90, spm_percent=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -95,8 +115,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe": op11_bpe,
+    "op12_resampling": op12_resampling,
+    "op13_infill": op13_infill,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+#: crc32, bit by bit: each byte is followed by eight steps.
+_STEPS = "flatten(list_transform(range(1, len(h), 2), lambda i: list_concat([CAST('0x' || h[i:i + 1] AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+_CRC = f"xor(4294967295, list_reduce({_STEPS}, lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END, 4294967295))"
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
@@ -119,4 +149,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(t.j)) AS component_id, d.doc_id <= coalesce(min(t.j), d.doc_id) AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t ON t.i = d.doc_id GROUP BY d.doc_id, n.n
     """,
+    "op12_resampling": f"""
+        WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+             f AS (SELECT i, doc_id, unnest(list_concat(w, {_PAIRS})) AS f FROM d), g AS (SELECT unnest(list_concat(w, {_PAIRS})) AS f FROM b),
+             x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)), k AS (SELECT f, {_CRC} % 10000 AS k FROM x),
+             own AS (SELECT k, count(*) AS s FROM f JOIN k USING (f) GROUP BY k), aim AS (SELECT k, count(*) AS t FROM g JOIN k USING (f) GROUP BY k),
+             n AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM g) AS t_all),
+             gain AS (SELECT k, floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS gain FROM own LEFT JOIN aim USING (k), n),
+             m AS (SELECT i, count(*) AS n, CAST(sum(CAST(gain AS BIGINT)) AS BIGINT) AS sum FROM f JOIN k USING (f) JOIN gain USING (k) GROUP BY i),
+             h AS (SELECT d.*, coalesce(n, 0) AS n_features, coalesce(CAST(floor(sum / n) AS BIGINT), 0) AS weight, CAST(CAST('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS DOUBLE) AS h FROM d LEFT JOIN m USING (i)),
+             q AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM h),
+             r AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank FROM q WHERE len(w) >= 20)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM q LEFT JOIN r USING (i)
+    """,
+    "op13_infill": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+             d AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM h),
+             c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+             p AS (SELECT *, left(t, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
