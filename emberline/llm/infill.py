@@ -28,9 +28,9 @@ _WHITE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
 def check_markers(markers: tuple[str, str, str]) -> None:
     """ValueError unless a text without the markers can always be told from them: none is empty, holds another, or ends as one begins."""
-    for a in markers:
-        for b in markers:
-            if not a or (a is not b and a in b) or any(a[k:] == b[: len(a) - k] for k in range(1, len(a))):
+    for i, a in enumerate(markers):
+        for k, b in enumerate(markers):
+            if not a or (i != k and a in b) or any(a[n:] == b[: len(a) - n] for n in range(1, len(a))):
                 raise ValueError(f"markers {markers} can be mistaken for each other")
 
 
