@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from emberline import registry
-from emberline.sources.views import LINES, STEPS
+from emberline.sources.views import EVENTS_A_RUN, LINES, LONG_JOB, STEPS
 
 
 def quoted(text: str) -> str:
@@ -89,6 +89,10 @@ V9 = "v9 AS (SELECT event_type AS provider, CASE event_id % 4 WHEN 0 THEN 'gemin
 _NAMED = "case_id, lpad(CAST(case_id AS VARCHAR), 7, '0') AS k, truth_class"
 _DIGEST = " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR), '-') || ':' || coalesce(CAST({c} AS VARCHAR), '')" for c in ("case_id", "truth_class", "predicted_class"))
 
+_JOB = f"CASE event_type WHEN 'view' THEN {quoted(LONG_JOB)} WHEN 'click' THEN 'build / click' ELSE event_type END"
+ARCHIVED = f"""m AS (SELECT 'run-' || (event_id // {EVENTS_A_RUN}) || '.zip' AS path, {_JOB} AS job, e.user_id % 3 + 1 AS step, v1.ts, event_id, line FROM v1 JOIN (SELECT event_id, event_type, user_id FROM events) e USING (event_id)),
+    w AS (SELECT path, job, replace(replace(job, '/', ' '), ':', ' ') AS name FROM (SELECT DISTINCT path FROM m), (SELECT unnest([{quoted(LONG_JOB)}, 'build / click', 'error', 'purchase', 'signup', 'build']) AS job))"""
+
 ORACLE_SQL: dict[str, str] = {
     "l_condense_excerpts": condensed(registry.MAX_CHARS),
     "l_condense_small_budget": condensed(2500),
@@ -190,4 +194,8 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY at_, request_id) - 1 AS n, CAST(60 AS DOUBLE) / rpm AS each_ FROM r),
         m AS (SELECT *, max(at_ - n * each_) OVER (PARTITION BY provider ORDER BY at_, request_id ROWS UNBOUNDED PRECEDING) + (n + 1 - rpm) * each_ AS soonest FROM k),
         a AS (SELECT provider, request_id, at_ AS "at", CASE WHEN rpm IS NULL THEN at_ ELSE greatest(at_, soonest) END AS admitted_at FROM m) SELECT *, admitted_at - "at" AS waited FROM a""",
+    "s_job_logs": f"""WITH {V1}, {ARCHIVED}, t AS (SELECT path, job, string_agg(line, chr(10) ORDER BY ts, event_id) AS text FROM m GROUP BY ALL)
+        SELECT path, job, CASE WHEN text IS NOT NULL THEN length(left(name, 84)) || '_' || left(name, 84) || '.txt' END AS entry, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars, CAST(NULL AS VARCHAR) AS error FROM w LEFT JOIN t USING (path, job)""",
+    "s_step_logs": f"""WITH {V1}, {ARCHIVED}, t AS (SELECT path, job, step, string_agg(line, chr(10) ORDER BY ts, event_id) AS text FROM m GROUP BY ALL), s AS (SELECT *, unnest([1, 2, 12]) AS step FROM w)
+        SELECT path, job, CAST(step AS INTEGER) AS step, CASE WHEN text IS NOT NULL THEN left(name, 84) || '/' || step || '_Step.txt' END AS entry, md5(text) AS text_md5 FROM s LEFT JOIN t USING (path, job, step)""",
 }

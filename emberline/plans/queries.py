@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline import registry
 from emberline.functions import text as tx
 from emberline.operators import classify, compare, condense, curate, edits, patches, scoring, usage
-from emberline.sources import views
+from emberline.sources import archives, views
 
 
 def condense_excerpts(spark: SparkSession, sf_dir: str, max_chars: int = registry.MAX_CHARS) -> DataFrame:
@@ -344,6 +344,19 @@ def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select("p_partkey", tx.server_wait_seconds(header, body).alias("seconds"), usage.output_token_budget(model).alias("budget"))
 
 
+def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of jobs out of run archives, names with signs that archives change and names that they cut included."""
+    found = archives.job_logs(views.archives(spark, sf_dir), views.wanted_jobs(spark, sf_dir))
+    return found.select("path", "job", "entry", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "error")
+
+
+def step_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of the first, the second and a missing step of each job."""
+    wanted = views.wanted_jobs(spark, sf_dir).select("path", "job", F.explode(F.array(F.lit(1), F.lit(2), F.lit(12))).alias("step"))
+    found = archives.step_logs(views.archives(spark, sf_dir), wanted)
+    return found.select("path", "job", "step", "entry", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "l_condense_logs": condense_logs, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
@@ -355,5 +368,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p_log_ranges": log_ranges, "p_search_reports": search_reports, "p_texts": patch_texts, "p_resolved_paths": resolved_paths, "p_prompt_texts": prompt_texts, "j_answers": answers,
     "k_skip_reasons": skip_reasons, "f_controls": controls, "f_cases": funnel_cases, "a_scorecards": cards, "g_verdict": gate_verdict, "m_notes": model_notes, "u_waits": waits,
     "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "p_repaired": repaired_patches, "p_edited": edited_patches, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
+    "s_job_logs": job_logs, "s_step_logs": step_logs,
     "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }

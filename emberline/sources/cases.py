@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.provider import archive_name, best_match
 from emberline.functions.text import normalize_line_breaks, sanitized_name
 
 CASE = """schema_version INT, case_id STRING, title STRING,
@@ -134,14 +133,6 @@ def write_manifest(text: DataFrame, path: str) -> None:
     text.select(F.regexp_replace("value", "\\n$", "")).coalesce(1).write.text(path)
 
 
-def job_log(entries: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(path, job, text) of archive_logs() and jobs(path, job): the entry at the top of an archive that belongs to the job."""
-    top = entries.where("error IS NULL AND NOT contains(entry, '/')").withColumn("name", F.regexp_replace("entry", r"^\\d+_|\\.txt$", ""))
-    names = top.groupBy("path").agg(F.collect_list("name").alias("names"))
-    chosen = jobs.join(names, "path").select("path", "job", best_match(F.col("names"), archive_name(F.col("job"))).alias("name"))
-    return chosen.join(top.select("path", "name", "text"), ["path", "name"]).select("path", "job", "text")
-
-
 def archive_logs(archives: DataFrame) -> DataFrame:
     """(path, entry, text): text files in zip archives(path, content); an archive that can't be read has one row with an error."""
 
