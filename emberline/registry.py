@@ -89,6 +89,11 @@ CONCLUSIONS = ["success", "failure", "cancelled", "timed_out", "skipped", "neutr
 SENSITIVE_KEYS = ["api_key", "apikey", "access_token", "auth_token", "authorization", "credential", "password", "secret"]
 
 MAX_WAIT_SECONDS = 75.0
+MAX_BACKOFF_SECONDS = 30.0
+MAX_RATE_LIMIT_WAITS = 6
+JITTER_FRACTION = 0.25
+RETRYABLE_STATUSES = [429, 500, 502, 503, 504]
+REDACTED = "[redacted]"
 MAX_DIFF_CHARS = 8_000
 MAX_FILE_CHARS = 12_000
 MAX_SECTION_CHARS = 4_000
