@@ -127,12 +127,44 @@ def prompt(raw: Column) -> Column:
     return F.when(text.rlike(pattern) & F.map_contains_key(meta, "id") & (body != ""), F.struct(meta.alias("meta"), body.alias("body"), content_hash(body).alias("content_hash")))
 
 
+#: Parts of a template: an escaped brace, a placeholder, text, and a brace that stands alone.
+_PARTS = r"\{\{|\}\}|\{[A-Za-z_][A-Za-z_0-9]*\}|[^{}]+|[{}]"
+
+
+def placeholders(body: Column) -> Column:
+    """The different names that a template wants values for, in the order in which they first stand in it."""
+    names = F.filter(F.regexp_extract_all(body, F.lit(_PARTS), F.lit(0)), lambda p: F.startswith(p, F.lit("{")) & (F.length(p) > 2))
+    return F.array_distinct(F.transform(names, lambda p: F.regexp_replace(p, "[{}]", "")))
+
+
+def template_error(body: Column, names: list[str]) -> Column:
+    """What keeps a template from being rendered with values of these names; null if nothing does."""
+    parts = F.regexp_extract_all(body, F.lit(_PARTS), F.lit(0))
+    missing = F.filter(placeholders(body), lambda n: ~n.isin(names)) if names else placeholders(body)
+    alone = F.exists(parts, lambda p: p.isin("{", "}"))
+    return F.when(alone, "a brace stands alone").when(F.size(missing) > 0, F.concat(F.lit("the template needs a value for "), F.array_join(missing, ", ")))
+
+
 def rendered_prompt(body: Column, values: dict[str, Column]) -> Column:
-    """A prompt's body with {placeholders} replaced."""
-    out = body
+    """A template with its {placeholders} replaced, in one pass: braces in values are text, and doubled ones in the template are single.
+
+    A placeholder without a value, or a brace that stands alone, fails the job with its name; template_error() tells beforehand. A null value, where it is used, makes the
+    text null; values that no placeholder wants are let be.
+    """
+    parts = F.regexp_extract_all(body, F.lit(_PARTS), F.lit(0))
+
+    def filled(p: Column) -> Column:
+        out = F.when(p == "{{", "{").when(p == "}}", "}")
+        for name, value in values.items():
+            out = out.when(p == "{" + name + "}", value)
+        return out.otherwise(p)
+
+    lost = F.lit(False)  # array_join would leave nulls out
     for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+        lost = lost | (F.array_contains(parts, "{" + name + "}") & value.isNull())
+    error = template_error(body, list(values))
+    text = F.array_join(F.transform(parts, filled), "")
+    return F.when(error.isNotNull(), F.raise_error(error)).when(~lost, text)
 
 
 def without_sensitive(attributes: Column) -> Column:

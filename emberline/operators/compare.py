@@ -29,13 +29,42 @@ def gate(baseline: DataFrame, current: DataFrame, tolerances: dict[str, float] |
     return a.join(b, "metric").join(dim, "metric").select("ord", "metric", "baseline", "current", delta.alias("delta"), "tolerance", (drift > F.col("tolerance") + registry.SLACK).alias("regressed"))
 
 
+#: Identity fields that must be equal, by what they are called; a report, and a metric that only it has.
+_IDENTITY = [("model", "model"), ("subset", "subset"), ("dataset_hash", "dataset")]
+_REPORTS = [("classification", "macro_f1"), ("localization", "hit_at_1")]
+
+
 def problems(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(problem): identity fields in which two one-row cards differ, and reports that the current one has lost."""
-    names = [c for c in ("model", "subset", "dataset_hash") if c in baseline.columns]
+    """(kind, problem) of two one-row cards: changed, with what an identity field was and is, and lost, with a report that only the baseline has.
+
+    Fields and metrics that the baseline lacks as columns aren't looked at; one that only the current card lacks is lost. A prompt may change: its effect is what is compared.
+    """
+    none = F.lit(None).cast("string")
+    text = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit("none"))
     pair = baseline.select(F.struct(*baseline.columns).alias("a")).crossJoin(current.select(F.struct(*current.columns).alias("b")))
-    checks = [F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(f"{c} differs")) for c in names]
-    checks += [F.when(F.col(f"a.{m}").isNotNull() & F.col(f"b.{m}").isNull(), F.lit(f"{m} is lost")) for m in ("macro_f1", "hit_at_1") if m in baseline.columns]
-    return pair.select(F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    told = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("problem"))
+    checks: list = []
+    for c, name in _IDENTITY:
+        if c in baseline.columns and c in current.columns:
+            checks.append(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), told("changed", F.concat(F.lit(f"{name} changed: "), text("a", c), F.lit(" to "), text("b", c)))))
+    for report, metric in _REPORTS:
+        if metric in baseline.columns:
+            now = F.col(f"b.{metric}") if metric in current.columns else none
+            checks.append(F.when(F.col(f"a.{metric}").isNotNull() & now.isNull(), told("lost", F.lit(report))))
+    if not checks:
+        return pair.select(none.alias("kind"), none.alias("problem")).where(F.lit(False))
+    return pair.select(F.explode(F.array_compact(F.array(*checks))).alias("p")).select("p.*")
+
+
+def problem_lines(found: DataFrame) -> DataFrame:
+    """(ord, line) of problems(): what a report says of reports that were lost, and of fields that keep cards from being compared, in their order."""
+    places = [(f"{name} changed", i) for i, (_, name) in enumerate(_IDENTITY)] + [(report, i) for i, (report, _) in enumerate(_REPORTS)]
+    place = F.coalesce(*[F.when(F.startswith("problem", F.lit(text)), i) for text, i in places])
+    # At most as many rows as there are fields and reports.
+    rows = found.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct(place.alias("i"), "problem"))).alias("told"))
+    texts = F.transform("told", lambda x: x["problem"])
+    line = F.when(F.col("kind") == "lost", F.concat(F.lit("Reports lost since the baseline: "), F.array_join(texts, ", "))).otherwise(F.concat(F.lit("Not comparable: "), F.array_join(texts, "; ")))
+    return rows.select(F.when(F.col("kind") == "lost", 0).otherwise(1).alias("ord"), line.alias("line"))
 
 
 def both_baselines(baseline_model: str, current_model: str) -> bool:

@@ -14,6 +14,7 @@ from emberline import registry
 from emberline.functions.text import strip
 from emberline.operators.classify import signal
 from emberline.sources.cases import referenced_files
+from emberline.sources.workspace import new_path
 
 PREFERENCE = ["failure", "timed_out", "cancelled"]
 
@@ -58,12 +59,12 @@ def tri_state(told: Column) -> Column:
     return F.when(told == "true", True).when(told == "false", False)
 
 
-def reconcile(annotations: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def reconcile(annotations: DataFrame, evidence: DataFrame | None = None, root: str = "") -> DataFrame:
     """(slug, agreed, failure_class, subcategory, related_to_diff, culprit_files, confidence, review) of two annotators, a and b.
 
     annotations: slug, annotator, failure_class, subcategory, related (true, false or unknown), confidence, culprit_files. They
     agree if class, subcategory and relation are equal and evidence(slug), where given, has the slug; the lesser confidence counts. The rest is
-    for review, which says why; empty where they agree.
+    for review, which says why, and where below root the evidence of a slug should be; empty where they agree.
     """
     fields = ["failure_class", "subcategory", "related", "confidence", "culprit_files"]
     side = lambda who: annotations.where(F.col("annotator") == who).select("slug", F.struct(*fields).alias(who))
@@ -78,7 +79,7 @@ def reconcile(annotations: DataFrame, evidence: DataFrame | None = None) -> Data
     review = (
         F.when(~whole, F.concat("slug", F.lit(": one annotation is missing")))
         .when(~equal, F.concat("slug", F.lit(": A said "), key("a"), F.lit(", B said "), key("b")))
-        .when(~F.col("stored"), F.concat("slug", F.lit(": evidence missing")))
+        .when(~F.col("stored"), F.concat("slug", F.lit(": evidence missing from " + (root.rstrip("/") + "/" if root else "")), "slug"))
         .otherwise("")
     )
     agreed = review == ""
@@ -117,9 +118,22 @@ def candidates(runs: DataFrame) -> DataFrame:
 
 
 def case_ids(agreed: DataFrame, prefix: str = "gm", first: int = 1) -> DataFrame:
-    """agreed with case_id: numbers in the order of slug, from `first` on. A numbered list for people: one task orders it."""
-    n = F.row_number().over(Window.orderBy("slug")) + (first - 1)
-    return agreed.withColumn("case_id", F.format_string(f"{prefix}-%04d", n))
+    """agreed with case_id: numbers in the order of slug, from `first` on.
+
+    Slugs are sorted in ranges over all tasks; a range's rows are numbered in its task, after the counts of the ranges before. So no
+    task sees all slugs. The sorted rows are written once, below spark.checkpoint.dir, so that both uses see the same ranges.
+    """
+    spark, path = agreed.sparkSession, new_path(agreed.sparkSession, "case-ids")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    agreed.repartitionByRange(n, "slug").sortWithinPartitions("slug").withColumn("case_place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    # Spark numbers rows by partition, in the upper bits, and place.
+    part, place = F.shiftright("case_place", 33), F.col("case_place").bitwiseAND(2**33 - 1)
+    before = Window.orderBy("case_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("case_part")).agg(F.count("*").alias("n"))  # a row for each task of the sort
+    sizes = sizes.select("case_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("case_before"))
+    numbered = placed.withColumn("case_part", part).join(F.broadcast(sizes), "case_part")
+    return numbered.withColumn("case_id", F.format_string(f"{prefix}-%04d", F.col("case_before") + place + first)).drop("case_part", "case_place", "case_before")
 
 
 def trusted(provenance: Column) -> Column:

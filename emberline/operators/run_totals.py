@@ -41,4 +41,4 @@ def with_totals(reduced: DataFrame, seen: Observation) -> DataFrame:
     """
     rows = reduced.toArrow()
     frame = reduced.sparkSession.createDataFrame(rows, reduced.schema)
-    return frame.withColumns({k: F.lit(v) for k, v in totals(seen).items()})
+    return frame.withColumns({k: F.lit(v).cast("long" if isinstance(v, int) else "double") for k, v in totals(seen).items()})

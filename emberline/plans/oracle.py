@@ -93,6 +93,20 @@ _JOB = f"CASE event_type WHEN 'view' THEN {quoted(LONG_JOB)} WHEN 'click' THEN '
 ARCHIVED = f"""m AS (SELECT 'run-' || (event_id // {EVENTS_A_RUN}) || '.zip' AS path, {_JOB} AS job, e.user_id % 3 + 1 AS step, v1.ts, event_id, line FROM v1 JOIN (SELECT event_id, event_type, user_id FROM events) e USING (event_id)),
     w AS (SELECT path, job, replace(replace(job, '/', ' '), ':', ' ') AS name FROM (SELECT DISTINCT path FROM m), (SELECT unnest([{quoted(LONG_JOB)}, 'build / click', 'error', 'purchase', 'signup', 'build']) AS job))"""
 
+_I = "p_partkey"
+_NO_JSON = f"{_I} % 13 = 0"
+#: Of the texts that checked_answers() makes; errors in the order of the fields.
+_CHECKED = f"""NOT ({_NO_JSON}) AND {_I} % 3 <> 0 AND {_I} % 4 <> 3 AND {_I} % 7 <> 0 AND {_I} % 5 NOT IN (1, 2) AND {_I} % 11 <> 0 AS valid,
+    CASE WHEN NOT ({_NO_JSON}) AND {_I} % 7 <> 0 THEN CASE {_I} % 5 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN 1.5 WHEN 2 THEN NULL ELSE 0.25 END END AS confidence,
+    CASE WHEN NOT ({_NO_JSON}) THEN CASE {_I} % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END END AS related_to_diff,
+    CASE WHEN NOT ({_NO_JSON}) AND {_I} % 11 <> 0 THEN 'a' END AS evidence,
+    CASE WHEN {_NO_JSON} THEN 'the answer must be a JSON object, got I think: ' || rtrim(left('{{"failure_class": "' || CASE WHEN {_I} % 3 = 0 THEN 'bug' ELSE 'flaky_test' END || '", "subcategory": "randomness", ', 40) ELSE concat_ws(chr(10),
+        CASE WHEN {_I} % 3 = 0 THEN 'failure_class must be one of {", ".join(registry.FAILURE_CLASSES)}, got bug' END, CASE WHEN {_I} % 4 = 3 THEN 'related_to_diff must be true or false, got 7' END,
+        CASE WHEN {_I} % 7 = 0 THEN 'confidence is missing' WHEN {_I} % 5 = 2 THEN 'confidence must be a number, got high' WHEN {_I} % 5 = 1 THEN 'confidence must be at most 1, got 1.5' END,
+        CASE WHEN {_I} % 11 = 0 THEN 'evidence must be a list of texts, got [3]' END) END AS errors"""
+_CLASS_LIST = ", ".join(map(quoted, registry.FAILURE_CLASSES))
+_BROKEN = {"verdict_or_error": "p IS NULL AND error IS NULL", "correct_needs_verdict": "p IS NULL AND ok", "correct_is_equality": "ok <> (p = t)", "known_truth": f"t NOT IN ({_CLASS_LIST})", "known_verdict": f"p NOT IN ({_CLASS_LIST})"}
+
 ORACLE_SQL: dict[str, str] = {
     "l_condense_excerpts": condensed(registry.MAX_CHARS),
     "l_condense_small_budget": condensed(2500),
@@ -198,4 +212,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT path, job, CASE WHEN text IS NOT NULL THEN length(left(name, 84)) || '_' || left(name, 84) || '.txt' END AS entry, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars, CAST(NULL AS VARCHAR) AS error FROM w LEFT JOIN t USING (path, job)""",
     "s_step_logs": f"""WITH {V1}, {ARCHIVED}, t AS (SELECT path, job, step, string_agg(line, chr(10) ORDER BY ts, event_id) AS text FROM m GROUP BY ALL), s AS (SELECT *, unnest([1, 2, 12]) AS step FROM w)
         SELECT path, job, CAST(step AS INTEGER) AS step, CASE WHEN text IS NOT NULL THEN left(name, 84) || '/' || step || '_Step.txt' END AS entry, md5(text) AS text_md5 FROM s LEFT JOIN t USING (path, job, step)""",
+    "u_recorded": "WITH r AS (SELECT event_type AS provider, strftime(ts, '%Y-%m-%d') AS day, CAST(floor(value) AS BIGINT) AS o FROM events) SELECT provider, day, count(*) AS requests, CAST(sum(o * 10) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(o * 11) AS BIGINT) AS tokens FROM r GROUP BY ALL",
+    "u_retries": """WITH e AS (SELECT 'u' || user_id || '-' || (event_id // 500) AS request_id, event_id AS ord, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+        r AS (SELECT *, CASE WHEN k % 10 < 4 THEN 429 WHEN k % 10 < 6 THEN 503 WHEN k % 10 = 6 THEN NULL WHEN k = 97 THEN 404 ELSE 200 END AS status FROM e),
+        c AS (SELECT *, CASE WHEN status IS NULL THEN 'timeout' WHEN status = 200 THEN 'success' WHEN status = 429 AND k % 3 = 0 THEN 'rate' WHEN status = 429 AND k % 17 = 0 THEN 'quota' WHEN status IN (429, 503) THEN 'retryable' ELSE 'final' END AS kind FROM r),
+        l AS (SELECT *, count(*) FILTER (kind = 'rate') OVER (PARTITION BY request_id ORDER BY ord) AS limits FROM c),
+        w AS (SELECT *, kind = 'rate' AND limits <= 2 AS free FROM l),
+        a AS (SELECT *, count(*) FILTER (NOT free AND kind IN ('rate', 'timeout', 'retryable')) OVER (PARTITION BY request_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt FROM w),
+        d AS (SELECT *, CASE WHEN kind = 'success' THEN 'answered' WHEN kind = 'quota' THEN 'quota_exhausted' WHEN kind = 'timeout' AND attempt >= 1 THEN 'timed_out' WHEN kind = 'final' OR (NOT free AND kind IN ('rate', 'retryable') AND attempt >= 1) THEN 'refused' END AS ends FROM a),
+        s AS (SELECT *, count(ends) OVER (PARTITION BY request_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM d),
+        p AS (SELECT *, CAST(0.5 * pow(2, attempt) AS DOUBLE) AS b, CAST('0x' || left(md5(request_id || ':' || ord), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM s WHERE over_ = 0),
+        t AS (SELECT *, CASE WHEN ends IS NULL THEN CASE WHEN status IS NOT NULL AND k % 5 = 0 THEN 4 WHEN status IS NOT NULL AND k % 3 <> 0 AND k % 17 <> 0 THEN k % 9 ELSE b + 0.25 * b * u END END AS wait, CASE WHEN k % 3 = 0 THEN 'RESOURCE_EXHAUSTED: requests per minute' WHEN k % 17 = 0 THEN 'you exceeded your current quota per day' ELSE '{"retryDelay": "' || (k % 9) || 's"}' END AS body FROM p),
+        g AS (SELECT request_id, coalesce(arg_max(ends, ord) FILTER (ends IS NOT NULL), 'unfinished') AS outcome, CAST(least(max(limits), 2) AS INTEGER) AS waits, round(sum(coalesce(CAST(wait AS DOUBLE), 0)), 6) AS total_wait, count(*) AS requests, max(ord) AS last FROM t GROUP BY request_id)
+        SELECT g.request_id, outcome, g.waits, total_wait, requests, CASE outcome WHEN 'quota_exhausted' THEN 'm: daily quota is exhausted. Wait for it to reset or pick another model.' WHEN 'timed_out' THEN 'm: timed out after 2 attempts' WHEN 'refused' THEN 'm: returned ' || t.status || ' for https://host.example/v1: ' || t.body END AS error
+        FROM g JOIN t ON t.request_id = g.request_id AND t.ord = g.last""",
+    "j_checked": f"SELECT p_partkey, {_CHECKED} FROM part",
+    "j_settled": f"""WITH c AS (SELECT p_partkey // 5 AS request_id, p_partkey AS i, {_CHECKED} FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY i) AS turn FROM c QUALIFY turn <= 2),
+        a AS (SELECT * FROM r QUALIFY turn = 1 OR NOT bool_or(valid AND turn = 1) OVER (PARTITION BY request_id))
+        SELECT request_id, bool_or(valid) AS answered, bool_or(valid) AND max(turn) > 1 AS repaired, CAST(max(turn) AS INTEGER) AS n_answers, CAST(sum(i % 100) AS BIGINT) AS input_tokens, count(*) AS output_tokens FROM a GROUP BY request_id""",
+    "k_broken_rules": f"""WITH {v2()}, c AS (SELECT case_id, CASE WHEN case_id % 29 = 0 THEN 'bug' ELSE truth_class END AS t, predicted_class AS p, case_id % 31 = 0 OR correct AS ok, CASE WHEN case_id % 2 = 0 THEN 'late' END AS error FROM v2),
+        b AS (SELECT case_id, unnest([{', '.join(f"{{'rule': '{r}', 'broken': coalesce({q}, false)}}" for r, q in _BROKEN.items())}], recursive := true) FROM c),
+        s AS (SELECT *, CAST('0x' || left(md5(CAST(case_id AS VARCHAR)), 8) AS BIGINT) % 3 AS spot FROM b), m AS (SELECT rule, spot, min(CAST(case_id AS VARCHAR)) AS first FROM s WHERE broken GROUP BY ALL),
+        n AS (SELECT rule, count(*) AS n_rows, count(*) FILTER (broken) AS n_broken FROM s GROUP BY rule)
+        SELECT rule, n_rows, n_broken, coalesce((SELECT string_agg(first, '|' ORDER BY first) FROM m WHERE m.rule = n.rule), '') AS offenders FROM n""",
+    "u_run_totals": f"""WITH {v2()}, t AS (SELECT count(*) AS total_requests, CAST(sum(case_id % 1000) AS BIGINT) AS total_input_tokens, CAST(sum(case_id % 7) AS BIGINT) AS total_output_tokens, count(*) FILTER (case_id % 9 = 0) AS repairs, count(*) FILTER (predicted_class IS NULL) AS schema_failures, CAST(2 * count(*) AS DOUBLE) AS latency_ms FROM v2)
+        SELECT model, count(*) AS n, count(*) FILTER (correct) AS n_correct, any_value(t.*), CAST(any_value(schema_failures) AS DOUBLE) / any_value(total_requests) AS schema_failure_rate FROM v2, t GROUP BY model""".replace("any_value(t.*)", ", ".join(f"any_value({c}) AS {c}" for c in ("total_requests", "total_input_tokens", "total_output_tokens", "repairs", "schema_failures", "latency_ms"))),
+    "p_rendered": """WITH p AS (SELECT p_partkey, '{type} }} ' || p_name AS name, p_type AS type FROM part) SELECT p_partkey,
+        CASE p_partkey % 3 WHEN 0 THEN 'Part ' || name || ' of {type}: ' || type || chr(10) || name WHEN 1 THEN '{' || type || '}' ELSE 'none' END AS text,
+        CASE WHEN p_partkey % 3 = 2 THEN 'the template needs a value for missing' END AS error, ['name,type', 'type', 'name,missing'][p_partkey % 3 + 1] AS wanted FROM p""",
+    "g_problems": "WITH n AS (SELECT count(*) AS n FROM events) SELECT CAST(0 AS INTEGER) AS ord, 'Reports lost since the baseline: localization' AS line UNION ALL SELECT 1, 'Not comparable: model changed: a to b; dataset changed: ' || n || ' to ' || (n + 1) FROM n",
+    "d_case_ids": f"""WITH {v2()}, a AS (SELECT case_id AS i, 'case-' || lpad(CAST(case_id AS VARCHAR), 7, '0') AS slug, truth_class AS fc FROM v2 WHERE case_id % 31 <> 0),
+        g AS (SELECT * FROM a WHERE NOT (i % 20 = 0 AND fc <> 'code_change') AND i % 17 <> 0 AND NOT (i % 3 = 1 AND i % 13 = 0))
+        SELECT slug, 'gm-' || printf('%04d', row_number() OVER (ORDER BY slug) + 499) AS case_id, '' AS review FROM g WHERE i % 37 <> 0
+        UNION ALL SELECT slug, NULL, slug || ': evidence missing from mined/' || slug FROM g WHERE i % 37 = 0""",
 }

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import registry
+from emberline.functions import answers as answers_fn
+from emberline.functions import provider
 from emberline.functions import text as tx
-from emberline.operators import classify, compare, condense, curate, edits, patches, scoring, usage
+from emberline.operators import classify, compare, condense, curate, edits, expectations, patches, retries, run_totals, scoring, usage
 from emberline.sources import archives, views
+from emberline.sources.usage_store import UsageStore
+from emberline.sources.workspace import new_path
 
 
 def condense_excerpts(spark: SparkSession, sf_dir: str, max_chars: int = registry.MAX_CHARS) -> DataFrame:
@@ -357,6 +361,95 @@ def step_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "job", "step", "entry", F.md5("text").alias("text_md5"))
 
 
+def recorded_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily use out of a store that got every batch of requests twice, and folded the first two into one."""
+    store = UsageStore(spark, new_path(spark, "usage"))
+    rows = views.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("provider"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.floor("value").cast("long").alias("output_tokens"))
+    rows = rows.withColumn("input_tokens", F.col("output_tokens") * 10)
+    for again in range(2):
+        for number in range(3):
+            store.record(rows.where(F.col("event_id") % 3 == number), number)
+        if not again:
+            store.compact(1)
+    return store.totals()
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to requests, five of one user's events in a row to each request."""
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    body = F.when(k % 3 == 0, "RESOURCE_EXHAUSTED: requests per minute").when(k % 17 == 0, "you exceeded your current quota per day").otherwise(F.concat(F.lit('{"retryDelay": "'), (k % 9).cast("string"), F.lit('s"}')))
+    status = F.when(k % 10 < 4, 429).when(k % 10 < 6, 503).when(k % 10 == 6, None).when(k == 97, 404).otherwise(200)
+    request = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.floor(i / 500).cast("string"))
+    return views.table(spark, sf_dir, "events").select(request.alias("request_id"), F.lit("m").alias("model"), i.alias("ord"), status.cast("int").alias("status"), F.when(k % 5 == 0, "4").alias("retry_after"), body.alias("body"))
+
+
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = spark.createDataFrame([("m", 1)], "model string, max_retries int")
+    rows = retries.outcomes(retries.schedule(_responses(spark, sf_dir), caps, max_waits=2), "https://host.example/v1?key=k")
+    return rows.select("request_id", "outcome", "waits", F.round("total_wait", 6).alias("total_wait"), "requests", "error")
+
+
+def _verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    confidence = F.when(i % 5 == 0, '"0.5"').when(i % 5 == 1, "1.5").when(i % 5 == 2, '"high"').otherwise("0.25")
+    related = F.when(i % 4 == 0, '"yes"').when(i % 4 == 1, "1").when(i % 4 == 2, "false").otherwise("7")
+    head = F.concat(F.lit('{"failure_class": "'), F.when(i % 3 == 0, "bug").otherwise("flaky_test"), F.lit('", "subcategory": "randomness", '))
+    whole = F.concat(head, F.when(i % 7 == 0, "").otherwise(F.concat(F.lit('"confidence": '), confidence, F.lit(", "))), F.lit('"related_to_diff": '), related, F.lit(', "evidence": ['), F.when(i % 11 == 0, "3").otherwise('"a"'), F.lit('], "more": {}}'))
+    return views.table(spark, sf_dir, "part").select("p_partkey", F.when(i % 13 == 0, F.concat(F.lit("I think: "), F.left(whole, F.lit(40)))).otherwise(whole).alias("text"))
+
+
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers_fn.checked(_verdict_texts(spark, sf_dir), "text")
+    c = F.col("checked")
+    return rows.select("p_partkey", c["valid"].alias("valid"), c["value"]["confidence"].alias("confidence"), c["value"]["related_to_diff"].alias("related_to_diff"), F.array_join(c["value"]["evidence"], "|").alias("evidence"), answers_fn.error_text(c["errors"]).alias("errors"))
+
+
+def settled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five parts to a request, of which the first two answers count at most."""
+    i = F.col("p_partkey")
+    rows = _verdict_texts(spark, sf_dir).select(F.floor(i / 5).alias("request_id"), i.alias("attempt"), "text", (i % 100).alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    settled = answers_fn.settled(rows)
+    return settled.select("request_id", F.col("value").isNotNull().alias("answered"), "repaired", "n_answers", "input_tokens", "output_tokens")
+
+
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("case_id")
+    rows = views.case_results(spark, sf_dir).select("case_id", F.when(i % 29 == 0, "bug").otherwise(F.col("truth_class")).alias("truth_class"), "predicted_class", F.when(i % 31 == 0, True).otherwise(F.col("correct")).alias("correct"), F.when(i % 2 == 0, "late").alias("error"))
+    return expectations.evaluate(rows, expectations.RESULT_RULES, "case_id", samples=3).select("rule", "n_rows", "n_broken", F.array_join("offenders", "|").alias("offenders"))
+
+
+def totals_of_a_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model's cases and hits, and the totals that the same scan took."""
+    i = F.col("case_id")
+    rows = views.case_results(spark, sf_dir).withColumns({"input_tokens": i % 1000, "output_tokens": i % 7, "repaired": i % 9 == 0, "failed": F.col("predicted_class").isNull(), "latency_ms": F.lit(2.0)})
+    seen_rows, seen = run_totals.observed(rows)
+    return run_totals.with_totals(seen_rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct")), seen)
+
+
+def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates with doubled braces, and values that hold braces themselves; one template lacks a value."""
+    i, name = F.col("p_partkey"), F.concat(F.lit("{type} }} "), "p_name")
+    body = F.when(i % 3 == 0, "Part {name} of {{type}}: {type}\n{name}").when(i % 3 == 1, "{{{type}}}").otherwise("{name}{missing}")
+    error = provider.template_error(body, ["name", "type"])
+    good = F.when(error.isNull(), body).otherwise("none")
+    text = provider.rendered_prompt(good, {"name": name, "type": F.col("p_type")})
+    return views.table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), error.alias("error"), F.array_join(provider.placeholders(body), ",").alias("wanted"))
+
+
+def gate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps two cards from being compared: another model and data set, and a report that is lost."""
+    card = lambda model, subset, data: scoring.headline(views.case_results(spark, sf_dir)).select(F.lit(model).alias("model"), F.lit(subset).alias("subset"), (F.col("n_cases") + data).cast("string").alias("dataset_hash"), "macro_f1", F.when(F.lit(data) == 0, F.col("accuracy")).alias("hit_at_1"))
+    return compare.problem_lines(compare.problems(card("a", "all", 0), card("b", "all", 1)))
+
+
+def numbered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the agreed cases in the order of their slugs; evidence is stored for some only."""
+    stored = views.case_results(spark, sf_dir).where("case_id % 37 <> 0").select(F.format_string("case-%07d", "case_id").alias("slug"))
+    rows = curate.reconcile(views.annotations(spark, sf_dir), stored, root="mined")
+    ids = curate.case_ids(rows.where("agreed").select("slug"), "gm", 500).select("slug", "case_id", F.lit("").alias("review"))
+    return ids.unionByName(rows.where(F.contains("review", F.lit("evidence"))).select("slug", F.lit(None).cast("string").alias("case_id"), "review"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "l_condense_logs": condense_logs, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
@@ -368,6 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p_log_ranges": log_ranges, "p_search_reports": search_reports, "p_texts": patch_texts, "p_resolved_paths": resolved_paths, "p_prompt_texts": prompt_texts, "j_answers": answers,
     "k_skip_reasons": skip_reasons, "f_controls": controls, "f_cases": funnel_cases, "a_scorecards": cards, "g_verdict": gate_verdict, "m_notes": model_notes, "u_waits": waits,
     "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "p_repaired": repaired_patches, "p_edited": edited_patches, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
-    "s_job_logs": job_logs, "s_step_logs": step_logs,
+    "s_job_logs": job_logs, "s_step_logs": step_logs, "u_recorded": recorded_usage, "u_retries": request_outcomes, "u_run_totals": totals_of_a_run,
+    "j_checked": checked_answers, "j_settled": settled_answers, "k_broken_rules": broken_rules, "p_rendered": rendered_templates, "g_problems": gate_problems, "d_case_ids": numbered_cases,
     "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }

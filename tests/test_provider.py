@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import provider as pv
@@ -51,6 +52,13 @@ def test_prompts(spark):
     assert one(spark, "Hello {name}\r\n", pv.content_hash) == p.content_hash
     assert one(spark, "no fence", pv.prompt) is None and one(spark, "---\nversion: 1\n---\nx", pv.prompt) is None
     assert one(spark, "Hello {name}", lambda c: pv.rendered_prompt(c, {"name": F.lit("you")})) == "Hello you"
+    assert one(spark, "{a}{b} {{a}} {{{a}}}", lambda c: pv.rendered_prompt(c, {"a": F.lit("{b}"), "b": F.lit("}{"), "unused": F.lit(None)})) == "{b}}{ {a} {{b}}"
+    assert one(spark, "x {a}", lambda c: pv.rendered_prompt(c, {"a": F.lit(None).cast("string")})) is None and one(spark, "", lambda c: pv.rendered_prompt(c, {})) == ""
+    for bad, why in (("{a} {c} {b}", "needs a value for c, b"), ("{a", "a brace stands alone"), ("a } b", "a brace stands alone"), ("{0}", "a brace stands alone")):
+        assert why in one(spark, bad, lambda c: pv.template_error(c, ["a"]))
+        with pytest.raises(Exception, match=why):
+            one(spark, bad, lambda c: pv.rendered_prompt(c, {"a": F.lit("v")}))
+    assert one(spark, "{b} {{x}} {a} {b}", pv.placeholders) == ["b", "a"]
     rows = spark.createDataFrame([("b", "2"), ("a", "1")], "name string, content_hash string")
     assert pv.combined_hash(rows).first()[0] == pv.combined_hash(rows.orderBy("name")).first()[0]
 

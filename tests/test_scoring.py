@@ -85,7 +85,10 @@ def test_gate_at_and_past_tolerance(spark):
 def test_problems_and_flips(spark):
     schema = "model string, subset string, dataset_hash string, macro_f1 double"
     a, b = spark.createDataFrame([("m", "all", "h", 0.5)], schema), spark.createDataFrame([("m", "smoke", "i", None)], schema)
-    assert sorted(r.problem for r in compare.problems(a, b).collect()) == ["dataset_hash differs", "macro_f1 is lost", "subset differs"]
+    assert sorted(tuple(r) for r in compare.problems(a, b).collect()) == [("changed", "dataset changed: h to i"), ("changed", "subset changed: all to smoke"), ("lost", "classification")]
+    assert [tuple(r) for r in compare.problems(a.withColumn("hit_at_1", F.lit(0.5)), a.withColumn("model", F.lit(None).cast("string"))).collect()] == [("changed", "model changed: m to none"), ("lost", "localization")]
+    assert compare.problems(a.select("macro_f1"), a).count() == 0 and compare.problems(b.select("macro_f1").withColumnRenamed("macro_f1", "x"), a).count() == 0
+    assert [r.line for r in compare.problem_lines(compare.problems(a, b)).orderBy("ord").collect()] == ["Reports lost since the baseline: classification", "Not comparable: subset changed: all to smoke; dataset changed: h to i"]
     was, now = ([(1, True), (2, False), (3, True)], [(1, False), (2, True), (4, False)])
     rows = compare.flips(spark.createDataFrame(was, "case_id int, correct boolean"), spark.createDataFrame(now, "case_id int, correct boolean")).collect()
     assert sorted(map(tuple, rows)) == [(1, "newly_failing"), (2, "newly_passing")]
