@@ -100,7 +100,7 @@ _CHECKED = f"""NOT ({_NO_JSON}) AND {_I} % 3 <> 0 AND {_I} % 4 <> 3 AND {_I} % 7
     CASE WHEN NOT ({_NO_JSON}) AND {_I} % 7 <> 0 THEN CASE {_I} % 5 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN 1.5 WHEN 2 THEN NULL ELSE 0.25 END END AS confidence,
     CASE WHEN NOT ({_NO_JSON}) THEN CASE {_I} % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END END AS related_to_diff,
     CASE WHEN NOT ({_NO_JSON}) AND {_I} % 11 <> 0 THEN 'a' END AS evidence,
-    CASE WHEN {_NO_JSON} THEN 'the answer must be a JSON object, got I think: ' || rtrim(left('{{"failure_class": "' || CASE WHEN {_I} % 3 = 0 THEN 'bug' ELSE 'flaky_test' END || '", "subcategory": "randomness", ', 40) ELSE concat_ws(chr(10),
+    CASE WHEN {_NO_JSON} THEN 'the answer must be a JSON object, got I think: ' || rtrim(left('{{"failure_class": "' || CASE WHEN {_I} % 3 = 0 THEN 'bug' ELSE 'flaky_test' END || '", "subcategory": "randomness", ', 40)) ELSE concat_ws(chr(10),
         CASE WHEN {_I} % 3 = 0 THEN 'failure_class must be one of {", ".join(registry.FAILURE_CLASSES)}, got bug' END, CASE WHEN {_I} % 4 = 3 THEN 'related_to_diff must be true or false, got 7' END,
         CASE WHEN {_I} % 7 = 0 THEN 'confidence is missing' WHEN {_I} % 5 = 2 THEN 'confidence must be a number, got high' WHEN {_I} % 5 = 1 THEN 'confidence must be at most 1, got 1.5' END,
         CASE WHEN {_I} % 11 = 0 THEN 'evidence must be a list of texts, got [3]' END) END AS errors"""
