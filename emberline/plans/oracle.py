@@ -245,4 +245,10 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT * FROM a WHERE NOT (i % 20 = 0 AND fc <> 'code_change') AND i % 17 <> 0 AND NOT (i % 3 = 1 AND i % 13 = 0))
         SELECT slug, 'gm-' || printf('%04d', row_number() OVER (ORDER BY slug) + 499) AS case_id, '' AS review FROM g WHERE i % 37 <> 0
         UNION ALL SELECT slug, NULL, slug || ': evidence missing from mined/' || slug FROM g WHERE i % 37 = 0""",
+    "d_merged": """WITH c AS (SELECT o_orderkey AS i, o_orderkey % 4 = 1 AS told FROM orders)
+        SELECT 'c-' || i AS case_id, CASE WHEN told AND i % 8 = 1 THEN 'infra_environment' WHEN i % 3 = 0 THEN 'flaky_test' ELSE 'code_change' END AS failure_class, (told AND i % 16 = 5) OR i % 7 = 0 AS human,
+            CAST(CASE WHEN told AND i % 3 <> 0 THEN 2 ELSE i % 3 END AS INTEGER) AS asked, CAST(CASE WHEN told AND i % 3 <> 0 THEN i % 3 END AS INTEGER) AS agreed,
+            CASE WHEN i % 4 = 0 THEN 'note ' || i WHEN told THEN 'seen' END AS notes, CASE WHEN i % 5 = 0 OR (told AND (i % 16 = 5 OR i % 3 = 2)) THEN 'smoke' END AS tags FROM c""",
+    "s_case_folders": """SELECT 'c-' || s_suppkey AS case_id, 'é " ' || s_suppkey AS title, s_suppkey + 31063661240 AS run_id, CASE WHEN s_suppkey % 3 = 0 THEN 'flaky_test' ELSE 'code_change' END AS failure_class,
+        s_suppkey % 2 = 0 AS related_to_diff, CASE WHEN s_suppkey % 4 = 0 THEN 'note ' || s_suppkey END AS notes, CASE WHEN s_suppkey % 5 = 0 THEN 'smoke' END AS tags, 'log of ' || s_name || chr(10) || 'end' AS log FROM supplier""",
 }

@@ -12,7 +12,7 @@ from emberline.functions import answers as answers_fn
 from emberline.functions import provider
 from emberline.functions import text as tx
 from emberline.operators import classify, compare, condense, curate, edits, expectations, patches, retries, run_totals, scoring, usage
-from emberline.sources import archives, views
+from emberline.sources import archives, case_folders, case_table, cases, views
 from emberline.sources.usage_store import UsageStore
 from emberline.sources.workspace import new_path
 
@@ -450,6 +450,41 @@ def numbered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.unionByName(rows.where(F.contains("review", F.lit("evidence"))).select("slug", F.lit(None).cast("string").alias("case_id"), "review"))
 
 
+def _stored_cases(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Cases made of the rows of a table with a whole number as its key."""
+    table, key = {"orders": ("orders", "o_orderkey"), "supplier": ("supplier", "s_suppkey")}[name]
+    i = F.col(key)
+    text = lambda s: F.concat(F.lit(s), i.cast("string"))
+    inputs = F.struct(text("org/r").alias("repo"), (i + 31063661240).alias("run_id"), F.array(F.lit("logs/failed_job.txt")).alias("log_files"))
+    truth = F.struct(F.when(i % 3 == 0, "flaky_test").otherwise("code_change").alias("failure_class"), F.lit("x").alias("subcategory"), (i % 2 == 0).alias("related_to_diff"))
+    origin = F.struct(F.lit("synthetic").alias("source"), (i % 7 == 0).alias("verified_by_human"), F.when(i % 4 == 0, text("note ")).alias("notes"), (i % 3).cast("int").alias("independent_adjudications"))
+    made = F.to_json(F.struct(text("c-").alias("case_id"), text("é \" ").alias("title"), inputs.alias("inputs"), truth.alias("ground_truth"), origin.alias("provenance"), F.when(i % 5 == 0, F.array(F.lit("smoke"))).alias("tags")))
+    return views.table(spark, sf_dir, table).select(F.from_json(made, cases.CASE).alias("c")).select("c.*")
+
+
+def merged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases after decisions on a quarter of them were merged in, twice."""
+    path = new_path(spark, "cases")
+    case_table.store(_stored_cases(spark, sf_dir, "orders"), path, 16)
+    i = F.col("o_orderkey")
+    told = views.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 1").select(F.concat(F.lit("c-"), i.cast("string")).alias("case_id"), F.when(i % 8 == 1, "infra_environment").alias("failure_class"), F.lit(None).cast("string").alias("subcategory"), F.lit(None).cast("boolean").alias("related_to_diff"), F.when(i % 3 != 0, 2).alias("adjudicators"), F.when(i % 3 != 0, (i % 3).cast("int")).alias("agreeing"), (i % 16 == 5).alias("human"), F.lit(None).cast("date").alias("verified_date"), F.lit("seen").alias("note"))
+    for _ in range(2):
+        case_table.merge(spark, path, told, 16)
+    p = F.col("provenance")
+    return case_table.stored(spark, path).select("case_id", "ground_truth.failure_class", p["verified_by_human"].alias("human"), p["independent_adjudications"].alias("asked"), p["adjudicators_agreeing"].alias("agreed"), p["notes"].alias("notes"), F.array_join("tags", ",").alias("tags"))
+
+
+def written_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of suppliers written as folders with their logs, and read from there."""
+    path = new_path(spark, "case-folders")
+    made = _stored_cases(spark, sf_dir, "supplier")
+    logs = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("c-"), F.col("s_suppkey").cast("string")).alias("case_id"), F.lit("logs/failed_job.txt").alias("name"), F.concat(F.lit("log of "), "s_name", F.lit("\r\nend")).alias("text"))
+    case_folders.write_folders(case_folders.folder_rows(made, logs), path)
+    back = cases.load_cases(spark, path)
+    read = cases.case_logs(back, cases.text_files(spark, path, "*.txt"))
+    return back.join(read, "case_id").select("case_id", "title", "inputs.run_id", "ground_truth.failure_class", "ground_truth.related_to_diff", "provenance.notes", F.array_join("tags", ",").alias("tags"), "log")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l_condense_excerpts": condense_excerpts, "l_condense_small_budget": condense_small, "l_condense_logs": condense_logs, "c_clean_lines": clean_lines,
     "k_regex_rules": regex_rules, "k_majority": majority, "k_signals": signals,
@@ -463,5 +498,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p_secrets": secrets, "p_patch_policy": patch_policy, "p_search_log": searched, "p_repaired": repaired_patches, "p_edited": edited_patches, "j_redacted_urls": url_forms, "j_run_urls": run_urls,
     "s_job_logs": job_logs, "s_step_logs": step_logs, "u_recorded": recorded_usage, "u_retries": request_outcomes, "u_run_totals": totals_of_a_run,
     "j_checked": checked_answers, "j_settled": settled_answers, "k_broken_rules": broken_rules, "p_rendered": rendered_templates, "g_problems": gate_problems, "d_case_ids": numbered_cases,
+    "d_merged": merged_decisions, "s_case_folders": written_folders,
     "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }
