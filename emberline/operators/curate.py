@@ -162,17 +162,20 @@ def canonical_json(df: DataFrame, columns: list[str]) -> Column:
     kind = df.select(*columns).schema
     fields = [in_key_order(F.col(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
     json = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    lower = json
     for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # escapes in lower case, unless their back slash is itself escaped
-        json = F.regexp_replace(json, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    json = F.when(json.rlike(r"\\u00(0[BEF]|1[A-F])"), lower).otherwise(json)
     unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
 
     def escaped(c: Column) -> Column:
         code = F.ascii(c)
         high, low = F.floor((code - 0x10000) / 0x400) + 0xD800, (code - 0x10000) % 0x400 + 0xDC00
-        return F.when(code < 0x80, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        return F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
 
-    plain = F.array_join(F.transform(F.split(json, ""), escaped), "")
-    return F.when(json.rlike(r"[^\x00-\x7F]"), plain).otherwise(json)
+    signs = F.array_distinct(F.split(F.regexp_replace(json, r"[\x00-\x7E]+", ""), ""))
+    plain = F.aggregate(signs, json, lambda text, c: F.when(c == "", text).otherwise(F.replace(text, c, escaped(c))))
+    return F.when(json.rlike(r"[^\x00-\x7E]"), plain).otherwise(json)
 
 
 def case_blocks(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -202,6 +205,7 @@ def content_hash(blocks: DataFrame, key: str = "case_id") -> DataFrame:
     """One row: dataset_hash, 12 hex digits of the SHA-256 of blocks(key, block) one after the other in the order of key.
 
     The digest is a fold over all blocks, so one task takes them in order, one at a time; bucketed_hash() has no such task.
+    All that is before, making the blocks and sorting them, is spread over tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +215,8 @@ def content_hash(blocks: DataFrame, key: str = "case_id") -> DataFrame:
                 digest.update(block.encode())
         yield pa.RecordBatch.from_pydict({"dataset_hash": [digest.hexdigest()[:12]]})
 
-    return blocks.select(key, "block").repartition(1).sortWithinPartitions(key, "block").mapInArrow(run, "dataset_hash string")
+    folded = blocks.select(key, "block").repartition(1).sortWithinPartitions(key, "block").mapInArrow(run, "dataset_hash string")
+    return folded.agg(F.coalesce(F.max("dataset_hash"), F.lit(hashlib.sha256().hexdigest()[:12])).alias("dataset_hash"))  # without blocks, no task runs
 
 
 def manifest(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -223,6 +228,25 @@ def manifest(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return digest.crossJoin(F.broadcast(listed)).select(F.lit(1).alias("schema_version"), "dataset_hash", "case_count", "cases")
 
 
+def manifest_lines(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(ord, case_id, value): the manifest's text by lines, in the order of ord, then case_id: a head, as many lines as a case
+    has for each of them in one row, and a foot. Nothing holds all cases: they can be sorted and written one after the other."""
+    told = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    listed = F.when(F.size(tags) == 0, "[]").otherwise(F.concat(F.lit("[\n        "), F.array_join(F.transform(tags, told), ",\n        "), F.lit("\n      ]")))
+    fields = [F.concat(F.lit(f'      "{name}": '), told(F.col(c))) for name, c in (("case_id", "case_id"), ("failure_class", "ground_truth.failure_class"), ("source", "provenance.source"))]
+    entry = F.concat(F.lit("    {\n"), F.concat_ws(",\n", *fields, F.concat(F.lit('      "tags": '), listed)), F.lit("\n    }"))
+    # One row: how many cases there are, and which is the last, after which no comma stands.
+    counts = cases.agg(F.count("*").alias("case_count"), F.max("case_id").alias("last"))
+    head = content_hash(case_blocks(cases, files)).crossJoin(F.broadcast(counts))
+    texts = [F.lit('{\n  "schema_version": 1'), F.concat(F.lit('  "dataset_hash": '), told(F.col("dataset_hash"))), F.concat(F.lit('  "case_count": '), F.col("case_count").cast("string"))]
+    begin = F.concat(F.concat_ws(",\n", *texts), F.lit(',\n  "cases": ['), F.when(F.col("case_count") == 0, "]\n}").otherwise(""))
+    first = head.select(F.lit(0).alias("ord"), F.lit("").alias("case_id"), begin.alias("value"))
+    end = counts.where("case_count > 0").select(F.lit(2).alias("ord"), F.lit("").alias("case_id"), F.lit("  ]\n}").alias("value"))
+    each = cases.join(F.broadcast(counts), F.lit(True)).select(F.lit(1).alias("ord"), "case_id", F.concat(entry, F.when(F.col("case_id") == F.col("last"), "").otherwise(",")).alias("value"))
+    return first.unionByName(each).unionByName(end)
+
+
 def manifest_text(row: DataFrame) -> DataFrame:
     """(value): a manifest as its file has it: two spaces a level, line feeds, one at the end."""
     told = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
@@ -238,13 +262,13 @@ def manifest_text(row: DataFrame) -> DataFrame:
     return row.select(F.concat(F.lit("{\n"), F.concat_ws(",\n", *head, cases), F.lit("\n}\n")).alias("value"))
 
 
-def bucketed_hash(rows: DataFrame, key: str, digest: str, buckets: int = 4096) -> DataFrame:
-    """One row: dataset_hash, 12 hex digits, the same in whatever order rows come.
+def bucketed_hash(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """One row: dataset_hash, 12 hex digits, the same in whatever order rows come; repeated rows count as often as they are there.
 
-    Digests of rows are joined in the order of their key within buckets of a hash of it, then those of the buckets: no task
-    has more than a bucket.
+    Each row's key and digest are hashed; the hashes' eight numbers of 32 bits are summed over all rows, and the sums are hashed. Sums come
+    together from all tasks, so nothing is gathered or sorted.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))
-    parts = rows.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(digest).alias("d")))), lambda x: F.concat(x["k"], F.lit("\u0000"), x["d"])), "\u0000"), 256).alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
-    return parts.agg(F.left(F.sha2(joined, 256), F.lit(12)).alias("dataset_hash"))
+    each = rows.select(F.sha2(F.concat_ws("\0", F.col(key).cast("string"), F.col(digest)), 256).alias("h"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias(f"s{i}") for i in range(8)]
+    sums = F.concat_ws(",", *[F.col(f"s{i}").cast("string") for i in range(8)])
+    return each.agg(*lanes).select(F.left(F.sha2(sums, 256), F.lit(12)).alias("dataset_hash"))

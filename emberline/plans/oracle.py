@@ -93,6 +93,7 @@ _JOB = f"CASE event_type WHEN 'view' THEN {quoted(LONG_JOB)} WHEN 'click' THEN '
 ARCHIVED = f"""m AS (SELECT 'run-' || (event_id // {EVENTS_A_RUN}) || '.zip' AS path, {_JOB} AS job, e.user_id % 3 + 1 AS step, v1.ts, event_id, line FROM v1 JOIN (SELECT event_id, event_type, user_id FROM events) e USING (event_id)),
     w AS (SELECT path, job, replace(replace(job, '/', ' '), ':', ' ') AS name FROM (SELECT DISTINCT path FROM m), (SELECT unnest([{quoted(LONG_JOB)}, 'build / click', 'error', 'purchase', 'signup', 'build']) AS job))"""
 
+_ALL_DIGEST = " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR), '-') || ':' || coalesce(CAST({c} AS VARCHAR), '')" for c in ("case_id", "model", "day", "truth_class", "predicted_class", "correct", "subcategory_correct", "related_to_diff_correct"))
 _I = "p_partkey"
 _NO_JSON = f"{_I} % 13 = 0"
 #: Of the texts that checked_answers() makes; errors in the order of the fields.
@@ -251,4 +252,6 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN i % 4 = 0 THEN 'note ' || i WHEN told THEN 'seen' END AS notes, CASE WHEN i % 5 = 0 OR (told AND (i % 16 = 5 OR i % 3 = 2)) THEN 'smoke' END AS tags FROM c""",
     "s_case_folders": """SELECT 'c-' || s_suppkey AS case_id, 'é " ' || s_suppkey AS title, s_suppkey + 31063661240 AS run_id, CASE WHEN s_suppkey % 3 = 0 THEN 'flaky_test' ELSE 'code_change' END AS failure_class,
         s_suppkey % 2 = 0 AS related_to_diff, CASE WHEN s_suppkey % 4 = 0 THEN 'note ' || s_suppkey END AS notes, CASE WHEN s_suppkey % 5 = 0 THEN 'smoke' END AS tags, 'log of ' || s_name || chr(10) || 'end' AS log FROM supplier""",
+    "h_bucketed_hash": f"""WITH {v2()}, d AS (SELECT case_id, sha256({_ALL_DIGEST}) AS digest FROM v2), h AS (SELECT sha256(case_id || chr(0) || digest) AS h FROM d)
+        SELECT left(sha256(concat_ws(',', {', '.join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))})), 12) AS dataset_hash FROM h""",
 }

@@ -11,7 +11,7 @@ from emberline import registry
 from emberline.functions import answers as answers_fn
 from emberline.functions import provider
 from emberline.functions import text as tx
-from emberline.operators import classify, compare, condense, curate, edits, expectations, patches, retries, run_totals, scoring, usage
+from emberline.operators import classify, compare, condense, curate, edits, evidence, expectations, patches, retries, run_totals, scoring, usage
 from emberline.sources import archives, case_folders, case_table, cases, views
 from emberline.sources.usage_store import UsageStore
 from emberline.sources.workspace import new_path
@@ -149,12 +149,13 @@ def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of the case table: canonical JSON of each case, a NUL after it, in the order of its id."""
-    rows = views.case_results(spark, sf_dir).select(F.format_string("case-%09d", "case_id").alias("case_id"), "truth_class", "predicted_class", "correct", F.struct(F.col("model"), F.concat(F.col("day"), F.lit(" é\"")).alias("day")).alias("run"))
+    # Making the JSON is the dear part; the table may be one file, and so one task.
+    rows = views.case_results(spark, sf_dir).repartition("case_id").select(F.format_string("case-%09d", "case_id").alias("case_id"), "truth_class", "predicted_class", "correct", F.struct(F.col("model"), F.concat(F.col("day"), F.lit(" é\"")).alias("day")).alias("run"))
     return curate.content_hash(rows.select("case_id", F.concat(curate.canonical_json(rows, rows.columns), F.lit("\0")).alias("block")))
 
 
 def bucketed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of the case table that needs no order of all rows; no SQL twin, as its buckets go by Spark's own hash."""
+    """A digest of the case table that needs no order of rows."""
     rows = views.case_results(spark, sf_dir)
     return curate.bucketed_hash(rows.withColumn("digest", curate.row_digest(*[F.col(c) for c in rows.columns])), "case_id", "digest")
 
@@ -200,8 +201,8 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patches.search_log(F.col("log"), F.lit("user 7"))
-    return views.logs(spark, sf_dir).select("log_id", F.size(found["hits"]).alias("n_hits"), found["more"].alias("more"), F.get(found["hits"], F.lit(0))["n"].alias("first_line"))
+    found = evidence.searches(views.numbered_lines(spark, sf_dir), ["user 7"])
+    return found.select("log_id", F.size("hits").alias("n_hits"), F.col("more").cast("int").alias("more"), F.get("hits", F.lit(0))["n"].alias("first_line"))
 
 
 def repaired_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +230,15 @@ def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges that the cap cuts, that end beyond the log, that end before they start, and that start outside."""
-    logs = views.logs(spark, sf_dir)
-    ranges = spark.createDataFrame([(1, 3, 10), (2, 5, 900), (3, 40, 60), (4, 9, 2), (5, 0, 5), (6, 100000, 100001)], "ord int, first int, last int")
-    return logs.crossJoin(F.broadcast(ranges)).select("log_id", "ord", F.md5(patches.log_range(F.col("log"), F.col("first"), F.col("last"))).alias("text_md5"))
+    lines = views.numbered_lines(spark, sf_dir)
+    told = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("first"), F.lit(b).alias("last")) for o, a, b in [(1, 3, 10), (2, 5, 900), (3, 40, 60), (4, 9, 2), (5, 0, 5), (6, 100000, 100001)]])
+    wanted = lines.select("log_id").distinct().select("log_id", F.explode(told).alias("r")).select("log_id", "r.*")
+    return evidence.ranges(lines, wanted).select("log_id", "ord", F.md5("text").alias("text_md5"))
 
 
 def search_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = spark.createDataFrame([(1, "user 7"), (2, "it's nowhere"), (3, 'neither "this" nor it\'s')], "ord int, needle string")
-    return views.logs(spark, sf_dir).crossJoin(F.broadcast(needles)).select("log_id", "ord", F.md5(patches.search_report(F.col("log"), F.col("needle"))).alias("text_md5"))
+    texts = evidence.search_texts(views.numbered_lines(spark, sf_dir), ["user 7", "it's nowhere", 'neither "this" nor it\'s'])
+    return texts.select("log_id", "ord", F.md5("text").alias("text_md5"))
 
 
 def patch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,8 +129,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(text: DataFrame, path: str) -> None:
-    """manifest_text() as one file in a new folder."""
-    text.select(F.regexp_replace("value", "\\n$", "")).coalesce(1).write.text(path)
+    """manifest_text(), or manifest_lines() in their order, as one file in a new folder. A line ends each row, so one task writes row after row."""
+    if "ord" in text.columns:
+        text.repartition(1).sortWithinPartitions("ord", "case_id").select("value").write.text(path)
+    else:
+        text.select(F.regexp_replace("value", "\\n$", "")).coalesce(1).write.text(path)
 
 
 def archive_logs(archives: DataFrame) -> DataFrame:

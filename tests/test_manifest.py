@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -69,11 +70,33 @@ def test_manifest_round_trip(spark, folder, tmp_path):
     assert text.first().value == json.dumps(want, indent=2) + "\n"
     cs.write_manifest(text, str(tmp_path / "out"))
     assert cs.read_manifest(spark, str(tmp_path / "out")).first().asDict(recursive=True) == want
+    lines = curate.manifest_lines(cases, cs.text_files(spark, str(path / "cases")))
+    cs.write_manifest(lines, str(tmp_path / "lines"))
+    (written,) = (tmp_path / "lines").glob("part-*")
+    assert written.read_text() == text.first().value
+    none = curate.manifest_lines(cases.where("false"))
+    assert "\n".join(r.value for r in none.orderBy("ord").collect()) + "\n" == curate.manifest_text(curate.manifest(cases.where("false"))).first().value
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError):
         cs.read_manifest(spark, str(tmp_path / "bad.json"))
 
 
+def test_json_of_signs_equals_pythons(spark):
+    draw = random.Random(5)
+    signs = ["a", "\\", '"', "\x0b", "\x1b", "\x1f", "\x7f", "\\u001B", "é", "漢", "\U0001f600", "\U0010ffff", "\u2028", "/", "\n", "\t", "\ud7ff"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 12))) for _ in range(500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "b long, a string")
+    got = {r.b: r.j for r in rows.select("b", curate.canonical_json(rows, ["b", "a"]).alias("j")).collect()}
+    assert got == {i: json.dumps({"a": t, "b": i}, separators=(",", ":")) for i, t in enumerate(texts)}
+
+
+def test_a_digest_without_an_order(spark):
+    rows = [(i % 50, f"d{i % 7}") for i in range(200)]
+    one = lambda rs: curate.bucketed_hash(spark.createDataFrame(rs, "k long, d string").repartition(3), "k", "d").first()[0]
+    assert one(rows) == one(rows[::-1]) != one(rows[:-1]) and one(rows) != one([*rows, rows[0]])
+    assert len(curate.bucketed_hash(spark.createDataFrame([], "k long, d string"), "k", "d").first()[0]) == 12
+
+
 def test_repeated_ids_are_an_error(spark, folder):
     path, _ = folder
     again = path / "cases" / "copy"
