@@ -18,8 +18,6 @@ from emberline.llm.shingles import PUNCTUATED, mix, word_hashes
 
 BLOCK_WORDS = 16
 SLICE_BYTES = 1 << 20
-#: Words beyond so many different ones share their terms with others.
-MAX_TERMS = 1 << 17
 #: Cells of terms times item passages that a worker keeps ready; beyond that scores come from vectors.
 PULL_CELLS = 1 << 24
 
@@ -34,6 +32,8 @@ class Settings:
     words, or `paraphrased` of them together with `answered` of its answer's words, in order and within
     `answer_spread` times as many words (and two more). pass_words: words of items that are searched in one pass over the documents,
     some 100 bytes each are broadcast; rows of one item_id are in one pass. The space is that of all items, so it changes no result.
+    term_slots: a word's term is its hash modulo this, however many words there are, so words may share a term, more of them the more items there
+    are; that blurs cosines, never the checks. Tasks hold sketch_rows x term_slots numbers at most.
     """
 
     passage_blocks: int = 3
@@ -47,22 +47,24 @@ class Settings:
     answered: float = 0.8
     answer_spread: float = 1.5
     pass_words: int = 2_000_000
+    term_slots: int = 1 << 17
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of all words of the items, sorted. The terms are their places; beyond MAX_TERMS words they are dealt round."""
+    """Hashes of all words of the items, sorted, and the term of each: the place of its slot among the slots that are taken."""
 
     words: np.ndarray
+    slots: int
     table: np.ndarray = field(init=False)
+    term: np.ndarray = field(init=False)
+    size: int = field(init=False)
 
     def __post_init__(self):
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.words & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    @property
-    def size(self) -> int:
-        return min(len(self.words), MAX_TERMS)
+        taken, term = np.unique(mix(self.words) % np.uint64(self.slots), return_inverse=True)
+        self.term, self.size = term.astype(np.int64), len(taken)
 
     def terms(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, terms): which of the words are in the vocabulary, and their terms."""
@@ -70,7 +72,7 @@ class Vocabulary:
         word = np.searchsorted(self.words, hashes[at])
         word[word == len(self.words)] = 0
         known = self.words[word] == hashes[at]
-        return at[known], word[known] % max(self.size, 1)
+        return at[known], self.term[word[known]]
 
 
 @dataclass
@@ -260,9 +262,11 @@ def searches(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> Itera
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     wanted = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", answer.alias("answer"))
     passages = scratch.written(item_passages(wanted, settings.item_words), "item-passages")
-    words = [np.unique(np.concatenate(part.passages)) for part in passes(passages, settings.pass_words)]
-    if words:
-        vocabulary = Vocabulary(np.unique(np.concatenate(words)))
+    words = np.zeros(0, np.uint64)
+    for part in passes(passages, settings.pass_words):  # 8 bytes for each different word of all items
+        words = np.unique(np.concatenate([words, *part.passages]))
+    if len(words):
+        vocabulary = Vocabulary(words, settings.term_slots)
         space = latent_space(vocabulary, passes(passages, settings.pass_words), *sketch(docs, vocabulary, settings.sketch_rows), settings)
         for part in passes(passages, settings.pass_words):
             yield vocabulary, space, part

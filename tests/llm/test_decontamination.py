@@ -153,3 +153,19 @@ def test_columns_of_any_name_stay(spark, make_docs):
     docs = make_docs([(1, "a b c d e f g h"), (2, "other words here")]).selectExpr("*", "7 AS leak_key", "text AS words")
     kept = decontaminate(docs, spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")).collect()
     assert [(r.doc_id, r.leak_key, r.words) for r in kept] == [(2, 7, "other words here")]
+
+
+def test_words_that_share_terms_lose_no_leak(spark, make_docs):
+    """Some 10 words to a term, as with a million item words: cosines blur a little, so a few more pairs get to the checks, and no leak is lost."""
+    docs, items, truth = setting()
+    rng = random.Random(2)
+    others = [(1000 + i, " ".join(rng.choice(COMMON) if rng.random() < 0.4 else f"w{rng.randrange(20_000)}" for _ in range(40))) for i in range(1500)]
+    benchmark = spark.createDataFrame(items + others, "item_id long, text string")
+    vocabulary = dc.Vocabulary(np.unique(np.concatenate([hashed(t) for _, t in items + others])), 2048)
+    assert vocabulary.size <= 2048 and len(vocabulary.words) > 16_000
+    found = {(r.doc_id, r.item_id) for r in find_leaks(make_docs(docs), benchmark, Settings(term_slots=2048)).collect()}
+    assert truth <= found and len(found - truth) <= 0.1 * len(truth)
+    whole = np.arange(200_000, dtype=np.uint64) * np.uint64(7919)
+    many = dc.Vocabulary(whole, 1 << 17)
+    at, term = many.terms(whole[::5])
+    assert len(at) == len(whole[::5]) and term.max() < many.size < 1 << 17 and (term == many.term[::5]).all()
