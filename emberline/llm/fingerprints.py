@@ -305,7 +305,7 @@ def _drawn(reach: int, first: int, bands: int, bits: int) -> tuple[np.ndarray, n
     return places, mix(np.arange(1, bits + 1, dtype=np.uint64))
 
 
-def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None, keys_at_once: int = 4_000_000) -> DataFrame:
+def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None, keys_at_once: int = 3_000_000) -> DataFrame:
     """prints(fingerprint, doc_id, ...) with component_id: the smallest doc_id reachable by likeness of least or more.
 
     Equal fingerprints are one class. A class is found by band keys over the leading steps of its walk: see reaches() and
@@ -314,14 +314,14 @@ def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01
     near are paired by link_buckets() and verified on whole fingerprints. A null doc_id has no component; an empty text is alike to empty
     ones only.
 
-    Keys are made and met some bands at a time, each time from the fingerprints: first 2, then 12 at a time, or
+    Keys are made and met some bands at a time, each time from the fingerprints: first 2, then 6 at a time, or
     as many as make keys_at_once keys.
     So what a shuffle holds on disk does not grow with the number of bands.
     """
     classes_ = written(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "print-classes")
     count = classes_.count()
     chosen = band_choice(count, least, missed)
-    at_once = max(12, keys_at_once // (2 * max(count, 1)))
+    at_once = max(6, keys_at_once // (2 * max(count, 1)))
     bands, bits = bands or chosen[0], bits or chosen[1]
     nearness = Nearness(apart=SKETCH_APART)
 
