@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from emberline import registry
+from emberline.plans import outside
 from emberline.sources.views import EVENTS_A_RUN, LINES, LONG_JOB, STEPS
 
 
@@ -254,4 +255,6 @@ ORACLE_SQL: dict[str, str] = {
         s_suppkey % 2 = 0 AS related_to_diff, CASE WHEN s_suppkey % 4 = 0 THEN 'note ' || s_suppkey END AS notes, CASE WHEN s_suppkey % 5 = 0 THEN 'smoke' END AS tags, 'log of ' || s_name || chr(10) || 'end' AS log FROM supplier""",
     "h_bucketed_hash": f"""WITH {v2()}, d AS (SELECT case_id, sha256({_ALL_DIGEST}) AS digest FROM v2), h AS (SELECT sha256(case_id || chr(0) || digest) AS h FROM d)
         SELECT left(sha256(concat_ws(',', {', '.join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))})), 12) AS dataset_hash FROM h""",
-}
+    "t_widest": f"WITH {v2()}, {CLASSES}, {headline('v2', 'model, day')}, r AS (SELECT model, 'accuracy' AS metric, accuracy AS value FROM head UNION ALL SELECT model, 'coverage', coverage FROM head), s AS (SELECT model, metric, max(value) - min(value) AS spread FROM r GROUP BY ALL) SELECT model, metric, round(spread, 9) AS spread FROM s QUALIFY row_number() OVER (PARTITION BY model ORDER BY spread DESC, metric DESC) = 1",
+    "d_first_candidates": f"WITH {V6}, c AS (SELECT repo, ordinal FROM v6 WHERE NOT (rerun_passed AND attempt > 1) AND conclusion NOT IN ('cancelled', 'timed_out') AND step IS NOT NULL AND NOT ({_SETUP}) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ordinal) <= 2) SELECT * FROM c ORDER BY ordinal LIMIT 50",
+} | outside.ORACLE_SQL

@@ -12,6 +12,7 @@ from emberline.functions import answers as answers_fn
 from emberline.functions import provider
 from emberline.functions import text as tx
 from emberline.operators import classify, compare, condense, curate, edits, evidence, expectations, patches, retries, run_totals, scoring, usage
+from emberline.plans import outside
 from emberline.sources import archives, case_folders, case_table, cases, views
 from emberline.sources.usage_store import UsageStore
 from emberline.sources.workspace import new_path
@@ -503,3 +504,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_merged": merged_decisions, "s_case_folders": written_folders,
     "u_model_costs": model_costs, "u_daily": daily_usage, "u_preflight": preflight, "u_token_bucket": token_buckets,
 }
+QUERIES |= outside.QUERIES
