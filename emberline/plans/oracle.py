@@ -257,4 +257,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT left(sha256(concat_ws(',', {', '.join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))})), 12) AS dataset_hash FROM h""",
     "t_widest": f"WITH {v2()}, {CLASSES}, {headline('v2', 'model, day')}, r AS (SELECT model, 'accuracy' AS metric, accuracy AS value FROM head UNION ALL SELECT model, 'coverage', coverage FROM head), s AS (SELECT model, metric, max(value) - min(value) AS spread FROM r GROUP BY ALL) SELECT model, metric, round(spread, 9) AS spread FROM s QUALIFY row_number() OVER (PARTITION BY model ORDER BY spread DESC, metric DESC) = 1",
     "d_first_candidates": f"WITH {V6}, c AS (SELECT repo, ordinal FROM v6 WHERE NOT (rerun_passed AND attempt > 1) AND conclusion NOT IN ('cancelled', 'timed_out') AND step IS NOT NULL AND NOT ({_SETUP}) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ordinal) <= 2) SELECT * FROM c ORDER BY ordinal LIMIT 50",
+    "p_repaired": f"""WITH p AS (SELECT p_partkey, p_partkey % 23 = 0 AS blank, CASE WHEN p_partkey % 29 = 0 THEN 222 WHEN p_partkey % 4 >= 2 AND (p_partkey % 10 = 0 OR p_partkey % 15 = 0) THEN 3 ELSE 2 END AS n, {_BODY} AS patch FROM part)
+        SELECT p_partkey AS patch_id, NOT blank AS needs_repair, md5(CASE WHEN blank THEN patch ELSE replace(patch, '@@ -1,2 +1,2 @@', '@@ -1,2 +1,' || n || ' @@') END) AS repaired_md5 FROM p""",
+    "p_edited": """WITH p AS (SELECT *, p_partkey % 5 = 0 AS loose, chr(10) AS nl FROM part), k AS (SELECT *, 'src/p.txt matched ' || CASE WHEN loose THEN 'after ignoring indentation' ELSE 'exactly' END AS placed FROM p)
+        SELECT p_partkey AS case_id, 'diff --git a/src/p.txt b/src/p.txt' || nl || '--- a/src/p.txt' || nl || '+++ b/src/p.txt' || nl || CASE WHEN loose
+            THEN '@@ -1,3 +1,2 @@' || nl || ' name:' || nl || '-    ' || p_name || nl || '-    ' || p_type || nl || '+changed' || nl ELSE '@@ -1,3 +1,3 @@' || nl || ' name:' || nl || '     ' || p_name || nl || '-    ' || p_type || nl || '+    changed' || nl END AS patch,
+            placed, '' AS missed, true AS ok, 'placed 1 of 1 edits; ' || placed AS report FROM k""",
 } | outside.ORACLE_SQL
