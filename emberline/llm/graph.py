@@ -193,7 +193,9 @@ def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, ne
 def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearness, block_rows: int, block_bytes: int) -> DataFrame:
     """Links (a, b) between different labels in rows(key, v, n, sketch, label, main, connected, size, bytes), but for those of main.
 
-    Within a block, a pair that earlier links of the block connect is not compared.
+    Members meet twice. First by sizes and sketches only: a member that is near to none of another label in its block goes, as nearly all do in
+    buckets that meet by accident. Those that stay meet again with their payloads, and near pairs are verified; a pair that earlier links
+    of the block connect is not compared.
     """
     blocks = lambda c: F.ceil(F.greatest(c / block_rows, F.col("bytes") * c / F.col("size") / block_bytes)).cast("int")
     rows = rows.withColumn("base_blocks", blocks(F.col("size"))).withColumn("probe_blocks", blocks(F.col("size") - F.col("connected")))
@@ -201,8 +203,24 @@ def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearnes
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = rows.withColumn("i", spread("base_blocks")).withColumn("j", each("probe_blocks")).withColumn("probe", F.lit(False))
     probes = rows.where("label <> main").withColumn("j", spread("probe_blocks")).withColumn("i", each("base_blocks")).withColumn("probe", F.lit(True))
-    both = base.unionByName(probes).join(members, "v").select("key", "i", "j", "probe", "v", "n", "label", "sketch", "payload")
-    dealt = both.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    slots = shuffle_partitions(rows.sparkSession)
+    slim = ["key", "i", "j", "probe", "v", "n", "label", "sketch"]
+    both = base.unionByName(probes).select(*slim)
+    dealt = lambda frame: frame.repartition(slots, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def with_partner(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        probe = part.column("probe").to_numpy()
+        n, label, sketch = (part.column(c).to_numpy() for c in ("n", "label", "sketch"))
+        sketch = sketch.view(np.uint64)
+        bases, stays = np.flatnonzero(~probe), np.zeros(len(probe), bool)
+        of_n, of_sketch, of_label = n[bases], sketch[bases], label[bases]
+        for x in np.flatnonzero(probe).tolist():
+            near = nearness.rows(of_n, of_sketch, n[x], sketch[x]) & (of_label != label[x])
+            if near.any():
+                stays[x] = True
+                stays[bases[near]] = True
+        if stays.any():
+            yield from part.filter(pa.array(stays)).to_batches()
 
     def block(part: pa.Table) -> Iterator[pa.RecordBatch]:
         probe = part.column("probe").to_numpy()
@@ -236,25 +254,31 @@ def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearnes
                             above[root(group[y])] = root(group[x])
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.stack([batch.column(c).to_numpy() for c in range(3)])
-            cuts = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()
-            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                which = tuple(group[:, lo].tolist())
-                if which != now and held:
-                    yield from block(pa.Table.from_batches(held))
-                    held = []
-                now = which
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from block(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+    def by_block(handle):
+        """What mapInArrow takes, to give handle the rows of one block after the other."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            now = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                group = np.stack([batch.column(c).to_numpy() for c in range(3)])
+                cuts = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()
+                for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                    which = tuple(group[:, lo].tolist())
+                    if which != now and held:
+                        yield from handle(pa.Table.from_batches(held))
+                        held = []
+                    now = which
+                    held.append(batch.slice(lo, hi - lo))
+            if held:
+                yield from handle(pa.Table.from_batches(held))
+
+        return run
+
+    kept = dealt(both).mapInArrow(by_block(with_partner), both.schema)
+    return dealt(kept.join(members, "v").select(*slim, "payload")).mapInArrow(by_block(block), "a long, b long")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
