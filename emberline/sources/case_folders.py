@@ -9,6 +9,7 @@ move a task. If a task fails, nothing appears, and what was staged is removed.
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -75,7 +76,7 @@ class FolderWriter(DataSourceWriter):
     def _store(self, path: str):
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:{path}")
+        return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else os.path.abspath(path))
 
     def write(self, iterator: Iterator[Row]) -> Written:
         from pyspark import TaskContext
