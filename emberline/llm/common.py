@@ -114,6 +114,9 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
             part = offsets[start : end + 1]
             yield batch.slice(start, end - start), data[part[0] : part[-1]], part - part[0]
             start = end
+        # Workers live on after their tasks; what Arrow keeps for later is memory that others want.
+        del batch, texts, offsets_buffer, data_buffer, data, offsets, part
+        pa.default_memory_pool().release_unused()
 
 
 def learns(doc_id: str = "doc_id"):
