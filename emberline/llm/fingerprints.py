@@ -343,7 +343,7 @@ def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01
     few = min(FIRST_BANDS, bands)
     rounds = [[keyed(0, few)], [keyed(first, min(at_once, bands - first)) for first in range(few, bands, at_once)]]
     payloads = classes_.select(F.col("class_id").alias("v"), F.encode("fingerprint", "UTF-8").alias("payload"))
-    labels = link_buckets(rounds, payloads, WalkLikeness(least), nearness)
+    labels = link_buckets(rounds, payloads, WalkLikeness(least), nearness, sketches_first=True)
     named = classes_
     if labels is not None:
         named = classes_.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))

@@ -103,7 +103,7 @@ class Nearness:
         return near
 
 
-def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, nearness: Nearness, *, star_rounds: int = 2, block_rows: int = 2000, block_bytes: int = 32 << 20) -> DataFrame | None:
+def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, nearness: Nearness, *, star_rounds: int = 2, block_rows: int = 2000, block_bytes: int = 32 << 20, sketches_first: bool = False) -> DataFrame | None:
     """(v, label) of the components of all alike members of common buckets; None without any link.
 
     rounds: frames of key, v, n (a size), sketch; v with one key are a bucket. Rounds are taken one after the other, and members
@@ -184,18 +184,18 @@ def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, ne
             open_rows = apart(labelled(several, labels))
             work = open_rows.agg(F.sum(F.col("size") - F.col("connected"))).first()[0] or 0
         if work:
-            new = scratch.written(block_links(open_rows, members, likeness, nearness, block_rows, block_bytes).distinct(), "links")
+            new = scratch.written(block_links(open_rows, members, likeness, nearness, block_rows, block_bytes, sketches_first).distinct(), "links")
             labels = joined(labels, new, new.count())
         scratch.clear()
     return labels
 
 
-def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearness, block_rows: int, block_bytes: int) -> DataFrame:
+def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearness, block_rows: int, block_bytes: int, sketches_first: bool) -> DataFrame:
     """Links (a, b) between different labels in rows(key, v, n, sketch, label, main, connected, size, bytes), but for those of main.
 
-    Members meet twice. First by sizes and sketches only: a member that is near to none of another label in its block goes, as nearly all do in
-    buckets that meet by accident. Those that stay meet again with their payloads, and near pairs are verified; a pair that earlier links
-    of the block connect is not compared.
+    Near pairs are verified by payloads; a pair that earlier links of the block connect is not compared. With sketches_first, members meet
+    by sizes and sketches before, without payloads: one that is near to none of another label in its block goes, as nearly all do where
+    buckets meet by accident. The same links are found either way.
     """
     blocks = lambda c: F.ceil(F.greatest(c / block_rows, F.col("bytes") * c / F.col("size") / block_bytes)).cast("int")
     rows = rows.withColumn("base_blocks", blocks(F.col("size"))).withColumn("probe_blocks", blocks(F.col("size") - F.col("connected")))
@@ -277,7 +277,7 @@ def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearnes
 
         return run
 
-    kept = dealt(both).mapInArrow(by_block(with_partner), both.schema)
+    kept = dealt(both).mapInArrow(by_block(with_partner), both.schema) if sketches_first else both
     return dealt(kept.join(members, "v").select(*slim, "payload")).mapInArrow(by_block(block), "a long, b long")
 
 
