@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline import registry
-from emberline.functions.text import strip
+from emberline.functions.text import bound, strip
 
 STEP = "struct<number:int,name:string,conclusion:string>"
 JOB_PAYLOAD = f"struct<id:bigint,name:string,conclusion:string,steps:array<{STEP}>>"
@@ -52,19 +52,18 @@ def best_match(candidates: Column, target: Column, least: int = 80) -> Column:
 def layout(line: Column) -> Column:
     """struct(root, project) of a line of key=value words."""
     words = F.filter(F.split(strip(line), r"\s+"), lambda w: F.contains(w, F.lit("=")) & ~F.startswith(w, F.lit("log=")))
-    value = lambda key: F.coalesce(F.regexp_replace(F.element_at(F.concat(F.array(F.lit(f"{key}=")), F.filter(words, lambda w: F.startswith(w, F.lit(f"{key}=")))), -1), f"^{key}=", ""), F.lit(""))
-    return F.struct(value("root").alias("root"), value("project").alias("project"))
+    value = lambda ws, key: F.coalesce(F.regexp_replace(F.element_at(F.concat(F.array(F.lit(f"{key}=")), F.filter(ws, lambda w: F.startswith(w, F.lit(f"{key}=")))), -1), f"^{key}=", ""), F.lit(""))
+    return bound(words, lambda ws: F.struct(value(ws, "root").alias("root"), value(ws, "project").alias("project")))
 
 
 def normalized_diff_paths(diff: Column, root: Column, project: Column) -> Column:
     """A diff of two folders of a container with a/ and b/ paths in its header lines; all other lines stay as they are."""
-    failed, passed = (F.concat(root, F.lit(f"/{side}/"), project, F.lit("/")) for side in ("failed", "passed"))
+    side = lambda name: F.concat(root, F.lit(f"/{name}/"), project, F.lit("/"))
 
     def rest(line: Column, folder: Column) -> Column:
         return F.split(line, F.concat(F.lit("\\Q"), folder, F.lit("\\E")), 2)[1]
 
-    def rewrite(line: Column) -> Column:
-        bare = F.regexp_replace(line, r"\r\z", "")
+    def rewrite(line: Column, bare: Column, failed: Column, passed: Column) -> Column:
         name = F.regexp_extract(rest(bare, failed), r"^\s*(\S+)", 1)
         return (
             F.when(F.startswith(bare, F.lit("--- ")) & F.contains(bare, failed), F.concat(F.lit("--- a/"), F.substring_index(rest(bare, failed), "\t", 1)))
@@ -74,7 +73,9 @@ def normalized_diff_paths(diff: Column, root: Column, project: Column) -> Column
         )
 
     known = (F.coalesce(root, F.lit("")) != "") & (F.coalesce(project, F.lit("")) != "")
-    return F.when(known, F.array_join(F.transform(F.split(diff, "\n"), rewrite), "\n")).otherwise(diff)
+    rewritten = lambda f: F.transform(F.split(diff, "\n"), lambda line: bound(F.regexp_replace(line, r"\r\z", ""), lambda bare: rewrite(line, bare, f["failed"], f["passed"])))
+    folders = F.struct(side("failed").alias("failed"), side("passed").alias("passed"))
+    return F.when(known, F.array_join(bound(folders, rewritten), "\n")).otherwise(diff)
 
 
 def apply_result(returncode: Column, output: Column, marker: str) -> Column:

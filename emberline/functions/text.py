@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline import registry
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is computed once a row. Else each mention of a column is computed anew, within lambdas for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_bom(raw: Column) -> Column:
     return F.regexp_replace(raw, "^﻿", "")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions.provider import layout, normalized_diff_paths
-from emberline.functions.text import parse_tag, strip, truncated
+from emberline.functions.text import bound, parse_tag, strip, truncated
 
 #: All line ends that Python's splitlines knows.
 ANY_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
@@ -148,9 +148,8 @@ def sections(text: Column, marker: str = r"=====CI_(\w+)=====") -> Column:
     line = rf"[ \t\r]*{marker}[ \t\r]*(?:\n|\z)"
     parts = F.filter(F.split(text, rf"(?md)(?=^{line})"), lambda p: p.rlike(rf"\A{line}"))
     entry = lambda p: F.struct(F.lower(F.regexp_extract(p, rf"\A{line}", 1)).alias("k"), F.regexp_replace(p, rf"\A{line}", "").alias("v"))
-    entries = F.transform(parts, entry)
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]).alias("again"))), lambda x: ~x["again"])
-    return F.map_from_entries(F.transform(last, lambda x: x["e"]))
+    last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    return bound(F.transform(parts, entry), lambda entries: F.map_from_entries(last(entries)))
 
 
 def artifact(tag: Column, output: Column) -> Column:
@@ -158,13 +157,19 @@ def artifact(tag: Column, output: Column) -> Column:
 
     error says why it is no case: no log of the failing build, or a checkout that is the build's cache. It comes with nulls.
     """
-    part = lambda name: F.coalesce(F.try_element_at(sections(output), F.lit(name)), F.lit(""))
-    log, where = strip(part("log")), strip(part("layout"))
-    told = F.concat(F.lit(" ("), F.when(where == "", "layout not reported").otherwise(where), F.lit(")"))
-    error = F.when(log.isin("", "no log"), F.concat(tag, F.lit(" has no original build log"), told)).when(F.contains(where, F.lit("project=cacher")), F.concat(tag, F.lit(" resolved to the build cache, not a checkout"), told))
-    place = layout(where)
-    files = F.filter(F.transform(all_lines(part("files")), strip), lambda x: x != "")
-    name = parse_tag(tag)
-    only = lambda c: F.when(error.isNull(), c)
-    diff = normalized_diff_paths(strip(part("diff")), place["root"], place["project"])
-    return F.struct(name["slug"].alias("slug"), name["job_id"].alias("job_id"), only(log).alias("failing_log"), only(diff).alias("fix_diff"), only(files).alias("culprit_files"), error.alias("error"))
+    part = lambda found, name: F.coalesce(F.try_element_at(found, F.lit(name)), F.lit(""))
+
+    def read(p: Column) -> Column:
+        log, where = p["log"], p["layout"]
+        told = F.concat(F.lit(" ("), F.when(where == "", "layout not reported").otherwise(where), F.lit(")"))
+        error = F.when(log.isin("", "no log"), F.concat(tag, F.lit(" has no original build log"), told)).when(F.contains(where, F.lit("project=cacher")), F.concat(tag, F.lit(" resolved to the build cache, not a checkout"), told))
+        return bound(error, lambda e: case(p, e))
+
+    def case(p: Column, error: Column) -> Column:
+        files = F.filter(F.transform(all_lines(p["files"]), strip), lambda x: x != "")
+        diff = bound(layout(p["layout"]), lambda place: normalized_diff_paths(p["diff"], place["root"], place["project"]))
+        only = lambda c: F.when(error.isNull(), c)
+        return bound(parse_tag(tag), lambda name: F.struct(name["slug"].alias("slug"), name["job_id"].alias("job_id"), only(p["log"]).alias("failing_log"), only(diff).alias("fix_diff"), only(files).alias("culprit_files"), error.alias("error")))
+
+    parts = lambda found: F.struct(strip(part(found, "log")).alias("log"), strip(part(found, "layout")).alias("layout"), part(found, "files").alias("files"), strip(part(found, "diff")).alias("diff"))
+    return bound(sections(output), lambda found: bound(parts(found), read))

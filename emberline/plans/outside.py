@@ -16,7 +16,7 @@ from emberline.sources.workspace import new_path
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "part")
+    return views.parts(spark, sf_dir)
 
 
 def _choice(i: Column, *texts: str | None) -> Column:
