@@ -15,21 +15,28 @@ ANY_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 def all_lines(text: Column) -> Column:
     """Lines by any line end, without the empty one after a last end; none of an empty text."""
-    parts = F.split(text, ANY_LINE_END)
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(text, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(bound(F.split(t, ANY_LINE_END), cut)))
 
 
 def touched_paths(patch: Column) -> Column:
     """Paths after `+++ `, first met first: without what follows a tab, without b/, and without /dev/null."""
-    heads = F.filter(all_lines(patch), lambda line: F.startswith(line, F.lit("+++ ")))
+    return _paths(all_lines(patch))
+
+
+def _paths(lines: Column) -> Column:
+    heads = F.filter(lines, lambda line: F.startswith(line, F.lit("+++ ")))
     paths = F.transform(heads, lambda line: F.regexp_replace(F.substring_index(strip(F.substring(line, 5, 1 << 20)), "\t", 1), "^b/", ""))
     return F.array_distinct(F.filter(paths, lambda p: p != "/dev/null"))
 
 
 def changed_line_count(patch: Column) -> Column:
+    return _changed(all_lines(patch))
+
+
+def _changed(lines: Column) -> Column:
     changed = lambda x: (F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++"))) | (F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")))
-    return F.size(F.filter(all_lines(patch), changed))
+    return F.size(F.filter(lines, changed))
 
 
 def find_secret(text: Column) -> Column:
@@ -42,21 +49,25 @@ def find_secret(text: Column) -> Column:
 
 def check_patch(patch: Column, failure_class: Column) -> Column:
     """Why a patch is refused, the first of: empty, too many files, too many lines, a secret, a workflow edit; null if it isn't."""
-    paths = touched_paths(patch)
-    workflow = F.exists(paths, lambda p: F.startswith(p, F.lit(".github/workflows/")))
-    return (
-        F.when(strip(patch) == "", "empty")
-        .when(F.size(paths) > registry.MAX_PATCH_FILES, "too_many_files")
-        .when(changed_line_count(patch) > registry.MAX_PATCH_LINES, "too_many_lines")
-        .when(find_secret(patch).isNotNull(), "secret")
-        .when(workflow & (failure_class != "pipeline_config"), "workflow_edit")
-    )
+
+    def refusal(p: Column) -> Column:
+        workflow = F.exists(p["paths"], lambda x: F.startswith(x, F.lit(".github/workflows/")))
+        return (
+            F.when(strip(patch) == "", "empty")
+            .when(F.size(p["paths"]) > registry.MAX_PATCH_FILES, "too_many_files")
+            .when(p["changed"] > registry.MAX_PATCH_LINES, "too_many_lines")
+            .when(find_secret(patch).isNotNull(), "secret")
+            .when(workflow & (failure_class != "pipeline_config"), "workflow_edit")
+        )
+
+    told = lambda lines: F.struct(_paths(lines).alias("paths"), _changed(lines).alias("changed"))
+    return bound(bound(all_lines(patch), told), refusal)
 
 
 def normalize_patch(patch: Column) -> Column:
     """Line feeds only, and one at the end; a patch of white space only stays as it is."""
-    flat = F.regexp_replace(patch, r"\r\n?", "\n")
-    return F.when(strip(patch) == "", patch).when(F.endswith(flat, F.lit("\n")), flat).otherwise(F.concat(flat, F.lit("\n")))
+    ended = lambda flat: F.when(F.endswith(flat, F.lit("\n")), flat).otherwise(F.concat(flat, F.lit("\n")))
+    return bound(patch, lambda p: F.when(strip(p) == "", p).otherwise(bound(F.regexp_replace(p, r"\r\n?", "\n"), ended)))
 
 
 _HEADER = r"diff --git a/(\S+) b/(\S+)$"
@@ -69,14 +80,13 @@ def diff_paths(diff: Column) -> Column:
 
 def listed_files(diff: Column) -> Column:
     """diff_paths() as text, a line each; it says so if there are none."""
-    paths = diff_paths(diff)
-    return F.when(F.size(paths) > 0, F.array_join(paths, "\n")).otherwise(f"{registry.NOT_FOUND}: this case carries no diff")
+    return bound(diff_paths(diff), lambda paths: F.when(F.size(paths) > 0, F.array_join(paths, "\n")).otherwise(f"{registry.NOT_FOUND}: this case carries no diff"))
 
 
 def diff_section(diff: Column, path: Column, limit: int = registry.MAX_SECTION_CHARS) -> Column:
     """The part of a diff from a file's header to the next one, cut with a marker; a text that says so if there is none."""
     parts = F.filter(F.split(diff, f"(?Umd)(?=^{_HEADER})"), lambda p: F.regexp_extract(p, f"(?Umd)\\A{_HEADER}", 2) == path)
-    own = truncated(F.get(parts, F.lit(0)), limit, "...[hunk truncated]")
+    own = bound(F.get(parts, F.lit(0)), lambda part: truncated(part, limit, "...[hunk truncated]"))
     missing = F.concat(F.lit(f"{registry.NOT_FOUND}: "), path, F.lit(" is not in the diff"))
     return F.when(F.coalesce(diff, F.lit("")) == "", f"{registry.NOT_FOUND}: this case carries no diff").otherwise(F.coalesce(own, missing))
 
@@ -123,11 +133,11 @@ def corrupted(patch: Column, sentinel: str = "control_line_that_does_not_exist")
 
     Lines end with a line feed, the last one too.
     """
-    lines = all_lines(patch)
     eligible = lambda x: (F.startswith(x, F.lit(" ")) | F.startswith(x, F.lit("-"))) & ~F.startswith(x, F.lit("--- ")) & ~F.startswith(x, F.lit("-- "))
-    first = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(eligible(x), i)), lambda i: i.isNotNull()))
-    told = F.transform(lines, lambda x, i: F.when(i == first, F.concat(F.left(x, F.lit(1)), F.lit(sentinel))).otherwise(x))
-    return F.concat(F.array_join(told, "\n"), F.lit("\n"))
+    # the first line's place is looked for once a patch, not once a line
+    place = lambda lines: F.array_position(F.transform(lines, eligible), True)
+    told = lambda lines, first: F.transform(lines, lambda x, i: F.when(i + 1 == first, F.concat(F.left(x, F.lit(1)), F.lit(sentinel))).otherwise(x))
+    return F.concat(F.array_join(bound(all_lines(patch), lambda lines: bound(place(lines), lambda first: told(lines, first))), "\n"), F.lit("\n"))
 
 
 def resolve_path(path: Column, known: Column) -> Column:

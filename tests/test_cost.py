@@ -12,3 +12,8 @@ def optimized(df):
 def test_artifact_cuts_its_output_once(spark):
     rows = spark.range(1).select(px.artifact(F.lit("a-1"), F.col("id").cast("string")).alias("a")).select("a.slug", "a.failing_log", "a.fix_diff", "a.culprit_files", "a.error")
     assert optimized(rows).count("split(") <= 12  # sections, words of the layout, and lines
+
+
+def test_a_corrupted_patch_is_cut_once(spark):
+    p = F.col("id").cast("string")
+    assert optimized(spark.range(1).select(px.corrupted(p).alias("x"))).count("split(") == 1
