@@ -17,3 +17,8 @@ def test_artifact_cuts_its_output_once(spark):
 def test_a_corrupted_patch_is_cut_once(spark):
     p = F.col("id").cast("string")
     assert optimized(spark.range(1).select(px.corrupted(p).alias("x"))).count("split(") == 1
+
+
+def test_a_checked_patch_is_cut_once(spark):
+    p = F.col("id").cast("string")
+    assert optimized(spark.range(1).select(px.check_patch(p, F.lit("x")).alias("x"))).count("split(") == 1
