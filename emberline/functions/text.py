@@ -39,7 +39,7 @@ def clean_log(raw: Column) -> Column:
 
 def split_lines(log: Column) -> Column:
     """Lines between line feeds; one trailing empty line is dropped, and an empty log has none."""
-    return F.when(log == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(log, r"\n\z", ""), "\n"))
+    return bound(log, lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")))
 
 
 def line_groups(line: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import registry
-from emberline.functions.text import clean_log, line_groups, split_lines
+from emberline.functions.text import bound, clean_log, line_groups, split_lines
 
 _EXCERPT = "struct<start_line:int,end_line:int,reason:string,text:string>"
 
@@ -22,17 +22,16 @@ def matches(lines: Column) -> Column:
 
 def windows(found: Column, total: Column, context: int = registry.CONTEXT_LINES) -> Column:
     """array<struct<s, e, groups>>: lines around matches; windows that overlap or touch are one, with the union of groups."""
-    kind = "array<struct<s:int,e:int,groups:array<int>>>"
+    apart = lambda f, m, i: (i == 0) | (m["n"] - F.get(f, i - 1)["n"] > 2 * context + 1)
 
-    def add(windows_: Column, m: Column) -> Column:
-        start, end = F.greatest(F.lit(1), m["n"] - context), F.least(total, m["n"] + context)
-        last = F.element_at(windows_, -1)
-        joined = F.struct(last["s"].alias("s"), end.alias("e"), F.array_union(last["groups"], m["groups"]).alias("groups"))
-        own = F.struct(start.alias("s"), end.alias("e"), m["groups"].alias("groups"))
-        touches = (F.size(windows_) > 0) & (start <= F.coalesce(last["e"], F.lit(-2)) + 1)
-        return F.when(touches, F.concat(F.slice(windows_, 1, F.greatest(F.size(windows_) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(windows_, F.array(own))).cast(kind)
+    def window(f: Column, begin: Column, end: Column) -> Column:
+        groups = F.array_distinct(F.flatten(F.transform(F.slice(f, begin + 1, end - begin), lambda m: m["groups"])))
+        return F.struct(F.greatest(F.lit(1), F.get(f, begin)["n"] - context).alias("s"), F.least(total, F.get(f, end - 1)["n"] + context).alias("e"), groups.alias("groups"))
 
-    return F.aggregate(found, F.array().cast(kind), add)
+    # Places at which a window begins: each is as far as the next one, so no window is copied while others are found.
+    begins = lambda f: F.filter(F.transform(f, lambda m, i: F.when(apart(f, m, i), i)), lambda i: i.isNotNull())
+    spans = lambda f, b: F.transform(b, lambda begin, k: window(f, begin, F.coalesce(F.get(b, k + 1), F.size(f))))
+    return bound(found, lambda f: bound(begins(f), lambda b: spans(f, b)))
 
 
 def excerpts(spans: Column, lines: Column) -> Column:
@@ -92,13 +91,12 @@ def condense(logs: DataFrame, *, max_chars: int = registry.MAX_CHARS, text: str
         raise ValueError(f"max_chars is under {registry.MIN_CHARS}")
     log = F.coalesce(F.col(text), F.lit(""))
     rest = [F.col(c) for c in logs.columns if c != text]
-    lined = logs.select(*rest, split_lines(log if cleaned else clean_log(log)).alias("lines"))
-    lines = F.col("lines")
-    found = lined.withColumn("total_lines", F.size("lines")).withColumn("spans", windows(matches(lines), F.size(lines)))
-    kept = found.withColumn("kept", longest_fitting_suffix(excerpts(F.col("spans"), lines), max_chars))
-    some = F.size("kept") > 0
-    chosen = kept.withColumn("excerpts", F.when(some, F.col("kept")).otherwise(tail(lines, max_chars))).withColumn("strategy", F.when(some, "error_windows").otherwise("tail"))
-    return chosen.select(*rest, "total_lines", "strategy", "excerpts", F.array_join(F.transform("excerpts", rendered), "\n\n").alias("rendered"))
+    # Each step is bound, so that no later one cleans or cuts a log again.
+    chosen = lambda lines, kept: F.struct(F.size(lines).alias("total_lines"), F.when(F.size(kept) > 0, "error_windows").otherwise("tail").alias("strategy"), F.when(F.size(kept) > 0, kept).otherwise(tail(lines, max_chars)).alias("excerpts"))
+    fitting = lambda lines: longest_fitting_suffix(excerpts(windows(matches(lines), F.size(lines)), lines), max_chars)
+    told = bound(split_lines(log if cleaned else clean_log(log)), lambda lines: bound(fitting(lines), lambda kept: chosen(lines, kept)))
+    c = "condensed_log"
+    return logs.select(*rest, told.alias(c)).select(*rest, f"{c}.total_lines", f"{c}.strategy", f"{c}.excerpts", F.array_join(F.transform(f"{c}.excerpts", rendered), "\n\n").alias("rendered"))
 
 
 def excerpt_rows(condensed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from emberline.operators import condense
 from emberline.operators import patches as px
 
 
@@ -22,3 +23,8 @@ def test_a_corrupted_patch_is_cut_once(spark):
 def test_a_checked_patch_is_cut_once(spark):
     p = F.col("id").cast("string")
     assert optimized(spark.range(1).select(px.check_patch(p, F.lit("x")).alias("x"))).count("split(") == 1
+
+
+def test_a_log_is_cleaned_and_cut_once(spark):
+    rows = condense.condense(spark.range(1).select(F.col("id").cast("string").alias("log")))
+    assert optimized(rows).count("split(") == 1
