@@ -209,12 +209,13 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repaired_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches whose header tells other counts than the hunk has. The fold over lines is Python; its SQL says what comes of these."""
     rows = views.patches(spark, sf_dir).withColumn("patch", F.replace("patch", F.lit("@@ -1,2 +1,2 @@"), F.lit("@@ -1,9 +1,7 @@")))
-    return rows.select("patch_id", edits.needs_repair(F.col("patch")).alias("needs_repair"), F.md5(edits.repair_patch(F.col("patch"))).alias("repaired_md5"))
+    rows = rows.select("patch_id", "patch", edits.repair_patch(F.col("patch")).alias("fixed"))
+    return rows.select("patch_id", (F.col("fixed") != F.col("patch")).alias("needs_repair"), F.md5("fixed").alias("repaired_md5"))
 
 
 def edited_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit of each part's text, exact for most and with other white space for some. The fold over edits is Python; its SQL says what comes of these."""
-    part = views.table(spark, sf_dir, "part")
+    part = views.parts(spark, sf_dir)
     text = F.concat(F.lit("name:\n    "), "p_name", F.lit("\n    "), "p_type", F.lit("\n"))
     find = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("  "), "p_name", F.lit("\n  "), "p_type", F.lit("\n"))).otherwise(F.col("p_type"))
     edit = F.struct(F.lit("b/src/p.txt").alias("path"), find.alias("find"), F.lit("changed").alias("replace"))
