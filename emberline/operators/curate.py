@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -14,6 +10,7 @@ from emberline import registry
 from emberline.functions.text import strip
 from emberline.operators.classify import signal
 from emberline.sources.cases import referenced_files
+from emberline.sources.ordered import ordered_digest
 from emberline.sources.workspace import new_path
 
 PREFERENCE = ["failure", "timed_out", "cancelled"]
@@ -204,19 +201,10 @@ def case_blocks(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
 def content_hash(blocks: DataFrame, key: str = "case_id") -> DataFrame:
     """One row: dataset_hash, 12 hex digits of the SHA-256 of blocks(key, block) one after the other in the order of key.
 
-    The digest is a fold over all blocks, so one task takes them in order, one at a time; bucketed_hash() has no such task.
-    All that is before, making the blocks and sorting them, is spread over tasks.
+    The digest is a fold over all blocks, so one task reads them in order, a megabyte at a time; bucketed_hash() has no such task.
+    All that is before, making the blocks and sorting them, is spread over tasks, and no task holds more than a range of them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = hashlib.sha256()
-        for batch in batches:
-            for block in batch.column(1).to_pylist():
-                digest.update(block.encode())
-        yield pa.RecordBatch.from_pydict({"dataset_hash": [digest.hexdigest()[:12]]})
-
-    folded = blocks.select(key, "block").repartition(1).sortWithinPartitions(key, "block").mapInArrow(run, "dataset_hash string")
-    return folded.agg(F.coalesce(F.max("dataset_hash"), F.lit(hashlib.sha256().hexdigest()[:12])).alias("dataset_hash"))  # without blocks, no task runs
+    return ordered_digest(blocks, [key], "block").select(F.left("digest", F.lit(12)).alias("dataset_hash"))
 
 
 def manifest(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
