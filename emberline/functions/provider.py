@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions.text import bound, strip
+from emberline.sources.ordered import ordered_digest
 
 STEP = "struct<number:int,name:string,conclusion:string>"
 JOB_PAYLOAD = f"struct<id:bigint,name:string,conclusion:string,steps:array<{STEP}>>"
@@ -110,22 +111,34 @@ def content_hash(text: Column) -> Column:
 
 
 def combined_hash(prompts: DataFrame) -> DataFrame:
-    """One row: combined_hash of prompts(name, content_hash), in the order of name."""
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("name", "content_hash"))), lambda p: F.concat(p["name"], F.lit(":"), p["content_hash"]))
-    return prompts.agg(F.left(F.sha2(F.array_join(pairs, "|"), 256), F.lit(12)).alias("combined_hash"))
+    """One row: combined_hash of prompts(name, content_hash), in the order of name. Rows with a null name or hash are none.
+
+    Pairs stand one after the other with a bar between: each but the first has one before it, so they can be digested range by range.
+    """
+    known = prompts.where("name IS NOT NULL AND content_hash IS NOT NULL").select("name", "content_hash")
+    first = known.agg(F.min(F.struct("name", "content_hash")).alias("first"))  # of equal pairs any may be the first, so they are counted
+    counted = known.groupBy("name", "content_hash").agg(F.count("*").alias("n"))
+    pair = F.concat("name", F.lit(":"), "content_hash")
+    again = F.repeat(F.concat(F.lit("|"), pair), (F.col("n") - 1).cast("int"))
+    lead = F.when(F.struct("name", "content_hash") == F.col("first"), "").otherwise("|")
+    told = counted.join(F.broadcast(first), F.lit(True)).select("name", "content_hash", F.concat(lead, pair, again).alias("pair"))
+    return ordered_digest(told, ["name", "content_hash"], "pair").select(F.left("digest", F.lit(12)).alias("combined_hash"))
 
 
 def prompt(raw: Column) -> Column:
     """struct(meta map, body, content_hash) of a prompt file with a front matter block; null without one, an id or a body."""
     pattern = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
-    text = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
-    lines = F.filter(F.transform(F.split(F.regexp_extract(text, pattern, 1), "\n"), strip), lambda x: x.rlike(r"^[a-z_]+:"))
     entry = lambda x: F.struct(F.regexp_extract(x, "^([a-z_]+):", 1).alias("k"), F.regexp_replace(strip(F.regexp_replace(x, r"^[a-z_]+:", "")), "^[\"']+|[\"']+$", "").alias("v"))
-    entries = F.transform(lines, entry)
     # of a repeated key the last counts
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
-    meta, body = F.map_from_entries(last), strip(F.regexp_extract(text, pattern, 2))
-    return F.when(text.rlike(pattern) & F.map_contains_key(meta, "id") & (body != ""), F.struct(meta.alias("meta"), body.alias("body"), content_hash(body).alias("content_hash")))
+    last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+
+    def parts(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(F.regexp_extract(text, pattern, 1), "\n"), strip), lambda x: x.rlike(r"^[a-z_]+:"))
+        meta = bound(F.transform(lines, entry), lambda entries: F.map_from_entries(last(entries)))
+        return F.struct(meta.alias("meta"), strip(F.regexp_extract(text, pattern, 2)).alias("body"))
+
+    told = lambda p: F.when(F.map_contains_key(p["meta"], "id") & (p["body"] != ""), F.struct(p["meta"].alias("meta"), p["body"].alias("body"), content_hash(p["body"]).alias("content_hash")))
+    return bound(F.replace(raw, F.lit("\r\n"), F.lit("\n")), lambda text: F.when(text.rlike(pattern), bound(parts(text), told)))
 
 
 #: Parts of a template: an escaped brace, a placeholder, text, and a brace that stands alone.

@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table part, dealt to tasks: a million rows may be one small file, and what is done to each row is dear."""
-    return table(spark, sf_dir, "part").repartition("p_partkey")
+    """The table part, dealt to tasks: a million rows may be one small file, and what is done to each row is dear. The number is told, as
+    Spark would put such narrow rows together again."""
+    return table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
