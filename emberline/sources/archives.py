@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from emberline.functions.provider import archive_name
 
 #: Names that are shorter were not cut by the writer of an archive, so they must be equal.
 CUT_NAME = 80
+#: Archives whose members a task has as Python objects at a time.
+SLICE = 64
 _LOCAL_HEADER = struct.Struct("<4s5H3I2H")
 INDEX = "path string, ord int, entry string, place long, packed_bytes long, text_bytes long, method int, crc long, error string"
 
@@ -42,6 +45,16 @@ def pack(members: DataFrame) -> DataFrame:
     return members.select("path", "ord", "entry", "text").groupBy("path").applyInPandas(run, "path string, content binary")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few archives at a time: a batch may have ten thousand, and Python objects made of all of them would lie beside it."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+        del batch
+        # Workers live on after their tasks; what Arrow keeps for later is memory that others want.
+        pa.default_memory_pool().release_unused()
+
+
 def index(archives: DataFrame) -> DataFrame:
     """A row for each member of archives(path, content), from their directories alone: ord, entry, place and size of its bytes, and
 
@@ -49,18 +62,21 @@ def index(archives: DataFrame) -> DataFrame:
     of a log in a folder). Folders themselves have rows, too. An archive that can't be read, or is null, has one row, with an error.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in INDEX.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in _slices(batches):
             rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+            for path, content in zip(*(few.column(c).to_pylist() for c in range(2)), strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content if content is not None else b"")) as z:
                         rows += [(path, i, m.filename, m.header_offset, m.compress_size, m.file_size, m.compress_type, m.CRC, None) for i, m in enumerate(z.infolist())]
                 except (zipfile.BadZipFile, NotImplementedError, ValueError, struct.error) as e:
                     rows.append((path, None, None, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({c: "Int64" for c in ("ord", "place", "packed_bytes", "text_bytes", "method", "crc")})
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    rows = archives.select("path", "content").mapInPandas(run, INDEX)
+    rows = archives.select("path", "content").mapInArrow(run, INDEX)
     entry = F.col("entry")
     inside = F.contains(entry, F.lit("/"))
     job = F.when(~inside & entry.rlike(r"^\d+_[^\n]+\.txt\z"), F.regexp_extract(entry, r"^\d+_([^\n]+)\.txt\z", 1))
@@ -136,19 +152,20 @@ def opened(archives: DataFrame, entries: DataFrame) -> DataFrame:
     kinds = "array<struct<" + ",".join(f"{c}:{dict(entries.dtypes)[c]}" for c in where) + ">>"
     wanted = entries.where("entry IS NOT NULL").groupBy("path").agg(F.collect_set(F.struct(*where)).cast(kinds).alias("members"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content, members in frame[["path", "content", "members"]].itertuples(index=False):
-                rows = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in _slices(batches):
+            rows = []
+            for path, content, members in zip(*(few.column(c).to_pylist() for c in range(3)), strict=True):
                 for m in members:
-                    m = m if isinstance(m, dict) else m.asDict()
                     try:
                         rows.append((path, m["place"], member_bytes(content, *(int(m[c]) for c in where[1:])).decode("utf-8", "replace"), None))
                     except (ValueError, struct.error) as e:
                         rows.append((path, m["place"], None, str(e)))
-                yield pd.DataFrame(rows, columns=["path", "place", "text", "error"])
+            kinds = {"path": pa.string(), "place": pa.int64(), "text": pa.string(), "error": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
-    texts = archives.select("path", "content").join(wanted, "path").mapInPandas(run, "path string, place long, text string, error string")
+    held = archives.select("path", "content").join(wanted, "path").select("path", "content", "members")
+    texts = held.mapInArrow(run, "path string, place long, text string, error string")
     return entries.drop(*where[2:]).join(texts, ["path", "place"], "left").drop("place")
 
 
