@@ -19,8 +19,8 @@ DECISION = "case_id string, failure_class string, subcategory string, related_to
 def store(cases: DataFrame, path: str, parts: int = 64) -> None:
     """Write cases in `parts` parts by a hash of case_id."""
     part = (F.crc32(F.col("case_id").cast("binary")) % parts).cast("int")
-    # by a hash of part and id, so that a part may have several files but no file many parts
-    cases.withColumn(PART, part).repartition(parts, PART).write.partitionBy(PART).parquet(path)
+    # Spark deals large parts to several tasks and small ones together to one, so that a task's rows don't grow with the table.
+    cases.withColumn(PART, part).hint("rebalance", PART).write.partitionBy(PART).parquet(path)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -79,5 +79,5 @@ def merge(spark: SparkSession, path: str, decisions: DataFrame, parts: int = 64)
     unmatched = decisions.join(staged.select("case_id"), "case_id", "left_anti").count()
     if changes:
         rows = staged.where(F.col(PART).isin(list(changes))).drop("changed").select(*stored(spark, path).columns)
-        rows.repartition(len(changes), PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+        rows.hint("rebalance", PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
     return {"changed": sum(changes.values()), "parts": len(changes), "unmatched": unmatched}
