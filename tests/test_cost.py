@@ -28,3 +28,8 @@ def test_a_checked_patch_is_cut_once(spark):
 def test_a_log_is_cleaned_and_cut_once(spark):
     rows = condense.condense(spark.range(1).select(F.col("id").cast("string").alias("log")))
     assert optimized(rows).count("split(") == 1
+
+
+def test_windows_are_not_copied_for_each_match(spark):
+    found = condense.matches(F.split(F.col("id").cast("string"), ","))
+    assert optimized(spark.range(1).select(condense.windows(found, F.lit(5)).alias("x"))).count("aggregate(") == 0
