@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import shuffle_partitions, written
-from emberline.llm.graph import Nearness, link_buckets, small
+from emberline.llm.graph import link_sketched, small
 from emberline.llm.shingles import mix
 
 NULL_ID = -(2**63)
@@ -28,8 +28,12 @@ FEW = 40
 #: Of 64 sketched bits up to a reach, a pair alike by 0.8 differs in 8 where its edits lie worst, and in over 18 once in 8,000
 #: times; an unlike pair in 30.
 SKETCH_APART = 18
+#: Of 128 bits, such a pair differs in 16, and in over 32 less than once in 20,000 times; an unlike pair in 60.
+WIDE_APART = 32
 #: Bands that are met first, so that groups of copies are connected before the others are.
 FIRST_BANDS = 2
+#: Fingerprints whose keys are made at once.
+KEYED_ROWS = 2000
 
 
 def _steps() -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +48,8 @@ def _steps() -> tuple[np.ndarray, np.ndarray]:
 
 
 STEPS, WEIGHTS = _steps()
+_TOTALS = np.append(0, np.cumsum(WEIGHTS))
+_FIRST_BITS = np.array([((1 << n) - 1) << (64 - n) for n in range(65)], np.uint64)
 _FIXED = mix(np.arange(PERIOD * 256, dtype=np.uint64) + np.uint64(7)).view(np.uint8)[::8].reshape(PERIOD, 256).copy() & 3
 _FIXED[:, 0] = 0  # class 0 ends a text: no step goes past it
 _ROWS = [r.tobytes() for r in _FIXED]
@@ -250,6 +256,24 @@ class WalkLikeness:
         n = len(xs)
         return likeness(walked[:n], bits[:n], walked[n:], bits[n:]) >= self.least
 
+    def among(self, payloads: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        """Of numbers x and ys of payloads, which of ys are alike to x. Payloads are read once; samples meet 64 at a time, as all of a word weigh the same."""
+        parts = [p.split(b"-") for p in payloads]
+        walked = np.array([int(p[0], 16) for p in parts], np.int64)
+        width = max((len(p[1]) for p in parts), default=0) // 16 + 1
+        words = np.frombuffer(b"".join(bytes.fromhex(p[1].decode()).ljust(8 * width, b"\0") for p in parts), ">u8").reshape(len(parts), width).astype(np.uint64)
+        samples = np.searchsorted(STEPS, walked)
+        total = _TOTALS[samples]
+        masks = _FIRST_BITS[np.clip(samples[:, None] - 64 * np.arange(width), 0, 64)]
+        weights = WEIGHTS[::64][:width]
+
+        def alike(x: int, ys: np.ndarray) -> np.ndarray:
+            both = np.bitwise_count((words[ys] ^ words[x]) & masks[ys] & masks[x]).astype(np.int64) @ weights
+            differs = 2 * both + np.abs(total[ys] - total[x])
+            return np.clip(1 - differs / np.maximum(np.maximum(total[ys], total[x]), 1), 0, 1) >= self.least
+
+        return alike
+
 
 def reaches(least: float, longest: int) -> np.ndarray:
     """Numbers of leading steps that walks are banded over, from 0 to beyond longest, each 1 / least of the one before or more.
@@ -266,10 +290,11 @@ def reaches(least: float, longest: int) -> np.ndarray:
 def band_choice(classes_: int, least: float, missed: float) -> tuple[int, int]:
     """(bands, bits) for so many different fingerprints, so that a pair alike by least shares no band at most so often.
 
-    Bits grow with the logarithm of the table, so that few unlike walks share a key. A pair alike by least differs in (1 - least) / 2 of
+    Bits are few while buckets are small: unlike walks that share a key only meet by sketches, inside a task. Beyond a million
+    fingerprints bits grow with the logarithm of the table, so that buckets don't. A pair alike by least differs in (1 - least) / 2 of
     the bits of the whole walk, and in 1 / least times that if all edits are within the reach.
     """
-    bits = 2 + math.ceil(math.log2(max(classes_, 2 << 13)))
+    bits = max(14, math.ceil(math.log2(max(classes_, 1))) - 6)
     hit = (1 - min(0.5, (1 - least) / 2 / least)) ** bits
     return max(1, math.ceil(math.log(missed) / math.log1p(-hit))), bits
 
@@ -293,6 +318,17 @@ def band_keys(walked: np.ndarray, sampled: np.ndarray, grid: np.ndarray, first:
     return keys.reshape(len(walked), -1).view(np.int64), sketches.reshape(len(walked), -1)
 
 
+def wide_sketches(walked: np.ndarray, sampled: np.ndarray, grid: np.ndarray, bands: int) -> np.ndarray:
+    """64 further bits of each walk up to each of its two reaches, one for each of the keys that band_keys() gives."""
+    at = np.searchsorted(grid, walked, side="right") - 1
+    out = np.empty((len(walked), 2, bands), np.int64)
+    for row in range(2):
+        for i in np.unique(at - row).tolist():
+            own = np.flatnonzero(at - row == i)
+            out[own, row] = np.packbits(sampled[own[:, None], _drawn(int(grid[i]), -2, 1, 64)[0]], axis=1).view(np.int64)
+    return out.reshape(len(walked), -1)
+
+
 @lru_cache(maxsize=512)
 def _drawn(reach: int, first: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bands x bits places of samples, a factor for each bit)"""
@@ -305,45 +341,51 @@ def _drawn(reach: int, first: int, bands: int, bits: int) -> tuple[np.ndarray, n
     return places, mix(np.arange(1, bits + 1, dtype=np.uint64))
 
 
-def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None, keys_at_once: int = 3_000_000) -> DataFrame:
+def near_by_edits(prints: DataFrame, *, least: float = 0.8, missed: float = 0.01, bands: int | None = None, bits: int | None = None, bands_at_once: int = 14) -> DataFrame:
     """prints(fingerprint, doc_id, ...) with component_id: the smallest doc_id reachable by likeness of least or more.
 
     Equal fingerprints are one class. A class is found by band keys over the leading steps of its walk: see reaches() and
     band_keys(). By default bands and bits follow from the number of classes, so that a pair alike by just least shares no band
     at most `missed` of the time where the edits lie worst, and less elsewhere: bands can miss a pair. Candidates whose sketches are
-    near are paired by link_buckets() and verified on whole fingerprints. A null doc_id has no component; an empty text is alike to empty
+    near are paired by link_sketched() and verified on whole fingerprints. A null doc_id has no component; an empty text is alike to empty
     ones only.
 
-    Keys are made and met some bands at a time, each time from the fingerprints: first 2, then 6 at a time, or
-    as many as make keys_at_once keys.
-    So what a shuffle holds on disk does not grow with the number of bands.
+    Keys are made and met some bands at a time, each time from the fingerprints: first 2, then bands_at_once
+    at a time, whatever the table's size. So what a shuffle holds on disk does not grow with the number of bands, and payloads are
+    shuffled as often for a small table as for a large one.
     """
     classes_ = written(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "print-classes")
     count = classes_.count()
     chosen = band_choice(count, least, missed)
-    at_once = max(6, keys_at_once // (2 * max(count, 1)))
     bands, bits = bands or chosen[0], bits or chosen[1]
-    nearness = Nearness(apart=SKETCH_APART)
 
-    def keyed(first: int, count: int) -> DataFrame:
+    def keyed(first: int, count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    part = batch.slice(start, 500)
+                for start in range(0, batch.num_rows, KEYED_ROWS):
+                    part = batch.slice(start, KEYED_ROWS)
                     walked, sampled = from_texts(part.column(0).to_pylist())
                     some = np.flatnonzero(walked)
                     if not len(some):
                         continue
-                    keys, sketches = band_keys(walked[some], sampled[some], reaches(least, int(walked.max())), first, count, bits)
-                    v, n = np.repeat(part.column(1).to_numpy()[some], 2 * count), np.zeros(keys.size, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), v, n, sketches.ravel())], ["key", "v", "n", "sketch"])
+                    walked, sampled, grid = walked[some], sampled[some], reaches(least, int(walked.max()))
+                    keys, sketches = band_keys(walked, sampled, grid, first, count, bits)
+                    wide = wide_sketches(walked, sampled, grid, count)
+                    v, label = (np.repeat(part.column(c).to_numpy()[some], 2 * count) for c in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), v, sketches.ravel(), wide.ravel(), label)], ["key", "v", "sketch", "wide", "label"])
+
+        def frame(labels: DataFrame | None) -> DataFrame:
+            rows = classes_.select("fingerprint", "class_id", F.col("class_id").alias("label"))
+            if labels is not None:
+                rows = classes_.join(small(labels.withColumnRenamed("v", "class_id")), "class_id", "left").select("fingerprint", "class_id", F.coalesce("label", "class_id").alias("label"))
+            return rows.mapInArrow(run, "key long, v long, sketch long, wide long, label long")
 
-        return classes_.select("fingerprint", "class_id").mapInArrow(run, "key long, v long, n long, sketch long")
+        return frame
 
     few = min(FIRST_BANDS, bands)
-    rounds = [[keyed(0, few)], [keyed(first, min(at_once, bands - first)) for first in range(few, bands, at_once)]]
+    frames = [keyed(0, few), *(keyed(first, min(bands_at_once, bands - first)) for first in range(few, bands, bands_at_once))]
     payloads = classes_.select(F.col("class_id").alias("v"), F.encode("fingerprint", "UTF-8").alias("payload"))
-    labels = link_buckets(rounds, payloads, WalkLikeness(least), nearness, sketches_first=True)
+    labels = link_sketched(frames, payloads, WalkLikeness(least), WIDE_APART)
     named = classes_
     if labels is not None:
         named = classes_.join(small(labels.select(F.col("v").alias("class_id"), "label")), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))

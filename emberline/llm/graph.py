@@ -19,6 +19,12 @@ PAIRS_AT_ONCE = 500
 #: Pairs within buckets that are compared in blocks at once, without further stars.
 FEW_PAIRS = 5_000_000
 PAIRS_IN_BLOCK = 16
+#: Buckets of so few rows are compared all at once, one distance of rows after the other; of larger ones, so many rows are held and so many pairs compared in a task.
+FEW_ROWS = 256
+HELD_ROWS = 200_000
+IN_TASK = 20_000_000
+#: Of the first 64 of 128 sketched bits, how many may be unequal where blocks meet: a pair that differs in one bit of eight has more less than once in a million times.
+COARSE = 24
 #: Edges up to which components are found in one task, with some 300 bytes for each.
 ONE_TASK = 300_000
 
@@ -139,21 +145,7 @@ def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, ne
             return rows.withColumn("label", F.col("v"))
         return rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """Those of buckets whose members have several labels, with the label that most of a bucket has, and how many."""
-        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-        most = by_label.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size"), (8 * F.sum("n")).alias("bytes")).where("kinds > 1")
-        return scratch.written(rows.join(most.select("key", F.col("most.label").alias("main"), F.col("most.k").alias("connected"), "size", "bytes"), "key"), "apart")
-
-    def joined(labels: DataFrame | None, new: DataFrame, count: int) -> DataFrame | None:
-        if not count:
-            return labels
-        if labels is None:
-            return components(new, count)
-        known = labels.count()
-        if known + count <= ONE_TASK:
-            return components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(new), known + count)
-        return relabelled(labels, new)
+    apart = lambda rows: scratch.written(divided(rows), "apart")
 
     labels = None
     for frames in rounds:
@@ -190,6 +182,115 @@ def link_buckets(rounds: list[list[DataFrame]], members: DataFrame, likeness, ne
     return labels
 
 
+def divided(rows: DataFrame) -> DataFrame:
+    """Those of buckets whose members have several labels, with the label that most of a bucket has, and how many."""
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    most = by_label.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size"), (8 * F.sum("n")).alias("bytes")).where("kinds > 1")
+    return rows.join(most.select("key", F.col("most.label").alias("main"), F.col("most.k").alias("connected"), "size", "bytes"), "key")
+
+
+def joined(labels: DataFrame | None, new: DataFrame, count: int) -> DataFrame | None:
+    """labels after count further links."""
+    if not count:
+        return labels
+    if labels is None:
+        return components(new, count)
+    known = labels.count()
+    if known + count <= ONE_TASK:
+        return components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(new), known + count)
+    return relabelled(labels, new)
+
+
+def link_sketched(frames, members: DataFrame, likeness, apart: int, *, block_rows: int = 2000, block_bytes: int = 32 << 20) -> DataFrame | None:
+    """(v, label) of the components of all alike members of common buckets; None without any link.
+
+    For buckets that meet by accident for the most part: each key is shuffled once, with a label and 128 sketched bits of its member,
+    and only members that differ in at most `apart` of them from one of another label in their bucket go on.
+    frames: functions that take the labels found so far (None at first) and return key, v, sketch, wide, label; taken one after the other.
+    members and likeness are as in link_buckets(), and so is what happens to members that go on: they meet in blocks inside tasks and are
+    verified by payload, unless they are connected by then. No bucket is cut and no near pair is lost.
+    """
+    scratch, labels = Scratch(), None
+    slots = shuffle_partitions(members.sparkSession)
+    for frame in frames:
+        dealt = frame(labels).select("key", "v", "sketch", "wide", "label").repartition(slots, "key").sortWithinPartitions("key")
+        near = scratch.written(dealt.mapInArrow(partnered(apart), "key long, v long, n long, sketch long, label long"), "near")
+        rows = scratch.written(divided(near), "apart")
+        if not rows.isEmpty():
+            whole = not rows.where(F.col("size") > 2 * block_rows).isEmpty()  # may hold rows that were not compared
+            new = scratch.written(block_links(rows, members, likeness, Nearness(apart=COARSE), block_rows, block_bytes, whole).distinct(), "links")
+            labels = joined(labels, new, new.count())
+        scratch.clear()
+    return labels
+
+
+def partnered(apart: int, held_rows: int = HELD_ROWS, in_task: int = IN_TASK):
+    """What mapInArrow takes, to keep of rows(key, v, sketch, wide, label) sorted by key those that are near to one of another label in their bucket.
+
+    Pairs of rows are compared, by sketches, in buckets of at most held_rows rows and about in_task pairs of different labels; the rows of larger ones all stay.
+    """
+
+    def near_rows(key: np.ndarray, label: np.ndarray, sketch: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        stays = np.zeros(len(key), bool)
+        distance = lambda x, y: np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int16) + np.bitwise_count(wide[x] ^ wide[y])
+        starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        sizes = np.diff(np.append(starts, len(key)))
+        last = np.repeat(starts + sizes, sizes)
+        x = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW_ROWS), sizes))
+        step = 1
+        while len(x := x[x + step < last[x]]):
+            pairs = x[(label[x] != label[x + step]) & (distance(x, x + step) <= apart)]
+            stays[pairs] = stays[pairs + step] = True
+            step += 1
+        for b in np.flatnonzero(sizes > FEW_ROWS).tolist():
+            own = np.arange(starts[b], starts[b] + sizes[b])
+            names, group, counts = np.unique(label[own], return_inverse=True, return_counts=True)
+            probes = own[group != counts.argmax()]
+            if len(probes) * len(own) > in_task:
+                stays[own] = True
+                continue
+            for p in probes.tolist():
+                met = own[(label[own] != label[p]) & (distance(own, p) <= apart)]
+                if len(met):
+                    stays[met] = stays[p] = True
+        return stays
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [part.column("key"), part.column("v"), pa.array(np.zeros(part.num_rows, np.int64)), part.column("sketch"), part.column("label")]
+            yield from pa.table(columns, ["key", "v", "n", "sketch", "label"]).to_batches()
+
+        def compared(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, label, sketch, wide = (part.column(c).to_numpy() for c in ("key", "label", "sketch", "wide"))
+            stays = near_rows(key, label, sketch.view(np.uint64), wide.view(np.uint64))
+            if stays.any():
+                yield from out(part.filter(pa.array(stays)))
+
+        held: list[pa.RecordBatch] = []
+        large = None  # the key of a bucket whose rows all stay
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if large is not None:
+                n = int(np.searchsorted(key, large, side="right"))
+                yield from out(pa.Table.from_batches([batch.slice(0, n)]))
+                batch, key = batch.slice(n), key[n:]
+            if not len(key):
+                continue
+            large = None
+            open_at = int(np.searchsorted(key, key[-1]))
+            if open_at or (held and held[-1].column(0)[0].as_py() != key[0]):
+                yield from compared(pa.Table.from_batches([*held, batch.slice(0, open_at)]))
+                held = []
+            held.append(batch.slice(open_at))
+            if sum(h.num_rows for h in held) > held_rows:
+                yield from out(pa.Table.from_batches(held))
+                held, large = [], int(key[-1])
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return run
+
+
 def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearness, block_rows: int, block_bytes: int, sketches_first: bool) -> DataFrame:
     """Links (a, b) between different labels in rows(key, v, n, sketch, label, main, connected, size, bytes), but for those of main.
 
@@ -227,6 +328,11 @@ def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearnes
         v, n, label, sketch = (part.column(c).to_numpy() for c in ("v", "n", "label", "sketch"))
         sketch = sketch.view(np.uint64)
         payload = part.column("payload")
+        if hasattr(likeness, "among"):
+            alike_to, many = likeness.among(payload.to_pylist()), 4
+        else:
+            many = 1
+            alike_to = lambda x, ys: likeness.alike([payload[x].as_py()] * len(ys), [payload[y].as_py() for y in ys])
         bases = np.flatnonzero(~probe)
         of_n, of_sketch = n[bases], sketch[bases]
         names, group = np.unique(label, return_inverse=True)
@@ -239,15 +345,15 @@ def block_links(rows: DataFrame, members: DataFrame, likeness, nearness: Nearnes
 
         found: tuple[list[int], list[int]] = ([], [])
         for x in np.flatnonzero(probe).tolist():
-            near = bases[nearness.rows(of_n, of_sketch, n[x], sketch[x])].tolist()
+            near, at_once = bases[nearness.rows(of_n, of_sketch, n[x], sketch[x])].tolist(), PAIRS_IN_BLOCK
             while near:
                 # a link may connect what comes after it
                 own = root(group[x])
                 near = [y for y in near if root(group[y]) != own]
-                some, near = near[:PAIRS_IN_BLOCK], near[PAIRS_IN_BLOCK:]
+                some, near = near[:at_once], near[at_once:]
                 if some:
-                    mine = payload[x].as_py()
-                    for y, alike in zip(some, likeness.alike([mine] * len(some), [payload[y].as_py() for y in some]), strict=True):
+                    at_once *= many
+                    for y, alike in zip(some, alike_to(x, some), strict=True):
                         if alike:
                             found[0].append(int(v[x]))
                             found[1].append(int(v[y]))

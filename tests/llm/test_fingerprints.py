@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberline.llm import fingerprints as fp
+from emberline.llm import graph
 
 
 def slow_walk(text):
@@ -164,3 +166,57 @@ def test_pairs_at_the_threshold_share_a_band(place):
         shared, x, y = np.intersect1d(*keys, return_indices=True)
         missed += not (np.bitwise_count(sketches[0][x] ^ sketches[1][y]) <= fp.SKETCH_APART).any()
     assert missed <= 3
+
+
+def test_bands_do_not_grow_while_buckets_are_small():
+    """Keys a text, and so what is shuffled, are the same at 47,000 and at a million fingerprints."""
+    assert fp.band_choice(47_000, 0.8, 0.01) == fp.band_choice(236_000, 0.8, 0.01) == fp.band_choice(1 << 20, 0.8, 0.01)
+    assert fp.band_choice(1 << 24, 0.8, 0.01)[1] > fp.band_choice(1 << 20, 0.8, 0.01)[1]
+
+
+def test_verification_by_words_equals_likeness():
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(60):
+        walked = int(rng.choice([0, 1, 5, 64, 128, 129, int(rng.integers(1, 60_000))]))
+        bits = rng.integers(0, 2, int(np.searchsorted(fp.STEPS, walked)), dtype=np.uint8)
+        for rate in (0, 0.05, 0.1, 0.12):
+            shorter = walked - int(rng.integers(0, walked // 6 + 1))
+            other = bits ^ (rng.random(len(bits)) < rate).astype(np.uint8)
+            rows.append(fp.to_text(shorter, other[: np.searchsorted(fp.STEPS, shorter)]).encode())
+    near = fp.WalkLikeness(0.8)
+    among = near.among(rows)
+    found = 0
+    for x in range(len(rows)):
+        ys = np.arange(max(0, x - 5), len(rows), 3)
+        want = near.alike([rows[x]] * len(ys), [rows[y] for y in ys])
+        assert among(x, ys).tolist() == want.tolist()
+        found += want.sum()
+    assert found > 300
+
+
+@pytest.mark.parametrize(("held_rows", "in_task"), [(200_000, 20_000_000), (300, 20_000_000), (200_000, 1000)])
+def test_only_members_near_to_another_label_go_on(held_rows, in_task):
+    """Buckets that meet by accident give no rows; of buckets beyond the limits, all rows go on."""
+    rng = np.random.default_rng(12)
+    sizes = [1, 2, 3, 700, 5, *rng.integers(1, 40, 200), 1000, 260, 1]
+    key = np.repeat(np.sort(rng.choice(10**6, len(sizes), replace=False)), sizes)
+    sketch, wide = (rng.integers(-(2**63), 2**63, len(key), dtype=np.int64) for _ in range(2))
+    label = np.arange(len(key))
+    for x in rng.choice(len(key) - 7, 150, replace=False).tolist():
+        y = x + int(rng.integers(1, 7))
+        sketch[y], wide[y] = sketch[x] ^ 0b1011, wide[x]
+        if x % 3 == 0:
+            label[y] = label[x]
+    table = pa.table({"key": key, "v": np.arange(len(key)), "sketch": sketch, "wide": wide, "label": label})
+    got = [v for b in graph.partnered(32, held_rows, in_task)(iter(table.to_batches(max_chunksize=97))) for v in b.column("v").to_pylist()]
+    bits = np.unpackbits(np.stack([sketch, wide], axis=1).view(np.uint8).reshape(len(key), 16), axis=1)
+    want, whole = set(), set()
+    for k in np.unique(key).tolist():
+        own = np.flatnonzero(key == k)
+        near = ((bits[own][:, None] != bits[own][None]).sum(2) <= 32) & (label[own][:, None] != label[own][None])
+        want |= set(own[near.any(1)].tolist())
+        if len(own) > min(held_rows, in_task ** 0.5 if len(own) > graph.FEW_ROWS else held_rows):
+            whole |= set(own.tolist())
+    assert len(got) == len(set(got)) and 100 < len(want)
+    assert set(got) == want | whole
