@@ -4,22 +4,26 @@ source's weight, and the earliest deadline goes first."""
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import fresh, shuffle_partitions
+from emberline.llm.common import fresh, open_output, shuffle_partitions, work_path
 
 NO_SOURCE = "\u0000null"
 SHARED = "\u0000shared"
 #: Sources and lanes that the driver plans.
 MAX_SOURCES = 20_000
-#: Blocks that the driver plans; a larger table goes out in blocks so many times as long.
+#: Blocks whose plan the driver holds and broadcasts; that of a larger table is the same, but goes to a file in slices.
 MAX_BLOCKS = 4_000_000
+#: Blocks in a slice of such a file.
+SLICE = 500_000
 #: Blocks of a source in one row of the table of places.
 CHUNK = 4096
 #: What sums of doubles may be off at a whole turn.
@@ -98,6 +102,66 @@ def plan(blocks: dict[str, int], weights: dict[str, float]) -> Plan:
     return Plan(slots, np.array(sorted(set(starts)), np.int64))
 
 
+def plan_slices(blocks: dict[str, int], weights: dict[str, float], size: int) -> Iterator[pa.Table]:
+    """The plan() of all blocks as rows of mix_lane, mix_block, slot, turn, about `size` rows a time: only these, and some numbers a source, are held."""
+    names = sorted(s for s, n in blocks.items() if n)
+    done, first_round = 0, 0
+    for group, weight in (([s for s in names if weights.get(s, 0) > 0], weights), ([s for s in names if not weights.get(s, 0) > 0], blocks)):
+        if not group:
+            continue
+        n, w = np.array([blocks[s] for s in group], np.int64), np.array([weight[s] for s in group], float)
+        w = w / w.sum()
+        order = np.argsort(n / w, kind="stable")
+        v = np.concatenate([[0.0], (n / w)[order]])
+        turn = np.concatenate([[0], np.cumsum(n[order])]) + v * np.append(np.cumsum(w[order][::-1])[::-1], 0.0)
+        total = int(n.sum())
+        near = NEAR + 1e-12 * total
+        starts = np.append(0, np.unique(np.ceil(turn[1:] - near).astype(np.int64))[:-1])
+        lanes = pa.array(group, pa.string())
+
+        def coming() -> Iterator[tuple[int, int, int, int]]:
+            """(release, due, source, block) in the order of plan()'s, slice by slice of the ideal."""
+            since, held = np.zeros(len(n), np.int64), np.zeros((4, 0), np.int64)  # noqa: B023
+            for end in range(size, total + size, size):  # noqa: B023
+                until = n if end >= total else np.minimum(n, np.ceil(np.interp(end, turn, v) * w).astype(np.int64))  # noqa: B023
+                until = np.maximum(until, since)
+                source = np.repeat(np.arange(len(n)), until - since)  # noqa: B023
+                k = np.arange(len(source)) - np.repeat(np.cumsum(until - since) - until, until - since)
+                release = np.floor(np.interp(k / w[source], v, turn) + near).astype(np.int64)  # noqa: B023
+                due = np.ceil(np.interp((k + 1) / w[source], v, turn) - near).astype(np.int64)  # noqa: B023
+                rows = np.concatenate([held, np.stack([release, due, source, k])], axis=1)
+                rows = rows[:, np.lexsort((rows[3], rows[2], rows[0]))]
+                # later slices may hold blocks of the last release
+                cut = rows.shape[1] if end >= total else int(np.searchsorted(rows[0], end - 1))  # noqa: B023
+                held, since = rows[:, cut:], until
+                yield from zip(*rows[:, :cut].tolist(), strict=True)
+
+        rows, ready, out = coming(), [], []
+        following = next(rows, None)
+        for t in range(total):
+            while following is not None and (following[0] <= t or not ready):
+                heapq.heappush(ready, following[1:])
+                following = next(rows, None)
+            out.append(heapq.heappop(ready)[1:])
+            if len(out) == size or t + 1 == total:
+                source, k = np.array(out, np.int64).T
+                slot = np.arange(t + 1 - len(out), t + 1)
+                turns = np.searchsorted(starts, slot, side="right") - 1 + first_round
+                yield pa.table([lanes.take(pa.array(source)), pa.array(k), pa.array(slot + done), pa.array(turns, pa.int32())], ["mix_lane", "mix_block", "slot", "turn"])
+                out = []
+        done, first_round = done + total, first_round + len(starts)
+
+
+def written_plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """plan_slices() as a table in the shared folder."""
+    path = work_path(spark, "mix-plan")
+    schema = pa.schema([("mix_lane", pa.string()), ("mix_block", pa.int64()), ("slot", pa.int64()), ("turn", pa.int32())])
+    with open_output(f"{path}/plan.parquet") as sink, pq.ParquetWriter(sink, schema) as writer:
+        for part in plan_slices(blocks, weights, SLICE):
+            writer.write_table(part)
+    return spark.read.parquet(path)
+
+
 def lanes_of(counts: DataFrame, max_sources: int) -> tuple[list, set[str] | None]:
     """Of counts(mix_source, n, weight): (rows of lane, n, weight; the sources with a lane of their own, or None if all have).
 
@@ -132,8 +196,8 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
     last block may be short, which leaves places free. The four columns come last; where docs has such a name, the new column
     has an underscore more.
 
-    Only counts by source reach the driver, which plans the turn of every block; a table of over MAX_BLOCKS blocks has blocks
-    so many times as long. Beyond max_sources sources, small ones share lanes that are planned as one source with the weight of
+    Only counts by source reach the driver, which plans the turn of every block; the plan of over MAX_BLOCKS blocks is
+    the same one, written slice by slice to the shared folder and joined from there. Beyond max_sources sources, small ones share lanes that are planned as one source with the weight of
     all of them; within a lane, the row that is due first at its source's weight goes first. A source's rows are ranked in as
     many ranges of the hash as its size asks for, so no task has a whole large source.
     """
@@ -150,8 +214,9 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
     lanes, own = lanes_of(counts, max_sources)
     rows_of, target = {r[0]: r[1] for r in lanes}, {r[0]: r[2] for r in lanes if r[2] > 0}
     total = sum(rows_of.values())
-    block_rows *= max(1, -(-total // (block_rows * MAX_BLOCKS)))
-    planned = plan({s: -(-n // block_rows) for s, n in rows_of.items()}, target)
+    blocks = {s: -(-n // block_rows) for s, n in rows_of.items()}
+    held = sum(blocks.values()) <= MAX_BLOCKS
+    planned = plan(blocks if held else {}, target)
     slots = planned.slots
     turns = {s: planned.rounds(x) for s, x in slots.items()}
     # About MAX_BLOCKS numbers at most.
@@ -174,6 +239,10 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
 
     placed = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / F.lit(block_rows)))
     placed = placed.withColumn("mix_chunk", F.floor(F.col("mix_block") / F.lit(CHUNK))).join(table, ["mix_lane", "mix_chunk"])
+    if not held:
+        placed = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / F.lit(block_rows))).join(written_plan(spark, blocks, target), ["mix_lane", "mix_block"])
+        columns = (F.col("turn"), F.col("mix_block"), F.col("slot"), F.col("slot") * block_rows + F.col("mix_rank") % block_rows)
+        return placed.select("row.*", *[c.alias(name) for c, name in zip(columns, added, strict=True)])
     at = (F.col("mix_block") % CHUNK).cast("int")
     slot = F.get("slots", at)
     place = slot * block_rows + F.col("mix_rank") % block_rows

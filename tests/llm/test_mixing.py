@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from emberline.llm import mixing
 from emberline.llm.mixing import NO_SOURCE, in_order, mix, plan
 
 
@@ -181,3 +182,25 @@ def test_a_source_of_small_weight_has_its_slots():
         for k, t in enumerate(places.tolist()):
             if t < planned.starts[1] - 1:
                 assert abs(k + 1 - want * (t + 1)) < 1 and abs(k - want * t) < 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 5000])
+def test_a_plan_in_slices_is_the_plan(size):
+    rng = random.Random(size)
+    for _ in range(12):
+        blocks = {f"s{i}": rng.randint(0, rng.choice([3, 40, 300])) for i in range(rng.randint(1, 12))}
+        weights = {s: rng.choice([0, (n + 1) ** 0.5, 1, rng.randint(1, 9)]) for s, n in blocks.items()}
+        planned = plan(blocks, weights)
+        rows = [r for part in mixing.plan_slices(blocks, weights, size) for r in part.to_pylist()]
+        assert len(rows) == sum(blocks.values())
+        for r in rows:
+            slot = planned.slots[r["mix_lane"]][r["mix_block"]]
+            assert (slot, planned.rounds(slot)) == (r["slot"], r["turn"])
+
+
+def test_blocks_beyond_the_held_plan_stay_as_long(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CONCAT('s', CAST(SQRT(id) AS INT) % 7) AS source")
+    want = sorted(mix(docs).collect())
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 50)
+    monkeypatch.setattr(mixing, "SLICE", 40)
+    assert sorted(mix(docs).collect()) == want
